@@ -158,3 +158,223 @@ def q_one_topic_lda(spark, sf_dir):
 def q_keyword_tags(spark, sf_dir):
     tags = keyword_tags(_docs(spark, sf_dir), threshold=0.2)
     return tags.select("doc_id", F.col("rank").cast("long").alias("rank"), "tag", r6(F.col("score")).alias("score"))
+
+
+# --- 3. pages --------------------------------------------------------------
+
+from tagweave.sources import pages as PG  # noqa: E402
+from tagweave.functions.text import escape_html  # noqa: E402
+
+ABSENT_URLS = ("https://absent.example.org/a", "https://absent.example.org/b")
+
+
+def _links(spark, sf_dir):
+    pages = TB.read_table(spark, sf_dir, "pages")
+    extra = spark.createDataFrame([(u,) for u in ABSENT_URLS], "url string")
+    return pages.select("url").unionByName(extra).unionByName(pages.select("url"))
+
+
+def _sql_unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),
+                    ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, {S.q(ent)}, {S.q(ch)})"
+    return x
+
+
+_SQL_TITLE = ("CASE WHEN regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1) <> '' THEN "
+              + _sql_unescape("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)") + " END")
+_SQL_STRIPPED = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+                 "'(?is)(<script\\b[^>]*>).*?</script\\s*>', '\\1', 'g'), "
+                 "'(?is)(<style\\b[^>]*>).*?</style\\s*>', '\\1', 'g')")
+
+
+@register("link_info", f"""WITH links AS (SELECT url FROM pages UNION SELECT unnest({S.str_list(ABSENT_URLS)})),
+info AS (SELECT url, {_SQL_TITLE} AS title,
+                array_to_string(list_transform(regexp_extract_all({_SQL_STRIPPED}, '<([a-zA-Z][^\\t\\n\\r\\f />]*)', 1),
+                                               lambda t: lower(t)), ' ') AS tags FROM pages)
+SELECT l.url, i.title, i.tags FROM links l LEFT JOIN info i USING (url)""")
+def q_link_info(spark, sf_dir):
+    info = PG.link_info(_links(spark, sf_dir), TB.read_table(spark, sf_dir, "pages"))
+    return info.select("url", "title", F.array_join("tags", " ").alias("tags"))
+
+
+@register("internal_url_filter", "SELECT page_id, url FROM pages WHERE "
+          + " AND ".join(f"NOT starts_with(url, {S.q(p)})" for p in PG.INTERNAL_URL_PREFIXES))
+def q_internal_url_filter(spark, sf_dir):
+    return PG.drop_internal_urls(TB.read_table(spark, sf_dir, "pages")).select("page_id", "url")
+
+
+@register("escaped_titles", "SELECT page_id, replace(replace(replace(replace(replace(" + _SQL_TITLE +
+          ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS title_html FROM pages")
+def q_escaped_titles(spark, sf_dir):
+    pages = TB.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", escape_html(PG.title_of(F.col("html"))).alias("title_html"))
+
+
+@register("page_fields")
+def q_page_fields(spark, sf_dir):
+    f = PG.extract_page_fields(TB.read_table(spark, sf_dir, "pages"))
+    return f.select("page_id", "url", "title", "texts", F.size("headers").alias("n_headers"),
+                    F.array_join("headers", ". ").alias("headers"), F.size("styled_texts").alias("n_styled"),
+                    F.array_join("styled_texts", ". ").alias("styled_texts"))
+
+
+@register("page_plain_text")
+def q_page_plain_text(spark, sf_dir):
+    return PG.html_to_text(TB.read_table(spark, sf_dir, "pages"))
+
+
+@register("page_keyword_tags")
+def q_page_keyword_tags(spark, sf_dir):
+    from tagweave.plans.tag_pages import tag_pages
+    tags, _ = tag_pages(TB.read_table(spark, sf_dir, "pages"))
+    return tags.select("page_id", F.col("rank").cast("long").alias("rank"), "tag", r6(F.col("score")).alias("score"))
+
+
+# --- 4. rules, groups, selections -------------------------------------------
+
+from tagweave.operators import rules as RU  # noqa: E402
+from tagweave.streaming import tag_edits as TE  # noqa: E402
+
+# Test rules (fixture rows): overlaps, a rule without conditions, an unknown
+# source, a type other than Contains, an empty value, and a tag condition.
+TEST_RULES = [
+    (1, "English", [(3, 1, " the ")]),
+    (2, "Eau", [(3, 1, "EAU")]),
+    (3, "IngNoEau", [(3, 1, "ing"), (3, 2, "eau")]),
+    (4, "Src1x", [(2, 1, "src1")]),
+    (5, "All", []),
+    (6, "Unknown", [(9, 1, "x")]),
+    (7, "Type7", [(2, 7, "src2")]),
+    (8, "Empty", [(2, 1, "")]),
+    (9, "TagOeau", [(1, 1, "OEAU")]),
+]
+
+
+def _rule_docs(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents")
+    tags = keyword_tags(FE.prepare_documents(docs), 0.2)
+    tag_arr = tags.groupBy("doc_id").agg(F.collect_list("tag").alias("tags"))
+    return (docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+                .join(tag_arr, "doc_id", "left"))
+
+
+def _sql_rule_cond(src, typ, val):
+    v = S.q(val.lower())
+    if src == 1:
+        hit = f"coalesce(list_contains(t.tags, {v}), false)"
+    elif src == 2:
+        hit = f"contains(lower(coalesce(d.source, '')), {v})"
+    elif src == 3:
+        hit = f"contains(lower(coalesce(d.text, '')), {v})"
+    else:
+        return "false"
+    return hit if typ == 1 else f"NOT {hit}"
+
+
+def _sql_rule_matches() -> str:
+    parts = []
+    for o, n, conds in TEST_RULES:
+        cond = " AND ".join(_sql_rule_cond(*c) for c in conds) or "true"
+        parts.append(f"SELECT d.doc_id, {o} AS ord, {S.q(n)} AS name FROM documents d "
+                     f"LEFT JOIN tagarr t USING (doc_id) WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+_SQL_RULE_BASE = (f"WITH {S.keyword_tags_sql(S.docs_cte())},\n"
+                  "tagarr AS (SELECT doc_id, list(tag) AS tags FROM kw GROUP BY doc_id),\n"
+                  f"m AS ({_sql_rule_matches()})\n")
+
+
+@register("rule_matches", _SQL_RULE_BASE + "SELECT doc_id, ord, name FROM m")
+def q_rule_matches(spark, sf_dir):
+    return RU.match_rules(_rule_docs(spark, sf_dir), TEST_RULES).select(
+        "doc_id", F.col("ord").cast("long").alias("ord"), "name")
+
+
+@register("rule_groups", _SQL_RULE_BASE +
+          "SELECT doc_id, string_agg(name, '+' ORDER BY ord) AS group_title FROM m GROUP BY doc_id")
+def q_rule_groups(spark, sf_dir):
+    return RU.rule_groups(_rule_docs(spark, sf_dir), TEST_RULES)
+
+
+@register("applied_groups", _SQL_RULE_BASE +
+          "SELECT doc_id, arg_max(name, ord) AS group_title FROM m GROUP BY doc_id")
+def q_applied_groups(spark, sf_dir):
+    m = RU.match_rules(_rule_docs(spark, sf_dir), TEST_RULES)
+    return RU.apply_groups(m.select("ord", F.col("name").alias("group_title"), "doc_id"))
+
+
+def _doc_groups(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents")
+    labels = TB.read_table(spark, sf_dir, "labels")
+    labeled = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+    gid = labeled.groupBy("source").agg(F.min("doc_id").alias("group_id"))
+    return labeled.join(gid, "source").select("doc_id", "group_id", F.col("source").alias("group_title"))
+
+
+_SQL_DOC_GROUPS = """WITH labeled AS (SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)),
+gid AS (SELECT source, min(doc_id) AS group_id FROM labeled GROUP BY source),
+dg AS (SELECT l.doc_id, g.group_id, l.source AS group_title FROM labeled l JOIN gid g USING (source)),
+rows AS (SELECT d.doc_id, d.lang, coalesce(dg.group_id, -1) AS group_id, coalesce(dg.group_title, 'No group') AS group_title
+         FROM documents d LEFT JOIN dg USING (doc_id))
+"""
+
+
+@register("tab_rows", _SQL_DOC_GROUPS + "SELECT doc_id, group_id, group_title FROM rows")
+def q_tab_rows(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id")
+    return RU.rows_with_group(docs, _doc_groups(spark, sf_dir)).select("doc_id", "group_id", "group_title")
+
+
+@register("group_breaks", _SQL_DOC_GROUPS + "SELECT doc_id, lang, group_id, "
+          "(lag(group_id) OVER (PARTITION BY lang ORDER BY doc_id)) IS DISTINCT FROM group_id AS is_break FROM rows")
+def q_group_breaks(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = RU.rows_with_group(docs, _doc_groups(spark, sf_dir))
+    return RU.group_breaks(rows, "lang", "doc_id").select("doc_id", "lang", "group_id", "is_break")
+
+
+@register("selected_docs", "SELECT doc_id, source FROM documents WHERE doc_id IN "
+          "(SELECT doc_id FROM labels WHERE quality = 1)")
+def q_selected_docs(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return RU.select_rows(docs, sel)
+
+
+_SQL_EVENTS = """ev AS (SELECT user_id AS doc_id, event_id AS seq,
+            CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'error' THEN 'remove'
+                            WHEN 'signup' THEN 'set' END AS op,
+            't' || CAST(floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 10) AS BIGINT) AS tag
+     FROM events WHERE event_type IN ('click', 'purchase', 'error', 'signup')),
+evn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i FROM ev),
+fold(doc_id, i, tags) AS (
+  SELECT DISTINCT doc_id, 0, CAST([] AS VARCHAR[]) FROM evn
+  UNION ALL
+  SELECT f.doc_id, e.i,
+         CASE e.op WHEN 'add' THEN list_append(f.tags, e.tag)
+                   WHEN 'set' THEN [e.tag]
+                   ELSE CASE WHEN NOT list_contains(f.tags, e.tag) THEN f.tags
+                             ELSE list_concat(list_slice(f.tags, 1, list_position(f.tags, e.tag) - 1),
+                                              list_slice(f.tags, list_position(f.tags, e.tag) + 1, len(f.tags))) END
+         END
+  FROM fold f JOIN evn e ON e.doc_id = f.doc_id AND e.i = f.i + 1),
+final AS (SELECT f.doc_id, f.tags FROM fold f
+          JOIN (SELECT doc_id, max(i) AS i FROM evn GROUP BY doc_id) m ON m.doc_id = f.doc_id AND m.i = f.i),
+tagrows AS (SELECT doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM final)
+"""
+
+
+@register("tag_fold", "WITH RECURSIVE " + _SQL_EVENTS + "SELECT doc_id, pos, tag FROM tagrows")
+def q_tag_fold(spark, sf_dir):
+    ev = TE.events_to_tag_events(TB.read_table(spark, sf_dir, "events"))
+    return TE.fold_tag_events(ev).select("doc_id", F.col("pos").cast("long").alias("pos"), "tag")
+
+
+@register("untagged_docs", "WITH RECURSIVE " + _SQL_EVENTS +
+          "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tagrows)")
+def q_untagged_docs(spark, sf_dir):
+    ev = TE.events_to_tag_events(TB.read_table(spark, sf_dir, "events"))
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id")
+    return RU.untagged(docs, TE.fold_tag_events(ev))
