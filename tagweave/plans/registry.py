@@ -378,3 +378,111 @@ def q_untagged_docs(spark, sf_dir):
     ev = TE.events_to_tag_events(TB.read_table(spark, sf_dir, "events"))
     docs = TB.read_table(spark, sf_dir, "documents").select("doc_id")
     return RU.untagged(docs, TE.fold_tag_events(ev))
+
+
+# --- 5. clustering, similarity ------------------------------------------------
+
+from tagweave.operators import clustering as CL  # noqa: E402
+from tagweave.operators import similarity as SIM  # noqa: E402
+
+MIN_COS = 0.875
+
+_SQL_W = f"WITH docs AS ({S.docs_cte()}),{S.TOKENS_TF}{S.tfidf_ctes()},\n"
+_SQL_LANG = ("labels_l AS (SELECT d.doc_id, g.cluster FROM documents d JOIN "
+             "(SELECT lang, min(doc_id) AS cluster FROM documents GROUP BY lang) g USING (lang)),\n")
+
+
+def _weights(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs, FE.tfidf(docs)
+
+
+def _lang_labels(spark, sf_dir):
+    d = TB.read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("raw"))
+    return CL.canonical_labels(d, "raw")
+
+
+@register("cluster_keywords_by_lang", _SQL_W + _SQL_LANG + """s AS (SELECT l.cluster, w.term, sum(w.weight) AS score
+      FROM w JOIN labels_l l USING (doc_id) GROUP BY l.cluster, w.term)
+SELECT cluster, term, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rk FROM s) WHERE rk = 1""")
+def q_cluster_keywords_by_lang(spark, sf_dir):
+    _, w = _weights(spark, sf_dir)
+    kw = CL.cluster_keywords(_lang_labels(spark, sf_dir), w, 1)
+    return kw.select("cluster", "term", r6(F.col("score")).alias("score"))
+
+
+@register("cluster_members_by_lang", "WITH " + _SQL_LANG[:-2] +
+          "\nSELECT cluster, min(doc_id) AS first_doc, count(*) AS n_docs FROM labels_l GROUP BY cluster")
+def q_cluster_members_by_lang(spark, sf_dir):
+    return CL.cluster_members(_lang_labels(spark, sf_dir))
+
+
+@register("kmeans_groups")
+def q_kmeans_groups(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    labels = CL.kmeans(w, docs.select("doc_id"), k=3, seed=42)
+    return CL.cluster_groups(labels, w)
+
+
+_SQL_REPS = """bags AS (SELECT doc_id, array_to_string(list_sort(tokens), ' ') AS bag FROM docs),
+mult AS (SELECT min(doc_id) AS rep, count(*) AS m FROM bags GROUP BY bag),
+grp AS (SELECT b.doc_id, m.rep FROM bags b JOIN (SELECT bag, min(doc_id) AS rep FROM bags GROUP BY bag) m USING (bag)),
+rw AS (SELECT * FROM w WHERE doc_id IN (SELECT rep FROM mult)),
+pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, sum(a.weight * b.weight) AS cos
+          FROM rw a JOIN rw b ON a.term = b.term AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING sum(a.weight * b.weight) >= """ + repr(MIN_COS - 1e-12) + ")\n"
+
+
+@register("copy_groups", f"WITH docs AS ({S.docs_cte()}),\n" + _SQL_REPS.split("rw AS")[0].rstrip().rstrip(",") +
+          "\nSELECT g.doc_id, g.rep AS rep_id, m.m AS n_copies FROM grp g JOIN mult m USING (rep)")
+def q_copy_groups(spark, sf_dir):
+    return SIM.copy_groups(_docs(spark, sf_dir))
+
+
+@register("similar_pairs", _SQL_W + _SQL_REPS + "SELECT doc_a, doc_b, round(cos, 6) AS cos FROM pairs")
+def q_similar_pairs(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    reps = SIM.copy_groups(docs).select(F.col("rep_id").alias("doc_id")).distinct()
+    pairs = SIM.similar_pairs(w.join(reps, "doc_id", "left_semi"), MIN_COS)
+    return pairs.select("doc_a", "doc_b", r6(F.col("cos")).alias("cos"))
+
+
+_SQL_DBSCAN = ("WITH RECURSIVE" + (_SQL_W + _SQL_REPS)[4:] + """, both_ AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+deg AS (SELECT r.rep, r.m + coalesce((SELECT sum(m2.m) FROM both_ JOIN mult m2 ON m2.rep = both_.b
+                                      WHERE both_.a = r.rep), 0) AS deg FROM mult r),
+core AS (SELECT rep FROM deg WHERE deg >= 5),
+cedge AS (SELECT a, b FROM both_ WHERE a IN (SELECT rep FROM core) AND b IN (SELECT rep FROM core)),
+reach(node, c) AS (SELECT rep, rep FROM core UNION SELECT e.b, r.c FROM reach r JOIN cedge e ON e.a = r.node),
+comp AS (SELECT node, min(c) AS cluster FROM reach GROUP BY node),
+border AS (SELECT b2.a AS node, min(cp.cluster) AS cluster FROM both_ b2 JOIN comp cp ON cp.node = b2.b
+           WHERE b2.a NOT IN (SELECT rep FROM core) GROUP BY b2.a),
+lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+dlab AS (SELECT g.doc_id, coalesce(l.cluster, -1) AS cluster FROM grp g LEFT JOIN lab l ON l.node = g.rep)
+""")
+
+
+def _dbscan_labels(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    return SIM.dbscan(docs, w, eps=0.5, min_samples=5)
+
+
+@register("dbscan", _SQL_DBSCAN + "SELECT doc_id, cluster FROM dlab")
+def q_dbscan(spark, sf_dir):
+    return _dbscan_labels(spark, sf_dir)
+
+
+@register("dbscan_counts", _SQL_DBSCAN + "SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters, "
+          "count(*) FILTER (WHERE cluster = -1) AS n_noise FROM dlab")
+def q_dbscan_counts(spark, sf_dir):
+    return CL.cluster_counts(_dbscan_labels(spark, sf_dir))
+
+
+@register("dbscan_keywords", _SQL_DBSCAN + """, s AS (SELECT l.cluster, w.term, sum(w.weight) AS score
+      FROM w JOIN dlab l USING (doc_id) GROUP BY l.cluster, w.term)
+SELECT cluster, term, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rk FROM s) WHERE rk = 1""")
+def q_dbscan_keywords(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    labels = SIM.dbscan(docs, w, eps=0.5, min_samples=5)
+    return CL.cluster_keywords(labels, w, 1).select("cluster", "term", r6(F.col("score")).alias("score"))
