@@ -486,3 +486,137 @@ def q_dbscan_keywords(spark, sf_dir):
     docs, w = _weights(spark, sf_dir)
     labels = SIM.dbscan(docs, w, eps=0.5, min_samples=5)
     return CL.cluster_keywords(labels, w, 1).select("cluster", "term", r6(F.col("score")).alias("score"))
+
+
+# --- 6. extractor comparison -------------------------------------------------
+
+from tagweave.operators import evaluate as EV  # noqa: E402
+from tagweave.operators import graph as GR  # noqa: E402
+
+TR_ITERS = 30
+
+
+def _eval_docs(spark, sf_dir):
+    return TB.evaluation_corpus(spark, sf_dir, lang="en")
+
+
+def _eval_tokens(spark, sf_dir):
+    rt = GR.raw_tokens(_eval_docs(spark, sf_dir))
+    return rt.select("doc_id", F.transform(F.filter(F.arrays_zip("rt", "keep"), lambda z: z["keep"]),
+                                           lambda z: F.lower(z["rt"])).alias("tokens"))
+
+
+def _textrank(spark, sf_dir):
+    return GR.textrank(_eval_docs(spark, sf_dir), top_n=10, max_iter=TR_ITERS, tol=None, rank_digits=9)
+
+
+@register("textrank", "WITH " + S.raw_token_cte() + ",\n" + S.textrank_ctes(TR_ITERS) +
+          "\nSELECT doc_id, rank, term, round(score, 6) AS score FROM tr")
+def q_textrank(spark, sf_dir):
+    return _textrank(spark, sf_dir).select("doc_id", F.col("rank").cast("long").alias("rank"), "term",
+                                            r6(F.col("score")).alias("score"))
+
+
+@register("pair_counts")
+def q_pair_counts(spark, sf_dir):
+    return GR.pair_counts(_docs(spark, sf_dir), k=5)
+
+
+_SQL_EVAL = ("WITH " + S.eval_docs_cte() + "," + S.TOKENS_TF + S.tfidf_ctes(0.95, 2) + ",\n"
+             "top10 AS (SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER "
+             "(PARTITION BY doc_id ORDER BY weight DESC, term) AS rk FROM w) WHERE rk <= 10),\n"
+             + S.textrank_ctes(TR_ITERS).replace("FROM rtok", "FROM rtok_tr") + ",\n"
+             "trm_tf AS (SELECT doc_id, lower(term) AS term, count(*) AS tf FROM tr GROUP BY doc_id, lower(term)),\n"
+             "trm_raw AS (SELECT t.doc_id, t.term, t.tf * i.idf AS weight FROM trm_tf t JOIN idf i USING (term)),\n"
+             "trm AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight "
+             "FROM trm_raw),\n"
+             "ntop AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight "
+             "FROM top10)\n").replace("ue AS (SELECT DISTINCT", "rtok_tr AS (SELECT * FROM rtok),\nue AS (SELECT DISTINCT", 1)
+
+
+def _eval_matrices(spark, sf_dir):
+    toks = _eval_tokens(spark, sf_dir)
+    w, idf = FE.tfidf(toks, max_df=0.95, min_df=2, return_idf=True)
+    top10 = FE.top_terms(w, 10).select("doc_id", "term", "weight")
+    trm = EV.keyword_matrix_from_terms(_textrank(spark, sf_dir).select("doc_id", "term"), idf)
+    return toks, top10, trm
+
+
+@register("eval_tfidf_top10", _SQL_EVAL + "SELECT doc_id, term, round(weight, 6) AS weight FROM top10")
+def q_eval_tfidf_top10(spark, sf_dir):
+    _, top10, _ = _eval_matrices(spark, sf_dir)
+    return top10.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@register("textrank_matrix", _SQL_EVAL + "SELECT doc_id, term, round(weight, 6) AS weight FROM trm")
+def q_textrank_matrix(spark, sf_dir):
+    _, _, trm = _eval_matrices(spark, sf_dir)
+    return trm.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@register("mean_cosine", _SQL_EVAL + """, su AS (SELECT term, sum(weight) AS su FROM ntop GROUP BY term),
+sv AS (SELECT term, sum(weight) AS sv FROM trm GROUP BY term)
+SELECT round(coalesce(sum(su * sv), 0) / ((SELECT count(*) FROM docs) * (SELECT count(*) FROM docs)), 6) AS mean_cos
+FROM su JOIN sv USING (term)""")
+def q_mean_cosine(spark, sf_dir):
+    toks, top10, trm = _eval_matrices(spark, sf_dir)
+    n = FE.doc_count(toks)
+    return EV.mean_cosine(top10, trm, n, n).select(r6(F.col("mean_cos")).alias("mean_cos"))
+
+
+@register("extractor_agreement", _SQL_EVAL + """SELECT a.doc_id, round(sum(a.weight * b.weight), 6) AS cos
+FROM ntop a JOIN trm b ON a.doc_id = b.doc_id AND a.term = b.term GROUP BY a.doc_id""")
+def q_extractor_agreement(spark, sf_dir):
+    _, top10, trm = _eval_matrices(spark, sf_dir)
+    return EV.agreement(top10, trm).select("doc_id", r6(F.col("cos")).alias("cos"))
+
+
+TRUTH_N = 50
+
+
+def _truth(spark, sf_dir):
+    """Truth keywords: the TRUTH_N most frequent (by document frequency) cleaned terms of ``benchmark``."""
+    bench = FE.prepare_documents(TB.read_table(spark, sf_dir, "benchmark"), id_col="item_id")
+    df = FE.document_frequency(FE.term_frequencies(bench))
+    return df.orderBy(F.col("df").desc(), F.col("term")).limit(TRUTH_N).select("term")
+
+
+def _tfidf_features_pred(spark, sf_dir, n_features=5):
+    """A5 per document: the ``n_features`` uni/bigram features with the largest counts (ties: term)."""
+    grams = FE.ngram_counts(_docs(spark, sf_dir), 1, 2)
+    return FE.top_terms(grams.withColumn("c", F.col("tf")), n_features, value="c").select(
+        "doc_id", F.lit("tfidf").alias("extractor"), "term")
+
+
+_SQL_TRUTH = (f"truth AS (SELECT term FROM (WITH docs AS ({S.docs_cte('benchmark', 'item_id')}),{S.TOKENS_TF}\n"
+              f"SELECT term, count(*) AS df FROM tf GROUP BY term) ORDER BY df DESC, term LIMIT {TRUTH_N})")
+
+
+@register("keyword_quality_tfidf", f"""WITH {_SQL_TRUTH},
+docs AS ({S.docs_cte()}),
+grams AS (SELECT doc_id, unnest(tokens) AS term FROM docs
+          UNION ALL
+          SELECT doc_id, tokens[i] || ' ' || tokens[i + 1] AS term
+          FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens))) AS i FROM docs)),
+gc AS (SELECT doc_id, term, count(*) AS c FROM grams GROUP BY doc_id, term),
+pred AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, term) AS rk
+         FROM gc) WHERE rk <= 5)
+SELECT doc_id, 'tfidf' AS extractor, count(*) AS n_pred,
+       count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) AS hits,
+       round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / count(*), 6) AS precision,
+       round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / (SELECT count(*) FROM truth), 6)
+         AS recall
+FROM pred GROUP BY doc_id""")
+def q_keyword_quality_tfidf(spark, sf_dir):
+    q = EV.keyword_quality(_tfidf_features_pred(spark, sf_dir), _truth(spark, sf_dir))
+    return q.select("doc_id", "extractor", "n_pred", "hits", r6(F.col("precision")).alias("precision"),
+                    r6(F.col("recall")).alias("recall"))
+
+
+@register("keyword_quality")
+def q_keyword_quality(spark, sf_dir):
+    pc = GR.pair_counts(_docs(spark, sf_dir), k=5).select("doc_id", F.lit("combinations").alias("extractor"), "term")
+    pred = _tfidf_features_pred(spark, sf_dir).unionByName(pc)
+    q = EV.keyword_quality(pred, _truth(spark, sf_dir))
+    return q.select("doc_id", "extractor", "n_pred", "hits", r6(F.col("precision")).alias("precision"),
+                    r6(F.col("recall")).alias("recall"))
