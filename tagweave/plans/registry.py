@@ -620,3 +620,84 @@ def q_keyword_quality(spark, sf_dir):
     q = EV.keyword_quality(pred, _truth(spark, sf_dir))
     return q.select("doc_id", "extractor", "n_pred", "hits", r6(F.col("precision")).alias("precision"),
                     r6(F.col("recall")).alias("recall"))
+
+
+# --- 7. entities, lemmas -----------------------------------------------------
+
+from tagweave.operators import entities as EN  # noqa: E402
+from tagweave.operators.lemma import Lemmatizer, NOUN_RULES, corpus_lexicon  # noqa: E402
+
+LEMMA_EXCEPTIONS = [("men", "man"), ("women", "woman"), ("children", "child"), ("mice", "mouse"),
+                    ("geese", "goose"), ("feet", "foot"), ("teeth", "tooth"), ("people", "person")]
+
+
+def _entity_tags(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    gaz = EN.default_gazetteer(spark, sf_dir)
+    return EN.entity_tags(EN.entity_spans(EN.entity_words(docs), gaz))
+
+
+def _sql_entities() -> str:
+    gaz_rows = list(EN.LICENSE_ENTITIES) + [(m, "DATE") for m in EN.MONTHS]
+    gaz_vals = ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in gaz_rows)
+    g = max(len(a.split(" ")) for a, _ in gaz_rows)
+    grams = " UNION ALL ".join(
+        f"SELECT doc_id, i AS start, {n} AS n, array_to_string(words[i + 1:i + {n}], ' ') AS entity "
+        f"FROM (SELECT doc_id, words, unnest(range(0, len(words) - {n} + 1)) AS i FROM ew)" for n in range(1, g + 1))
+    return f"""WITH ew AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), {S.q(S.RAW_TOKEN)}),
+                 lambda t: regexp_full_match(t, '[\\pL\\pN_]+') AND NOT list_contains({S.STOP_LIST}, lower(t))) AS words
+            FROM documents),
+gaz AS (SELECT DISTINCT surface AS entity, label FROM (SELECT * FROM (VALUES {gaz_vals}) v(surface, label)
+        UNION ALL SELECT n_name, 'GPE' FROM nation UNION ALL SELECT r_name, 'LOC' FROM region)),
+grams AS ({grams}),
+named AS (SELECT g.doc_id, g.start, g.n, g.entity, z.label FROM grams g JOIN gaz z USING (entity)),
+uni AS (SELECT doc_id, i - 1 AS start, 1 AS n, words[i] AS entity FROM
+        (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM ew)),
+pat AS (SELECT doc_id, start, n, entity,
+               CASE WHEN regexp_matches(entity, '{EN.YEAR_PATTERN}') THEN 'DATE'
+                    WHEN regexp_matches(entity, '{EN.ORDINAL_PATTERN}') THEN 'ORDINAL'
+                    WHEN regexp_matches(entity, '{EN.CARDINAL_PATTERN}') THEN 'CARDINAL' END AS label FROM uni),
+spans AS (SELECT * FROM named UNION ALL SELECT * FROM pat WHERE label IS NOT NULL),
+longest AS (SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans t WHERE t.doc_id = s.doc_id
+            AND t.start <= s.start AND s.start + s.n <= t.start + t.n AND t.n > s.n)),
+kept AS (SELECT * FROM longest WHERE label NOT IN ('CARDINAL', 'ORDINAL')),
+first AS (SELECT doc_id, label, entity, min(start) AS pos FROM kept GROUP BY ALL),
+lab AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos), label) AS label_rank
+        FROM first GROUP BY doc_id, label)
+SELECT f.doc_id, l.label_rank, upper(f.label[1]) || lower(f.label[2:]) AS title,
+       row_number() OVER (PARTITION BY f.doc_id, f.label ORDER BY f.pos, f.entity) AS entity_rank, f.entity
+FROM first f JOIN lab l USING (doc_id, label)"""
+
+
+@register("entity_tags", _sql_entities())
+def q_entity_tags(spark, sf_dir):
+    return _entity_tags(spark, sf_dir).select("doc_id", F.col("label_rank").cast("long").alias("label_rank"), "title",
+                                              F.col("entity_rank").cast("long").alias("entity_rank"), "entity")
+
+
+def _sql_lemmas() -> str:
+    exc = ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in LEMMA_EXCEPTIONS)
+    rules = ", ".join(f"({S.q(a)}, {S.q(b)}, {i + 1})" for i, (a, b) in enumerate(NOUN_RULES))
+    return f"""WITH docs AS ({S.docs_cte()}),
+toks AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM docs),
+lex AS (SELECT term AS lemma FROM (SELECT DISTINCT doc_id, term FROM toks) GROUP BY term HAVING count(*) >= 2),
+exc AS (SELECT * FROM (VALUES {exc}) v(form, lemma)),
+rules AS (SELECT * FROM (VALUES {rules}) v(suf, rep, prio)),
+terms AS (SELECT DISTINCT term FROM toks),
+cand AS (SELECT term, term AS c, 0 AS prio FROM terms
+         UNION ALL SELECT t.term, e.lemma, 1 FROM terms t JOIN exc e ON e.form = t.term
+         UNION ALL SELECT t.term, left(t.term, length(t.term) - length(r.suf)) || r.rep, r.prio FROM terms t, rules r
+                   WHERE ends_with(t.term, r.suf) AND t.term NOT IN (SELECT form FROM exc)),
+ok AS (SELECT * FROM cand WHERE c IN (SELECT lemma FROM lex)),
+mp AS (SELECT term, arg_min(c, length(c) * 100 + prio) AS lemma FROM ok GROUP BY term),
+lt AS (SELECT doc_id, string_agg(coalesce(mp.lemma, toks.term), ' ' ORDER BY pos) AS clean
+       FROM toks LEFT JOIN mp USING (term) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(lt.clean, '') AS clean FROM documents d LEFT JOIN lt USING (doc_id)"""
+
+
+@register("lemmatized", _sql_lemmas())
+def q_lemmatized(spark, sf_dir):
+    plain = _docs(spark, sf_dir)
+    exc = spark.createDataFrame(LEMMA_EXCEPTIONS, "form string, lemma string")
+    lem = Lemmatizer(corpus_lexicon(plain, 2), exc)
+    return lem.apply(plain).select("doc_id", F.array_join("tokens", " ").alias("clean"))
