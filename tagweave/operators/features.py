@@ -75,9 +75,10 @@ def idf_table(tf: DataFrame, n_docs, max_df: float | int = 1.0, min_df: float |
 
 
 def l2_normalize(weights: DataFrame, value: str = "weight", by: str = "doc_id") -> DataFrame:
-    """Divide ``value`` by the L2 norm of its document (one shuffle by ``by``)."""
+    """Divide ``value`` by the L2 norm of its document (one shuffle by ``by``); zero rows stay zero."""
     w = Window.partitionBy(by)
-    return weights.withColumn(value, F.col(value) / F.sqrt(F.sum(F.col(value) * F.col(value)).over(w)))
+    norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(w))
+    return weights.withColumn(value, F.when(norm > 0, F.col(value) / norm).otherwise(F.lit(0.0)))
 
 
 def tfidf(tokens: DataFrame, max_df: float | int = 1.0, min_df: float | int = 1,

@@ -701,3 +701,30 @@ def q_lemmatized(spark, sf_dir):
     exc = spark.createDataFrame(LEMMA_EXCEPTIONS, "form string, lemma string")
     lem = Lemmatizer(corpus_lexicon(plain, 2), exc)
     return lem.apply(plain).select("doc_id", F.array_join("tokens", " ").alias("clean"))
+
+
+# --- 8. topics -----------------------------------------------------------------
+
+from tagweave.operators import topics as TP  # noqa: E402
+
+
+def _topics(spark, sf_dir):
+    toks = _eval_tokens(spark, sf_dir)
+    w, idf = FE.tfidf(toks, max_df=0.95, min_df=2, return_idf=True)
+    tt, theta = TP.fit_topics(w, toks.select("doc_id"), k=5, seed=0)
+    return toks, w, tt, theta
+
+
+@register("topic_top_terms")
+def q_topic_top_terms(spark, sf_dir):
+    _, _, tt, _ = _topics(spark, sf_dir)
+    return TP.top_term_per_topic(tt)
+
+
+@register("topic_keyword_mean_cosine")
+def q_topic_keyword_mean_cosine(spark, sf_dir):
+    toks, w, tt, theta = _topics(spark, sf_dir)
+    lda_m = EV.topic_keyword_matrix(theta, tt, 10)
+    top10 = FE.top_terms(w, 10).select("doc_id", "term", "weight")
+    n = FE.doc_count(toks)
+    return EV.mean_cosine(lda_m, top10, n, n).select(F.lit("lda_tfidf").alias("pair"), "mean_cos")
