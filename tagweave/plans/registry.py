@@ -728,3 +728,23 @@ def q_topic_keyword_mean_cosine(spark, sf_dir):
     top10 = FE.top_terms(w, 10).select("doc_id", "term", "weight")
     n = FE.doc_count(toks)
     return EV.mean_cosine(lda_m, top10, n, n).select(F.lit("lda_tfidf").alias("pair"), "mean_cos")
+
+
+# --- 9. density clusters ---------------------------------------------------------
+
+from tagweave.operators import density as DN  # noqa: E402
+
+
+def _density(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    return DN.density_clusters(docs, w, min_samples=5, max_eps=0.7, xi=0.05, min_cluster_size=2, levels=6)
+
+
+@register("density_clusters")
+def q_density_clusters(spark, sf_dir):
+    return _density(spark, sf_dir)
+
+
+@register("density_cluster_counts")
+def q_density_cluster_counts(spark, sf_dir):
+    return CL.cluster_counts(_density(spark, sf_dir))
