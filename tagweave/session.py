@@ -87,6 +87,18 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks when its scan yields fewer.
+
+    Row-local work (cleaning, per-document arrays, parsing) only runs as wide
+    as the input splits; a small file with one row group is one split. On a
+    cluster, scans of large tables already have many splits and this is a
+    no-op, so no large table is ever shuffled by it.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave import schemas
+from tagweave.session import spread
+
+# Tables whose rows carry text: per-row work on them is CPU heavy, so a scan
+# with fewer splits than cores is spread before that work starts.
+TEXT_TABLES = frozenset(("documents", "pages", "conversations", "benchmark"))
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -16,7 +21,8 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """
     schema = schemas.TABLES.get(name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{base}/{name}.parquet")
+    df = reader.parquet(f"{base}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
