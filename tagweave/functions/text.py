@@ -181,3 +181,21 @@ def explode_structs(df: DataFrame, arr: str, keep: list[str], pos: str | None =
         return out.select(*keep, pos, "__e.*")
     return df.select(*keep, F.explode_outer(arr).alias("__e")).where(F.col("__e").isNotNull()) \
              .select(*keep, "__e.*")
+
+
+def remove_stop_words(col: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> Column:
+    """F8: split on blanks, drop words whose lower case is a stop word, join by one blank."""
+    stop = _lit_array(tuple(stop_words))
+    words = F.filter(F.split(F.trim(F.coalesce(col, F.lit(""))), "[" + PY_SPACE_CLASS + "]+"),
+                     lambda w: (w != "") & ~F.array_contains(stop, F.lower(w)))
+    return F.array_join(words, " ")
+
+
+def script_clean(col: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> Column:
+    """X11: lower, drop digit runs, drop newlines and backslashes, drop non-word non-blank
+    characters, then drop stop words (the extractor script's cleaning)."""
+    s = F.lower(F.coalesce(col, F.lit("")))
+    s = F.regexp_replace(s, r"\p{Nd}+", "")
+    s = F.regexp_replace(s, r"[\n\\]", "")
+    s = F.regexp_replace(s, "[^" + WORD_CLASS + PY_SPACE_CLASS + "]", "")
+    return remove_stop_words(s, stop_words)

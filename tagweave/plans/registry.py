@@ -748,3 +748,74 @@ def q_density_clusters(spark, sf_dir):
 @register("density_cluster_counts")
 def q_density_cluster_counts(spark, sf_dir):
     return CL.cluster_counts(_density(spark, sf_dir))
+
+
+# --- 10. small operators: F8, X11, F9, J5, S7, C4 ------------------------------------
+
+from tagweave.functions.text import ENGLISH_STOP_WORDS, remove_stop_words, script_clean  # noqa: E402
+from tagweave.plans import cluster_pages as CP  # noqa: E402
+
+_SQL_STOP_EN = S.str_list(ENGLISH_STOP_WORDS)
+_SQL_SPLIT = ("list_filter(regexp_split_to_array(trim(coalesce({x}, '')), " + S.q("[" + S.PY_SPACE_CLASS + "]+")
+              + "), lambda w: w <> '' AND NOT list_contains(" + _SQL_STOP_EN + ", lower(w)))")
+
+
+@register("stop_words_removed", "SELECT doc_id, array_to_string(" + _SQL_SPLIT.replace("{x}", "text") +
+          ", ' ') AS text FROM documents")
+def q_stop_words_removed(spark, sf_dir):
+    d = TB.read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", remove_stop_words(F.col("text")).alias("text"))
+
+
+_SQL_X11 = ("regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\\p{Nd}+', '', 'g'), "
+            "'[\\n\\\\]', '', 'g'), " + S.q("[^\\pL\\pN_" + S.PY_SPACE_CLASS + "]") + ", '', 'g')")
+
+
+@register("script_clean", "SELECT doc_id, array_to_string(" + _SQL_SPLIT.replace("{x}", _SQL_X11) +
+          ", ' ') AS text FROM documents")
+def q_script_clean(spark, sf_dir):
+    d = TB.read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", script_clean(F.col("text")).alias("text"))
+
+
+@register("text_from_tags", f"WITH {S.keyword_tags_sql(S.docs_cte())}\n"
+          "SELECT d.doc_id, coalesce((SELECT string_agg(tag, ' ' ORDER BY rank) FROM kw WHERE kw.doc_id = d.doc_id), '')"
+          " AS text FROM documents d")
+def q_text_from_tags(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents")
+    tags = keyword_tags(FE.prepare_documents(docs), 0.2)
+    return CP.text_source(docs, tags, "tags")
+
+
+@register("current_tags", "WITH RECURSIVE " + _SQL_EVENTS + "," + S.keyword_tags_sql(S.docs_cte()) + """,
+stored AS (SELECT doc_id, string_agg(tag, ' ' ORDER BY pos) AS tags FROM tagrows GROUP BY doc_id),
+fresh AS (SELECT doc_id, string_agg(tag, ' ' ORDER BY rank) AS tags FROM kw GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.tags, f.tags, '') AS tags FROM documents d
+LEFT JOIN stored s USING (doc_id) LEFT JOIN fresh f USING (doc_id)""")
+def q_current_tags(spark, sf_dir):
+    """F3 + J5: stored tag lists win; untagged documents get fresh keyword tags."""
+    docs = TB.read_table(spark, sf_dir, "documents")
+    stored = TE.fold_tag_events(TE.events_to_tag_events(TB.read_table(spark, sf_dir, "events")))
+    stored_s = stored.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("pos", "tag"))), lambda x: x["tag"]), " ").alias("tags"))
+    pending = RU.untagged(docs, stored)
+    fresh = keyword_tags(FE.prepare_documents(pending), 0.2)
+    fresh_s = fresh.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("rank", "tag"))), lambda x: x["tag"]), " ").alias("tags"))
+    base = docs.select("doc_id", F.lit("").alias("tags"))
+    return CP.upsert(CP.upsert(base, fresh_s, "doc_id", ["tags"]), stored_s, "doc_id", ["tags"])
+
+
+@register("service_replies")
+def q_service_replies(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents")
+    tags = keyword_tags(FE.prepare_documents(docs), 0.2)
+    ents = _entity_tags(spark, sf_dir)
+    return CP.service_reply(tags, ents)
+
+
+@register("cluster_selected_dbscan")
+def q_cluster_selected_dbscan(spark, sf_dir):
+    docs = TB.read_table(spark, sf_dir, "documents")
+    sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return CP.cluster_documents(docs, sel, algorithm="dbscan", eps=0.5, min_samples=5)
