@@ -32,6 +32,8 @@ YEAR_PATTERN = "^(1[5-9]|20)[0-9][0-9]$"
 ORDINAL_PATTERN = "^[0-9]+(st|nd|rd|th)$"
 CARDINAL_PATTERN = "^[0-9]+$"
 # End of fixed values.
+
+MAX_FIRST_WORDS = 100_000
 # ---------------------------------------------------------------------------
 
 
@@ -58,10 +60,13 @@ def entity_words(docs: DataFrame, text_col: str = "text",
                                           & ~F.array_contains(stop, F.lower(t))).alias("words"))
 
 
-def _ngram_spans(n: int):
-    """Array of (start, n, entity) for the n-word windows of ``words``."""
+def _ngram_spans(n: int, starts=None):
+    """Array of (start, n, entity) for the n-word windows of ``words`` (only at ``starts`` if given)."""
     m = F.size("words") - n + 1
-    return (F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1),
+    pos = F.sequence(F.lit(0), m - 1)
+    if starts is not None:
+        pos = F.filter(pos, starts)
+    return (F.when(m > 0, F.transform(pos,
                                       lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"),
                                                          F.array_join(F.slice("words", i + 1, n), " ")
                                                          .alias("entity"))))
@@ -78,13 +83,23 @@ def entity_spans(words: DataFrame, gazetteer: DataFrame, max_words: int | None =
     """
     if max_words is None:
         max_words = gazetteer.select(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
-    grams = [_ngram_spans(n) for n in range(1, max_words + 1)]
+    # Positions whose word starts some surface: with a bounded set of first words the set is
+    # carried as a literal (hash lookup per word) and n-grams are built only there.
+    firsts = (gazetteer.select(F.split("surface", " ")[0].alias("w")).distinct()
+                       .limit(MAX_FIRST_WORDS + 1).collect())
+    starts = None
+    if len(firsts) <= MAX_FIRST_WORDS:
+        fw = [r.w for r in firsts if r.w is not None]
+        starts = lambda i: F.get(F.col("words"), i).isin(*fw) if fw else F.lit(False)
+    grams = [_ngram_spans(n, starts) for n in range(1, max_words + 1)]
     g = words.select("doc_id", "words").withColumn("_g", F.concat(*grams) if len(grams) > 1 else grams[0])
     g = explode_structs(g, "_g", ["doc_id"])
     gaz = gazetteer.select(F.col("surface").alias("entity"), "label").distinct()
     named = g.join(gaz, "entity")
-    uni = explode_structs(words.select("doc_id", F.transform("words", lambda w, i: F.struct(
-        i.alias("start"), F.lit(1).alias("n"), w.alias("entity"))).alias("_u")), "_u", ["doc_id"])
+    # pattern labels only apply to words starting with a digit: keep those positions in the row
+    uni = explode_structs(words.select("doc_id", F.filter(F.transform("words", lambda w, i: F.struct(
+        i.alias("start"), F.lit(1).alias("n"), w.alias("entity"))), lambda x: x["entity"].rlike("^[0-9]"))
+        .alias("_u")), "_u", ["doc_id"])
     pattern = uni.select("doc_id", "start", "n", "entity", F.when(F.col("entity").rlike(YEAR_PATTERN), "DATE")
                          .when(F.col("entity").rlike(ORDINAL_PATTERN), "ORDINAL")
                          .when(F.col("entity").rlike(CARDINAL_PATTERN), "CARDINAL").alias("label")) \

@@ -393,8 +393,10 @@ _SQL_LANG = ("labels_l AS (SELECT d.doc_id, g.cluster FROM documents d JOIN "
 
 
 def _weights(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return docs, FE.tfidf(docs)
+    """Tokens and TF-IDF weights, persisted: the clustering queries read both several times."""
+    from tagweave.session import reuse
+    docs = reuse(_docs(spark, sf_dir))
+    return docs, reuse(FE.tfidf(docs))
 
 
 def _lang_labels(spark, sf_dir):

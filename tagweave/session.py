@@ -73,6 +73,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist an input that an operator reads more than once (memory, spilling to disk).
+
+    A lost executor recomputes only its partitions from lineage.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """Size check before an explicit broadcast: count at most ``max_rows + 1`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
