@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.text import (DEFAULT_STOP_WORDS, DROPPED_ENTITY_LABELS, WORD_CLASS,
                                      _lit_array, capitalize, explode_structs)
 from tagweave.operators.graph import RAW_TOKEN
+from tagweave.session import reuse
 
 # ---------------------------------------------------------------------------
 # Default gazetteer rows and pattern labels.
@@ -104,7 +105,8 @@ def entity_spans(words: DataFrame, gazetteer: DataFrame, max_words: int | None =
                          .when(F.col("entity").rlike(ORDINAL_PATTERN), "ORDINAL")
                          .when(F.col("entity").rlike(CARDINAL_PATTERN), "CARDINAL").alias("label")) \
                  .where(F.col("label").isNotNull())
-    spans = named.select("doc_id", "start", "n", "entity", "label").unionByName(pattern)
+    # read by both sides of the nesting test: computed once
+    spans = reuse(named.select("doc_id", "start", "n", "entity", "label").unionByName(pattern))
     s, t = spans.alias("s"), spans.alias("t")
     inner = ((F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("t.start") <= F.col("s.start"))
              & (F.col("s.start") + F.col("s.n") <= F.col("t.start") + F.col("t.n")) & (F.col("t.n") > F.col("s.n")))
