@@ -276,7 +276,7 @@ def _sql_rule_matches() -> str:
     parts = []
     for o, n, conds in TEST_RULES:
         cond = " AND ".join(_sql_rule_cond(*c) for c in conds) or "true"
-        parts.append(f"SELECT d.doc_id, {o} AS ord, {S.q(n)} AS name FROM documents d "
+        parts.append(f"SELECT d.doc_id, CAST({o} AS BIGINT) AS ord, {S.q(n)} AS name FROM documents d "
                      f"LEFT JOIN tagarr t USING (doc_id) WHERE {cond}")
     return " UNION ALL ".join(parts)
 
