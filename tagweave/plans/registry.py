@@ -821,3 +821,8 @@ def q_cluster_selected_dbscan(spark, sf_dir):
     docs = TB.read_table(spark, sf_dir, "documents")
     sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     return CP.cluster_documents(docs, sel, algorithm="dbscan", eps=0.5, min_samples=5)
+
+
+@register("page_content")
+def q_page_content(spark, sf_dir):
+    return PG.page_content(TB.read_table(spark, sf_dir, "pages"))

@@ -104,8 +104,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cluster, scans of large tables already have many splits and this is a
     no-op, so no large table is ever shuffled by it.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as it is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def env_int(name: str, default: int) -> int:
