@@ -33,7 +33,7 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
         return spark.read.schema(schemas.DOCUMENTS).option("mode", "FAILFAST").json(path)
     if fmt == "text":
         # one document per file; the id is a stable hash of the path
-        raw = spark.read.option("wholetext", "true").text(path)
+        raw = spark.read.text(path, wholetext=True)
         return raw.select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
     raise ValueError(f"unknown format {fmt!r}")
 
