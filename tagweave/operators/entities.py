@@ -44,9 +44,9 @@ def default_gazetteer(spark: SparkSession, base: str | None = None) -> DataFrame
     gaz = spark.createDataFrame(rows, "surface string, label string")
     if base is not None:
         from tagweave.sources.tables import read_table
-        nations = spark.read.parquet(f"{base}/nation.parquet").select(
+        nations = read_table(spark, base, "nation").select(
             F.col("n_name").alias("surface"), F.lit("GPE").alias("label"))
-        regions = spark.read.parquet(f"{base}/region.parquet").select(
+        regions = read_table(spark, base, "region").select(
             F.col("r_name").alias("surface"), F.lit("LOC").alias("label"))
         gaz = gaz.unionByName(nations).unionByName(regions)
     return gaz
