@@ -816,7 +816,15 @@ def q_service_replies(spark, sf_dir):
     return CP.service_reply(tags, ents)
 
 
-@register("cluster_selected_dbscan")
+_SEL_TABLE = "(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
+_SQL_DBSCAN_SEL = _SQL_DBSCAN.replace(S.docs_cte(), S.docs_cte(_SEL_TABLE), 1)
+
+
+@register("cluster_selected_dbscan", _SQL_DBSCAN_SEL + """, s AS (SELECT l.cluster, w.term, sum(w.weight) AS score
+      FROM w JOIN dlab l USING (doc_id) GROUP BY l.cluster, w.term),
+kw AS (SELECT cluster, term FROM
+       (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rk FROM s) WHERE rk = 1)
+SELECT d.doc_id, d.cluster, coalesce(k.term, '') AS group_title FROM dlab d LEFT JOIN kw k USING (cluster)""")
 def q_cluster_selected_dbscan(spark, sf_dir):
     docs = TB.read_table(spark, sf_dir, "documents")
     sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)

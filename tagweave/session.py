@@ -16,6 +16,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # text rows are large and their per-row work is CPU heavy: smaller input splits and
+    # shuffle partitions of about 64 MiB keep tasks short and within executor memory
+    "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -79,3 +79,19 @@ def test_tag_arrivals_stream_equals_batch(spark):
     got = sorted((r.page_id, r.rank, r.tag) for r in spark.read.parquet(out + "/tags").collect())
     want, _ = tag_pages(pages)
     assert got == sorted((r.page_id, r.rank, r.tag) for r in want.collect())
+
+
+def test_tag_fold_stream_counts_late_events(spark):
+    src = _fresh_dir()
+    schema = "doc_id long, seq long, op string, tag string, tags array<string>"
+    spark.createDataFrame([(1, 5, "add", "a", None), (1, 3, "add", "b", None)], schema) \
+         .coalesce(1).write.parquet(os.path.join(src, "p0"))
+    # arrives later but is older than the last applied seq (5): skipped and counted
+    spark.createDataFrame([(1, 4, "add", "c", None), (1, 6, "remove", "a", None)], schema) \
+         .coalesce(1).write.parquet(os.path.join(src, "p1"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    q = (TE.fold_tag_stream(stream).writeStream.outputMode("update").format("memory").queryName("latefold")
+         .option("checkpointLocation", _fresh_dir()).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    last = spark.table("latefold").orderBy(F.col("last_seq").desc()).first()
+    assert list(last.tags) == ["b"] and last.late == 1
