@@ -521,7 +521,8 @@ def q_textrank(spark, sf_dir):
 
 @register("pair_counts")
 def q_pair_counts(spark, sf_dir):
-    return GR.pair_counts(_docs(spark, sf_dir), k=5)
+    return GR.pair_counts(_docs(spark, sf_dir), k=5).select(
+        "doc_id", F.col("rank").cast("long").alias("rank"), "term", "count")
 
 
 _SQL_EVAL = ("WITH " + S.eval_docs_cte() + "," + S.TOKENS_TF + S.tfidf_ctes(0.95, 2) + ",\n"
@@ -834,3 +835,67 @@ def q_cluster_selected_dbscan(spark, sf_dir):
 @register("page_content")
 def q_page_content(spark, sf_dir):
     return PG.page_content(TB.read_table(spark, sf_dir, "pages"))
+
+
+def _sql_exact_pairs(sel: str, name: str) -> str:
+    """CTEs computing exact ordered-pair counts for the pairs in ``sel`` (doc_id, ta, tb, fa)."""
+    return f"""{name}_rows AS (
+  SELECT c.doc_id, c.ta, c.tb, c.fa, t.pos, t.term = c.ta AS is_a, t.term = c.tb AS is_b
+  FROM {sel} c JOIN toks t ON t.doc_id = c.doc_id AND t.term = c.ta
+  UNION ALL
+  SELECT c.doc_id, c.ta, c.tb, c.fa, t.pos, false, true
+  FROM {sel} c JOIN toks t ON t.doc_id = c.doc_id AND t.term = c.tb WHERE c.ta <> c.tb),
+{name}_run AS (SELECT *, coalesce(sum(CASE WHEN is_a THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ta, tb ORDER BY pos
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a_before FROM {name}_rows),
+{name} AS (SELECT doc_id, ta, tb, fa, sum(CASE WHEN is_b THEN a_before ELSE 0 END) AS n,
+                  min(CASE WHEN is_b AND a_before > 0 THEN pos END) AS fb FROM {name}_run GROUP BY doc_id, ta, tb, fa)"""
+
+
+ORACLES["pair_counts"] = f"""WITH docs AS ({S.docs_cte()}),
+toks AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM docs),
+uni AS (SELECT doc_id, term, count(*) AS c, min(pos) AS first FROM toks GROUP BY doc_id, term),
+urank AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, first) AS rk FROM uni),
+kth AS (SELECT doc_id, coalesce(max(c) FILTER (WHERE rk = 5), 0) AS kth FROM urank GROUP BY doc_id),
+cand0 AS (SELECT a.doc_id, a.term AS ta, b.term AS tb, a.first AS fa,
+                 CASE WHEN a.term = b.term THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END AS ub
+          FROM uni a JOIN uni b USING (doc_id) JOIN kth k USING (doc_id)
+          WHERE (CASE WHEN a.term = b.term THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END) > k.kth),
+sel1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ub DESC, ta, tb) AS r FROM cand0)
+         WHERE r <= 10),
+{_sql_exact_pairs("sel1", "ex1")},
+e1 AS (SELECT doc_id, c AS n, 0 AS kind, first AS i, 0 AS j FROM uni
+       UNION ALL SELECT doc_id, n, 1, fa, fb FROM ex1 WHERE n > 0),
+t1 AS (SELECT doc_id, coalesce(max(n) FILTER (WHERE r = 5), 0) AS t FROM
+       (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, kind, i, j) AS r FROM e1)
+       GROUP BY doc_id),
+sel2 AS (SELECT c.* FROM cand0 c JOIN t1 USING (doc_id) WHERE c.ub >= t1.t),
+{_sql_exact_pairs("sel2", "ex2")},
+allv AS (SELECT doc_id, c AS n, 0 AS kind, first AS i, 0 AS j, term FROM uni
+         UNION ALL SELECT doc_id, n, 1, fa, fb, ta || ' ' || tb FROM ex2 WHERE n > 0)
+SELECT doc_id, rank, term, n AS count FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, kind, i, j) AS rank FROM allv)
+WHERE rank <= 5"""
+
+
+def _sql_keyword_quality() -> str:
+    pc = ORACLES["pair_counts"].replace("\nSELECT doc_id, rank, term, n AS count FROM",
+                                        ",\npc AS (SELECT doc_id, rank, term, n AS count FROM", 1) + ")"
+    return pc + f""",
+{_SQL_TRUTH},
+grams AS (SELECT doc_id, unnest(tokens) AS term FROM docs
+          UNION ALL
+          SELECT doc_id, tokens[i] || ' ' || tokens[i + 1] AS term
+          FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens))) AS i FROM docs)),
+gc AS (SELECT doc_id, term, count(*) AS c FROM grams GROUP BY doc_id, term),
+pred AS (SELECT doc_id, 'tfidf' AS extractor, term FROM
+           (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, term) AS rk FROM gc) WHERE rk <= 5
+         UNION ALL SELECT doc_id, 'combinations', term FROM pc)
+SELECT doc_id, extractor, count(*) AS n_pred,
+       count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) AS hits,
+       round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / count(*), 6) AS precision,
+       round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / (SELECT count(*) FROM truth), 6)
+         AS recall
+FROM pred GROUP BY doc_id, extractor"""
+
+
+ORACLES["keyword_quality"] = _sql_keyword_quality()
