@@ -899,3 +899,22 @@ FROM pred GROUP BY doc_id, extractor"""
 
 
 ORACLES["keyword_quality"] = _sql_keyword_quality()
+
+
+def _sql_service_replies() -> str:
+    ent_sql = _sql_entities()
+    body = ent_sql[len("WITH "):]
+    cut = body.rindex("\nSELECT f.doc_id")
+    ent_ctes = body[:cut] + ",\nent AS (" + body[cut + 1:] + ")"
+    return ("WITH " + S.keyword_tags_sql(S.docs_cte()) + ",\n" + ent_ctes + """,
+tg AS (SELECT doc_id, list(tag ORDER BY rank) AS tags FROM kw GROUP BY doc_id),
+pl AS (SELECT doc_id, label_rank, title, list(entity ORDER BY entity_rank) AS tags FROM ent
+       GROUP BY doc_id, label_rank, title),
+nr AS (SELECT doc_id, list({'title': title, 'tags': tags} ORDER BY label_rank) AS ner_tags FROM pl GROUP BY doc_id)
+SELECT coalesce(tg.doc_id, nr.doc_id) AS doc_id,
+       CAST(to_json({'ner_tags': coalesce(nr.ner_tags, CAST([] AS STRUCT(title VARCHAR, tags VARCHAR[])[])),
+                     'tags': coalesce(tg.tags, CAST([] AS VARCHAR[]))}) AS VARCHAR) AS reply
+FROM tg FULL JOIN nr ON tg.doc_id = nr.doc_id""")
+
+
+ORACLES["service_replies"] = _sql_service_replies()
