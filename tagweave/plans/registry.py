@@ -332,7 +332,7 @@ def q_tab_rows(spark, sf_dir):
 def q_group_breaks(spark, sf_dir):
     docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     rows = RU.rows_with_group(docs, _doc_groups(spark, sf_dir))
-    return RU.group_breaks(rows, "lang", "doc_id").select("doc_id", "lang", "group_id", "is_break")
+    return RU.group_breaks(rows, "lang", "doc_id", bucket_width=64).select("doc_id", "lang", "group_id", "is_break")
 
 
 @register("selected_docs", "SELECT doc_id, source FROM documents WHERE doc_id IN "
