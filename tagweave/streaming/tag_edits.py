@@ -7,9 +7,9 @@ Batch form without collecting a document's events: only events after the
 last ``set`` matter, and a ``remove`` of tag t only interacts with earlier
 ``add``s of t, which leave in first-in-first-out order. So per (document, tag)
 the surviving adds are the latest k, where k is the running +1/-1 sum clamped
-at zero, i.e. total - min(0, lowest prefix sum). That is two window passes
-partitioned by (doc_id, tag): a hot document is spread over its tags and no
-task ever holds a document's whole history in memory.
+at zero, i.e. total - min(0, lowest prefix sum). Windows run per (doc_id,
+tag, seq bucket) with carries between buckets from small tables, so no task
+holds a document's whole history.
 """
 
 from __future__ import annotations
@@ -43,10 +43,14 @@ def events_to_tag_events(events: DataFrame) -> DataFrame:
                   .select("doc_id", "seq", "op", "tag", "tags"))
 
 
-def fold_tag_events(ev: DataFrame) -> DataFrame:
+def fold_tag_events(ev: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
     """Final tag list of every document as rows ``(doc_id, pos, tag)`` (pos from 1).
 
     A document whose list ends empty has no rows (it counts as untagged).
+    Windows run per (document, tag, bucket of ``bucket_width`` seq values);
+    what crosses buckets (running-sum carry, lowest prefix, adds after, list
+    offsets) comes from small per-bucket tables, so even one document or one
+    (document, tag) with a third of all events is sorted by many tasks.
     """
     last_set = (ev.where(F.col("op") == "set").groupBy("doc_id")
                   .agg(F.max_by("tags", "seq").alias("set_tags"), F.max("seq").alias("set_seq")))
@@ -59,18 +63,33 @@ def fold_tag_events(ev: DataFrame) -> DataFrame:
                .where(F.col("set_seq").isNull() | (F.col("seq") > F.col("set_seq")))
                .select("doc_id", "seq", F.lit(0).alias("sub"), "tag",
                        F.when(F.col("op") == "add", 1).otherwise(-1).alias("delta")))
-    steps = base.unionByName(later)
-    w_run = Window.partitionBy("doc_id", "tag").orderBy("seq", "sub")
-    w_all = Window.partitionBy("doc_id", "tag")
-    steps = (steps.withColumn("run", F.sum("delta").over(w_run.rowsBetween(Window.unboundedPreceding, 0)))
-                  .withColumn("total", F.sum("delta").over(w_all))
-                  .withColumn("low", F.min("run").over(w_all))
-                  .withColumn("keep_n", F.col("total") - F.least(F.lit(0), F.col("low"))))
-    adds = steps.where(F.col("delta") == 1)
-    w_back = Window.partitionBy("doc_id", "tag").orderBy(F.col("seq").desc(), F.col("sub").desc())
-    kept = adds.withColumn("from_end", F.row_number().over(w_back)).where(F.col("from_end") <= F.col("keep_n"))
-    w_pos = Window.partitionBy("doc_id").orderBy("seq", "sub")
-    return kept.select("doc_id", F.row_number().over(w_pos).alias("pos"), "tag")
+    steps = base.unionByName(later).withColumn("_b", F.floor(F.col("seq") / F.lit(bucket_width)))
+    upto = Window.unboundedPreceding
+    w_in = Window.partitionBy("doc_id", "tag", "_b").orderBy("seq", "sub").rowsBetween(upto, 0)
+    steps = steps.withColumn("run_in", F.sum("delta").over(w_in))
+    bstat = steps.groupBy("doc_id", "tag", "_b").agg(
+        F.sum("delta").alias("tot_b"), F.min("run_in").alias("low_b"),
+        F.sum(F.when(F.col("delta") == 1, 1).otherwise(0)).alias("adds_b"))
+    wb = Window.partitionBy("doc_id", "tag").orderBy("_b")
+    bstat = (bstat.withColumn("carry", F.coalesce(F.sum("tot_b").over(wb.rowsBetween(upto, -1)), F.lit(0)))
+                  .withColumn("adds_after", F.coalesce(
+                      F.sum("adds_b").over(wb.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))))
+    # adds that survive: the latest keep_n, keep_n = total - min(0, lowest prefix sum)
+    tagstat = (bstat.groupBy("doc_id", "tag")
+                    .agg(F.sum("tot_b").alias("total"), F.min(F.col("carry") + F.col("low_b")).alias("low"))
+                    .select("doc_id", "tag", (F.col("total") - F.least(F.lit(0), F.col("low"))).alias("keep_n")))
+    w_back = Window.partitionBy("doc_id", "tag", "_b").orderBy(F.col("seq").desc(), F.col("sub").desc())
+    adds = (steps.where(F.col("delta") == 1)
+                 .withColumn("from_end", F.row_number().over(w_back))
+                 .join(bstat.select("doc_id", "tag", "_b", "adds_after"), ["doc_id", "tag", "_b"])
+                 .join(tagstat, ["doc_id", "tag"]))
+    kept = adds.where(F.col("from_end") + F.col("adds_after") <= F.col("keep_n"))
+    w_pos = Window.partitionBy("doc_id", "_b").orderBy("seq", "sub")
+    kept = kept.withColumn("pos_in", F.row_number().over(w_pos))
+    cnt = kept.groupBy("doc_id", "_b").agg(F.count(F.lit(1)).alias("n_b"))
+    cnt = cnt.withColumn("off", F.coalesce(F.sum("n_b").over(
+        Window.partitionBy("doc_id").orderBy("_b").rowsBetween(upto, -1)), F.lit(0)))
+    return kept.join(cnt, ["doc_id", "_b"]).select("doc_id", (F.col("off") + F.col("pos_in")).alias("pos"), "tag")
 
 
 def tag_lists(rows: DataFrame) -> DataFrame:

@@ -95,3 +95,11 @@ def test_tag_fold_stream_counts_late_events(spark):
     q.awaitTermination(300)
     last = spark.table("latefold").orderBy(F.col("last_seq").desc()).first()
     assert list(last.tags) == ["b"] and last.late == 1
+
+
+def test_tag_fold_buckets_do_not_change_result(spark):
+    ev = TE.events_to_tag_events(read_table(spark, SF001.replace("0.001", "0.01"), "events")).cache()
+    want = _python_fold([tuple(r) for r in ev.collect()])
+    for bw in (7, 100, 1 << 20):
+        got = {r.doc_id: r.tags for r in TE.tag_lists(TE.fold_tag_events(ev, bucket_width=bw)).collect()}
+        assert got == want, bw
