@@ -370,7 +370,7 @@ tagrows AS (SELECT doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS
 def q_tag_fold(spark, sf_dir):
     ev = TE.events_to_tag_events(TB.read_table(spark, sf_dir, "events"))
     # small seq buckets so that the cross-bucket carries are exercised at test scale
-    return TE.fold_tag_events(ev, bucket_width=256).select("doc_id", F.col("pos").cast("long").alias("pos"), "tag")
+    return TE.fold_tag_events(ev, bucket_width=4096).select("doc_id", F.col("pos").cast("long").alias("pos"), "tag")
 
 
 @register("untagged_docs", "WITH RECURSIVE " + _SQL_EVENTS +
