@@ -77,15 +77,17 @@ def pagerank_local(ea, eb, alpha: float = 0.85, max_iter: int = 100, tol: float
 
 def textrank(docs: DataFrame, top_n: int = 10, alpha: float = 0.85, max_iter: int = 100,
              tol: float | None = 1e-6, text_col: str = "text",
-             stop_words: Iterable[str] = DEFAULT_STOP_WORDS, rank_digits: int | None = None) -> DataFrame:
+             stop_words: Iterable[str] = DEFAULT_STOP_WORDS, rank_digits: int | None = None,
+             tokens: DataFrame | None = None) -> DataFrame:
     """``(doc_id, rank, term, score)``, the ``top_n`` PageRank words of each document.
 
     Graph: adjacent tokens (positions i, i+1) that are both alphabetic and not
     stop words are linked (Q11: neighbour = adjacent position). Ties: term
     ascending; ``rank_digits`` rounds scores before ranking so that equal
-    scores computed in different summation orders tie exactly.
+    scores computed in different summation orders tie exactly. ``tokens``: the
+    output of :func:`raw_tokens` when the caller already has it.
     """
-    g = word_graph(raw_tokens(docs, text_col, stop_words))
+    g = word_graph(tokens if tokens is not None else raw_tokens(docs, text_col, stop_words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

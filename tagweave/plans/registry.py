@@ -539,10 +539,15 @@ _SQL_EVAL = ("WITH " + S.eval_docs_cte() + "," + S.TOKENS_TF + S.tfidf_ctes(0.95
 
 
 def _eval_matrices(spark, sf_dir):
-    toks = _eval_tokens(spark, sf_dir)
+    """TF-IDF top-10 and TextRank matrices of the evaluation corpus, tokenized once."""
+    from tagweave.session import reuse
+    rt = reuse(GR.raw_tokens(_eval_docs(spark, sf_dir)))
+    toks = rt.select("doc_id", F.transform(F.filter(F.arrays_zip("rt", "keep"), lambda z: z["keep"]),
+                                           lambda z: F.lower(z["rt"])).alias("tokens"))
     w, idf = FE.tfidf(toks, max_df=0.95, min_df=2, return_idf=True)
     top10 = FE.top_terms(w, 10).select("doc_id", "term", "weight")
-    trm = EV.keyword_matrix_from_terms(_textrank(spark, sf_dir).select("doc_id", "term"), idf)
+    tr = GR.textrank(None, top_n=10, max_iter=TR_ITERS, tol=None, rank_digits=9, tokens=rt)
+    trm = EV.keyword_matrix_from_terms(tr.select("doc_id", "term"), idf)
     return toks, top10, trm
 
 
