@@ -1,14 +1,18 @@
 """Queries of the corpus operators and their oracle SQL, by name."""
 
-from tagweave.llm import chat_format, license_scan, line_dedup
+from tagweave.llm import chat_format, license_scan, line_dedup, mixing, quality_rank, quality_rules
 
 QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op9_quality_rank": quality_rank.op9_quality_rank,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
 }
