@@ -1,8 +1,9 @@
 """Queries of the corpus operators and their oracle SQL, by name."""
 
-from tagweave.llm import chat_format, license_scan, line_dedup, mixing, quality_rank, quality_rules
+from tagweave.llm import chat_format, license_scan, line_dedup, mixing, quality_rank, quality_rules, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,

@@ -32,7 +32,13 @@ def write_stage(df: DataFrame, tag: str) -> str:
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written to the shared folder and read back."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, tag))
+    return staged(df, tag)[0]
+
+
+def staged(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Like ``stage``, with the path, for tables that are dropped when no later step reads them."""
+    path = write_stage(df, tag)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def drop_stage(spark: SparkSession, path: str) -> None:
