@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their oracle SQL, by name."""
 
-from tagweave.llm import chat_format, license_scan, line_dedup, mixing, quality_rank, quality_rules, substring_dedup
+from tagweave.llm import chat_format, license_scan, line_dedup, mixing, near_dedup, quality_rank, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_quality_rank": quality_rank.op9_quality_rank,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
@@ -17,4 +18,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
 }

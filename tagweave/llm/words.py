@@ -73,7 +73,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     bufs = column.buffers()
     off = np.frombuffer(bufs[1], dtype=np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1]
