@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their oracle SQL, by name."""
 
-from tagweave.llm import chat_format, license_scan, line_dedup, mixing, near_dedup, quality_rank, quality_rules, substring_dedup
+from tagweave.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rank, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_rank": quality_rank.op9_quality_rank,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
