@@ -101,7 +101,7 @@ def _permuted(block, blocks, rank, epoch, seed):
 
 
 def plan(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, max_repeat: int = 3, block_words: int = 2048,
-         blocks_per_shard: int = 1024, bucket_docs: int = 20_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+         blocks_per_shard: int = 1024, bucket_docs: int = 1000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, pieces).
 
     documents: row, doc_id, source, size, source_size, target. pieces, the mix itself: shard, slot (order
