@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.components import components
-from tagweave.llm.shared import drop_stage, release, stage, staged, text_of
+from tagweave.llm.shared import drop_stage, release, stage, staged, text_batches, text_of
 from tagweave.llm.words import BASE, U, Words, mix, ngrams, slices, split_words, string_bytes
 
 TREES, DEPTH, LEAST = 24, 8, 4
@@ -316,6 +316,7 @@ def _region_members(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, lower: bool = True) -> DataFrame:
     """(d, n_shingles, component) of every row of ``docs`` (d, text); d is the id, never null."""
     spark = docs.sparkSession
+    text_batches(spark)
     sets, p_sets = staged(document_sets(docs, shingle, lower), "near-sets")
     nodes = stage(sets.where("n > 0").groupBy("ka", "kb", "n").agg(F.min("d").alias("node"), F.first("sig").alias("sig")),
                   "near-nodes")

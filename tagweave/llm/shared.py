@@ -58,6 +58,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows: text rows are long, and a task holds a batch on both sides of the pipe."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` alone also maps letters outside ASCII)."""
     ascii_only = F.octet_length(c) == F.char_length(c)

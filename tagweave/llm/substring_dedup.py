@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.shared import drop_stage, release, stage, staged, text_of
+from tagweave.llm.shared import drop_stage, release, stage, staged, text_batches, text_of
 from tagweave.llm.words import U, Words, _powers, complete, mix, ngrams, slices, split_words, string_bytes
 
 K = 13
@@ -204,6 +204,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     base = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(key).alias("_key"),
                        F.col(text).alias("text"))
     base = _keys(base, "text", "_key").drop("_key")
+    text_batches(docs.sparkSession)
     spans = repeated_spans(base.select(*DOC, "text"))
     spans = stage(spans.groupBy(*DOC).agg(F.collect_set(F.struct("a", "n")).alias("_cut")), "dedup-cuts")
     release(docs.sparkSession)
