@@ -1,8 +1,9 @@
 """Queries of the corpus operators and their oracle SQL, by name."""
 
-from tagweave.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rank, quality_rules, substring_dedup
+from tagweave.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rank, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
