@@ -15,8 +15,9 @@
 
 No pair is dropped by size: every pair of a region is compared or known to be connected. Defined results:
 null and empty texts have an empty set and are linked with nothing; documents with fewer words than the
-shingle are the whole sequence; repeated rows are copies; a null id never becomes the name of a group with a
-known id (it counts as the largest); an empty table gives an empty result; extra columns are ignored.
+shingle are the whole sequence; repeated rows are copies; documents with equal ids count as one; a null id
+counts as larger than any other (such documents are told apart by their texts); an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -362,14 +363,34 @@ def _family_sets(docs: DataFrame, families: DataFrame, k: int, lower: bool) -> D
     return src.mapInArrow(run, "component long, node long, shingles array<long>")
 
 
+#: Ids of documents without one start here; they are named by their text.
+NO_ID = 1 << 62
+
+
 def with_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("d"), F.col(text).alias("text"))
+    """(d, text): ``d`` is never null, and larger than every given id where that is null."""
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64(text_of(text)), F.lit(NO_ID >> 1))
+    return docs.select(F.coalesce(F.col(key).cast("long"), unnamed).alias("d"), F.col(text).alias("text"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group (the smallest id), and repeated rows once."""
+    names = docs.columns
+    inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    k, t = (f"_c{names.index(c)}" for c in (key, text))
+    groups = near_duplicates(with_ids(inner, k, t), shingle, percent)
+    stay = stage(groups.where("d = component").select("d").distinct(), "near-kept")
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64(text_of(t)), F.lit(NO_ID >> 1))
+    keyed = inner.withColumns({"d": F.coalesce(F.col(k).cast("long"), unnamed), "th": F.xxhash64(text_of(t))})
+    out = keyed.join(stay, "d", "left_semi").dropDuplicates(["d", "th"])
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(with_ids(docs))
-    return out.select(F.col("d").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+    named = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return out.select(named("d").alias("doc_id"), "n_shingles", named("component").alias("component_id"),
                       (F.col("d") == F.col("component")).alias("kept"))
 
 
