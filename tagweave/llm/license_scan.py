@@ -187,7 +187,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     # a rule without a match gives no row, but every document keeps one
     d = d.select(*keep, "_row", "n_words", "rule", "tier", F.posexplode_outer("_m").alias("_i", "_m"))
     d = (d.withColumn("gap", F.col("_m.gap")).withColumn("len", F.col("_m.len"))
-          .withColumn("rule", F.when(F.col("_m").isNotNull(), F.col("rule"))).drop("_m"))
+          .withColumns({c: F.when(F.col("_m").isNotNull(), F.col(c)) for c in ("rule", "tier")}).drop("_m"))
     # words before a match: those in the gaps up to it and in the matches before it
     by_rule = Window.partitionBy("_row", "rule").orderBy("_i")
     d = (d.repartition("_row")

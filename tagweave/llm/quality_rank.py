@@ -167,7 +167,7 @@ def rank_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max
     train = (labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
                    .join(table, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train))
     rows = train.select("x", "y").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     model = fit(x, rows["y"].to_numpy())
     return table.select("doc_id", score_column(model).alias("score"))
 
