@@ -9,9 +9,11 @@ ASCII, lower-cased). A document is contaminated by an item if some window of it
 2. CGK. Every repetition walks over a sequence with its own random functions: at step j it writes the current
    word and moves on if the word's random bit for step j says so. Edits then cost few positions of the
    written sequence (Hamming distance) with good probability, since the walks of two texts soon meet again.
-3. Bit sampling. ``SAMPLES`` positions of the walk are a bucket. Windows of the size class of an item meet it
-   in one of ``repetitions(...)`` buckets with the target recall, computed for the worst edits allowed.
-4. Edit distance. Each pair of window and item that met is verified by dynamic programming.
+3. Bit sampling. ``SAMPLES`` positions of the walk (of as many steps as the smallest item of a size class has
+   words) are a bucket. Windows of the size class of an item meet it in one of ``repetitions(...)`` buckets
+   with the target recall, computed for the worst edits allowed.
+4. Edit distance. Each pair of window and item that met, and shares so many distinct words as k edits leave,
+   is verified by dynamic programming.
 
 Two filters keep all other windows from being embedded or shuffled. A window within k edits of an item of n
 words holds at least n - q + 1 - kq of the item's q-grams (q = 4, or 3 where only such are sure to survive),
@@ -38,7 +40,8 @@ from tagweave.llm.words import BASE, PUNCT_BYTES, U, Words, complete, mix, ngram
 
 LEAST, PIECE = 8, 96
 SAMPLES = 2
-AGREEMENT = 0.40  # share of equal walk positions at 20 % edits (simulated; higher for fewer edits)
+AGREEMENT = 0.45  # share of equal walk positions at 20 % edits (simulated; higher for fewer edits)
+ZONE = 512        # most starts of windows in one row
 BITS = 24         # the bit tables have 2**BITS bits (2 MB)
 GROWTH = 1.25     # of the size classes
 DOC = ["d", "th"]
@@ -114,30 +117,42 @@ def gram_hashes(hashes: np.ndarray, q: int) -> np.ndarray:
     return mix(ngrams(w, q) + U(q))
 
 
-def walk_buckets(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, classes: list[int], reps: int):
+def _spots(r: int, classes: list[int]) -> dict[int, np.ndarray]:
+    """Sampled walk positions of a repetition: they depend on it and the class alone, so items and windows agree."""
+    return {c: np.sort(np.random.default_rng([r, c]).integers(0, class_base(c), SAMPLES)) for c in classes}
+
+
+def walk_buckets(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, classes: list[int], reps: int,
+                 top: np.ndarray | None = None):
     """CGK walks from ``start`` (words; ``end`` is where each one's text ends): for each repetition and class
-    yields (repetition, class, bucket of each start)."""
-    steps = {c: 2 * class_base(c) for c in classes}
+    yields (repetition, class, bucket of the first starts). ``top`` is the largest class each start is asked
+    for, in falling order: a start is walked as far as that class needs and no further."""
+    top = np.full(len(start), max(classes)) if top is None else top
     for r in range(reps):
-        # functions and positions depend on the repetition and the class alone: items and windows agree
-        spots = {c: np.sort(np.random.default_rng([r, c]).integers(0, steps[c], SAMPLES)) for c in classes}
-        last = max(int(s[-1]) for s in spots.values())
-        salts = np.array([(r * 1_000_003 + b * 7919 + 1) * BASE % (1 << 64) for b in range(last // 64 + 1)], dtype=U)
+        spots = _spots(r, classes)
+        # steps needed for class c and all smaller ones
+        far = np.maximum.accumulate([int(spots[c][-1]) for c in classes])
+        need = far[np.searchsorted(classes, top)]
+        salts = np.array([(r * 1_000_003 + b * 7919 + 1) * BASE % (1 << 64) for b in range(int(far[-1]) // 64 + 1)], dtype=U)
         bits = [mix(hashes ^ s) for s in salts]  # bit j of word i: whether step j moves on at it
-        at = start.copy()
+        at, live = start.copy(), len(start)
         seen = {c: np.full(len(start), (r * 64 + c + 1) * 0x9E3779B1, dtype=U) for c in classes}
-        for j in range(last + 1):
-            inside = at < end
-            here = np.minimum(at, len(hashes) - 1)
-            need = [c for c in classes if j in spots[c]]
-            if need:
+        for j in range(int(far[-1]) + 1):
+            live = int(np.searchsorted(-need, -j, "right"))  # starts that need step j
+            if not live:
+                break
+            a = at[:live]
+            inside = a < end[:live]
+            here = np.minimum(a, len(hashes) - 1)
+            asked = [c for c in classes if j in spots[c]]
+            if asked:
                 word = np.where(inside, hashes[here], U(0))
-                for c in need:
+                for c in asked:
                     for _ in range(int((spots[c] == j).sum())):
-                        seen[c] = mix(seen[c] * U(31) + word)
-            at = at + (inside & ((bits[j // 64][here] >> U(j % 64)) & U(1)).astype(bool))
+                        seen[c][:live] = mix(seen[c][:live] * U(31) + word)
+            a += inside & ((bits[j // 64][here] >> U(j % 64)) & U(1)).astype(bool)
         for c in classes:
-            yield r, c, seen[c]
+            yield r, c, seen[c][:int(np.searchsorted(-top, -c, "right"))]
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
@@ -187,14 +202,15 @@ def piece_keys(pieces: DataFrame, percent: int, reps: int) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, grams: np.ndarray, buckets: np.ndarray, sizes: list[int], percent: int, reps: int):
-    """(d, th, s, keys, words): windows of ``docs`` (d, th, text) in a bucket of some item. ``sizes`` are the
-    distinct numbers of words of the pieces (at most PIECE)."""
+    """(d, th, z, starts, keys, words): zones of ``docs`` (d, th, text) with windows in a bucket of some item.
+    ``words`` are the document's from word ``z`` on, ``starts`` (from z) and ``keys`` the windows' buckets.
+    ``sizes`` are the distinct numbers of words of the pieces (at most PIECE)."""
     classes = sorted({int(size_class(n)) for n in sizes})
     need = {c: min(least_grams(n, percent) for n in sizes if size_class(n) == c) for c in classes}
     reach = {c: max(n + edits(n, percent) for n in sizes if size_class(n) == c) for c in classes}
+    longest = max(reach.values())
     qs = sorted({gram_size(n, percent) for n in sizes})
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((grams, buckets))
+    shared = docs.sparkSession.sparkContext.broadcast((grams, buckets))
 
     def run(batches):
         gram_bits, bucket_bits = shared.value
@@ -207,47 +223,55 @@ def find_windows(docs: DataFrame, grams: np.ndarray, buckets: np.ndarray, sizes:
                 for q in qs:
                     ok = np.flatnonzero(complete(w, q))
                     hit[ok] |= _in_table(gram_bits, mix(ngrams(w, q) + U(q))[ok])
-                count = np.concatenate(([0], np.cumsum(hit)))
                 near = np.flatnonzero(hit)
                 if not len(near):
                     continue
+                count = np.concatenate(([0], np.cumsum(hit)))
                 end = np.repeat(w.ptr[1:], w.counts)
                 # starts that can hold a hit: up to the longest window before one
                 zone = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(zone, np.maximum(near - max(reach.values()), 0), 1)
+                np.add.at(zone, np.maximum(near - longest, 0), 1)
                 np.add.at(zone, near + 1, -1)
                 start = np.flatnonzero(np.cumsum(zone[:-1]) > 0)
-                stop = end[start]
-                gate = {c: count[np.minimum(start + reach[c], stop)] - count[start] >= need[c] for c in classes}
-                some = np.logical_or.reduce(list(gate.values()))
-                start, stop = start[some], stop[some]
-                gate = {c: g[some] for c, g in gate.items()}
-                if not len(start):
+                top = np.full(len(start), -1)
+                gate = {}
+                for c in classes:
+                    gate[c] = count[np.minimum(start + reach[c], end[start])] - count[start] >= need[c]
+                    top[gate[c]] = c
+                order = np.argsort(-top, kind="stable")
+                order = order[top[order] >= 0]
+                if not len(order):
                     continue
+                start, top, gate = start[order], top[order], {c: g[order] for c, g in gate.items()}
                 rows, keys = [], []
-                for _, c, b in walk_buckets(w.hash, start, stop, classes, reps):
-                    ok = np.flatnonzero(gate[c] & _in_table(bucket_bits, b))
-                    rows.append(ok)
+                for _, c, b in walk_buckets(w.hash, start, end[start], classes, reps, top):
+                    ok = np.flatnonzero(gate[c][:len(b)] & _in_table(bucket_bits, b))
+                    rows.append(start[ok])
                     keys.append(b[ok])
-                rows, keys = np.concatenate(rows), np.concatenate(keys)
-                order = np.argsort(rows, kind="stable")
-                found, sizes_ = np.unique(rows, return_counts=True)
-                if not len(found):
+                at, keys = np.concatenate(rows), np.concatenate(keys)
+                if not len(at):
                     continue
-                a = start[found]
-                z = np.minimum(a + max(reach.values()), stop[found])
-                doc = np.searchsorted(w.ptr, a, "right") - 1
-                off = np.concatenate(([0], np.cumsum(z - a)))
-                words = w.hash[np.arange(off[-1]) + np.repeat(a - off[:-1], z - a)]
-                take = pa.array(doc)
-                lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.view(np.int64)))
+                order = np.argsort(at, kind="stable")
+                at, keys = at[order], keys[order]
+                # zones: starts of a document close to each other, at most ZONE words apart
+                doc = np.searchsorted(w.ptr, at, "right") - 1
+                cut = np.concatenate(([True], (at[1:] // ZONE != at[:-1] // ZONE) | (doc[1:] != doc[:-1])))
+                first = np.flatnonzero(cut)
+                last = np.append(first[1:], len(at)) - 1
+                lo, hi = at[first], np.minimum(at[last] + longest, end[at[last]])
+                off = np.concatenate(([0], np.cumsum(hi - lo)))
+                words = w.hash[np.arange(off[-1]) + np.repeat(lo - off[:-1], hi - lo)]
+                take = pa.array(doc[first])
+                cuts = pa.array(np.append(first, len(at)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(a - w.ptr[doc]),
-                     lists(np.concatenate(([0], np.cumsum(sizes_))), keys[order]), lists(off, words)],
-                    names=[*DOC, "s", "keys", "words"])
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(lo - w.ptr[doc[first]]),
+                     pa.ListArray.from_arrays(cuts, pa.array((at - np.repeat(lo, last - first + 1)).astype(np.int32))),
+                     pa.ListArray.from_arrays(cuts, pa.array(keys.view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(words.view(np.int64)))],
+                    names=[*DOC, "z", "starts", "keys", "words"])
 
     return docs.select(*DOC, F.lower(text_of()).alias("_text")).mapInArrow(
-        run, "d long, th long, s long, keys array<long>, words array<long>")
+        run, "d long, th long, z long, starts array<int>, keys array<long>, words array<long>")
 
 
 def prefix_distance(items: np.ndarray, item_n: np.ndarray, windows: np.ndarray, window_n: np.ndarray):
@@ -318,12 +342,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, targe
         return base.select(*DOC, *[F.lit(0).cast("long").alias(c) for c in
                                    ("item", "edits", "n", "first_word", "n_words")]).where(F.lit(False))
     tables = [bit_table(keys.where(F.col("kind") == k).select("h").distinct()) for k in (0, 1)]
-    found = stage(find_windows(base, *tables, sizes, percent, reps), "bench-windows")
-    met = (found.select(*DOC, "s", F.explode("keys").alias("h"))
+    found = stage(find_windows(base, *tables, sizes, percent, reps).dropDuplicates([*DOC, "z"]), "bench-windows")
+    met = (found.select(*DOC, "z", F.explode(F.arrays_zip("starts", "keys")).alias("x"))
+                .select(*DOC, "z", F.col("x.starts").alias("o"), F.col("x.keys").alias("h"))
                 .join(keys.where(F.col("kind") == 1).select("h", "item", "piece"), "h")
-                .select(*DOC, "s", "item", "piece").distinct())
-    pairs = (met.join(found.dropDuplicates([*DOC, "s"]).select(*DOC, "s", F.col("words").alias("window")), [*DOC, "s"])
-                .join(pieces.select("item", "piece", "words"), ["item", "piece"]))
+                .select(*DOC, "z", "o", "item", "piece").distinct())
+    k = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
+    pairs = (met.join(found.select(*DOC, "z", F.col("words").alias("zone")), [*DOC, "z"])
+                .join(pieces.select("item", "piece", "n", "words"), ["item", "piece"])
+                .withColumn("window", F.slice("zone", F.col("o") + 1, F.col("n").cast("int") + k))
+                .withColumn("s", F.col("z") + F.col("o")))
+    # an edit takes away one distinct word of the item at most
+    own = F.size(F.array_distinct("words"))
+    pairs = pairs.where(F.size(F.array_intersect("words", "window")) >= own - k)
     close = verify(pairs, percent)
     best = close.groupBy(*DOC, "item").agg(F.min(F.struct("edits", "first_word", "n_words", "n")).alias("m"))
     return best.select(*DOC, "item", "m.edits", "m.n", "m.first_word", "m.n_words")
