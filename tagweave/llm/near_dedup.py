@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.components import components
-from tagweave.llm.shared import drop_stage, release, stage, staged, text_batches, text_of
+from tagweave.llm.shared import drop_stage, stage, staged, text_batches, text_of
 from tagweave.llm.words import BASE, U, Words, mix, ngrams, slices, split_words, string_bytes
 
 TREES, DEPTH, LEAST = 24, 8, 4
@@ -321,11 +321,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, lower:
     sets, p_sets = staged(document_sets(docs, shingle, lower), "near-sets")
     nodes = stage(sets.where("n > 0").groupBy("ka", "kb", "n").agg(F.min("d").alias("node"), F.first("sig").alias("sig")),
                   "near-nodes")
-    release(spark)
     members, p_regions = _region_members(nodes)
     candidates = link_groups(members, _candidate_task(percent), "sig")
     families = stage(components(candidates), "near-families")
-    release(spark)
     # full sets of the families, read from the texts again
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
     full = _family_sets(docs, families, shingle, lower)

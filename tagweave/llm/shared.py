@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import string
 import uuid
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a set of characters and as a Java regex.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -23,10 +23,18 @@ def work_dir(spark: SparkSession) -> str:
 def write_stage(df: DataFrame, tag: str) -> str:
     """Write ``df`` as Parquet into the shared folder and return the path.
 
-    A staged table cuts the lineage: a lost executor rereads it instead of recomputing what came before.
+    A staged table cuts the lineage: a lost executor rereads it instead of recomputing what came before. So
+    the shuffle files of the job that wrote it are removed when it ends (``CLEANUP``), not whenever the
+    driver's garbage collector happens to run.
     """
+    conf = df.sparkSession.conf
     path = f"{work_dir(df.sparkSession).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return path
 
 
@@ -48,16 +56,6 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now.
-
-    The cleaner follows the garbage collector of the driver, which may not run for long on a small heap
-    use; without this the shuffle files of every finished phase stay on the executors' disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_batches(spark: SparkSession) -> None:
     """Arrow batches of 1000 rows: text rows are long, and a task holds a batch on both sides of the pipe."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.shared import drop_stage, release, stage, staged, text_batches, text_of
+from tagweave.llm.shared import drop_stage, stage, staged, text_batches, text_of
 from tagweave.llm.words import U, Words, _powers, complete, mix, ngrams, slices, split_words, string_bytes
 
 K = 13
@@ -162,12 +162,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # paths whose minimizer occurs again
     again, p1 = staged(paths(docs).groupBy("g").count().where("count > 1").select("g"), "dedup-minimizers")
-    release(spark)
     found = paths(docs).join(again, "g", "left_semi")
     found, p2 = staged(found.select("g", "s", *DOC, F.shiftright("at", 4).alias("a"),
                                     F.col("at").bitwiseAND(15).alias("n")), "dedup-paths")
     drop_stage(spark, p1)
-    release(spark)
     # compaction: equal paths and their source
     src = (found.groupBy("g", "s").agg(F.min(F.struct("d", "th", "a")).alias("src"))
                 .select("g", "s", F.col("src.d").alias("sd"), F.col("src.th").alias("sth"), F.col("src.a").alias("sa")))
@@ -183,7 +181,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     seen = stage(_look(docs, heads.unionByName(own).unionByName(theirs)), "dedup-seen")
     for p in (p2, p3):
         drop_stage(spark, p)
-    release(spark)
     # verification of the long spans, and windows found in an earlier document
     text = seen.where(F.col("kind") == SPAN).select(*DOC, "a", "n", "e1", "e2")
     source = text.select(F.col("d").alias("sd"), F.col("th").alias("sth"), F.col("a").alias("sa"), "n",
@@ -207,7 +204,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     text_batches(docs.sparkSession)
     spans = repeated_spans(base.select(*DOC, "text"))
     spans = stage(spans.groupBy(*DOC).agg(F.collect_set(F.struct("a", "n")).alias("_cut")), "dedup-cuts")
-    release(docs.sparkSession)
     src = base.join(spans, DOC, "left").select(*[f"_c{i}" for i in range(len(keep))],
                                                text_of().alias("text"), "_cut")
     inner = src.schema.fields[:len(keep)]
