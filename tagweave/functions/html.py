@@ -11,6 +11,7 @@ unclosed ends where its parent ends.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -19,8 +20,10 @@ BLOCK = frozenset(("address article aside blockquote body dd details dialog div
                    "figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table "
                    "tbody thead tfoot tr ul html").split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "tbody", "thead", "tfoot", "tr"}
+# The elements the extension reads as headings and as styled text.
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 STYLED_TAGS = ("em", "mark", "cite", "dfn", "i", "strong", "b", "u")
+# End of fixed values.
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -39,19 +42,24 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", -1)
         self.stack = [self.root]
+        self.open: Counter = Counter()  # open elements by tag: no scan of the stack for an absent tag
         self.count = 0
         self.elements: list[Node] = []
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
+        """Pop up to the innermost open ``tag``; each element is pushed and popped once."""
+        if not self.open[tag]:
+            return
+        while True:
+            closed = self.stack.pop().tag
+            self.open[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and any(n.tag == "p" for n in self.stack):
+        if tag in CLOSES_P:
             self._close("p")
-        if tag == "li" and any(n.tag == "li" for n in self.stack):
+        if tag == "li":
             self._close("li")
         node = Node(tag, self.count)
         self.count += 1
@@ -59,6 +67,7 @@ class _TreeBuilder(HTMLParser):
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         node = Node(tag, self.count)
@@ -83,27 +92,19 @@ def parse(html: str) -> _TreeBuilder:
 def inner_text(node: Node) -> str:
     """Rendered text of ``node`` (see module notes)."""
     items: list = []
-
-    def walk(n):
-        if isinstance(n, str):
+    todo: list = node.children[::-1]  # nodes and texts still to visit; an int is a required break
+    while todo:
+        n = todo.pop()
+        if isinstance(n, (str, int)):
             items.append(n)
-            return
-        if n.tag in SKIP:
-            return
-        if n.tag == "br":
-            items.append(1)
-            items.append("\n")
-            return
-        req = 2 if n.tag == "p" else (1 if n.tag in BLOCK else 0)
-        if req:
-            items.append(req)
-        for c in n.children:
-            walk(c)
-        if req:
-            items.append(req)
-
-    for c in node.children:
-        walk(c)
+        elif n.tag == "br":
+            items += (1, "\n")
+        elif n.tag not in SKIP:
+            req = 2 if n.tag == "p" else (1 if n.tag in BLOCK else 0)
+            if req:
+                items.append(req)
+                todo.append(req)
+            todo.extend(reversed(n.children))
     # merge text runs, collapse blanks, then resolve required line breaks
     out: list[str] = []
     pending = 0
@@ -145,7 +146,7 @@ def page_fields(html: str) -> tuple[str | None, str, list[str], list[str]]:
     heads, styled = [], []
     for el in tree.elements:
         if el.tag == "title" and title is None:
-            title = "".join(c for c in el.children if isinstance(c, str))
+            title = "".join(c for c in el.children if isinstance(c, str)) or None
         elif el.tag == "body" and body is None:
             body = el
         elif el.tag in HEADING_TAGS:
@@ -158,15 +159,46 @@ def page_fields(html: str) -> tuple[str | None, str, list[str], list[str]]:
 
 def plain_text(html: str) -> str:
     """All text nodes joined without a separator (script and style content excluded)."""
-    tree = parse(html)
     out: list[str] = []
+    todo: list = [parse(html).root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag not in ("script", "style"):
+            todo.extend(reversed(n.children))
+    return "".join(out)
 
-    def walk(n):
-        for c in n.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag not in ("script", "style"):
-                walk(c)
 
-    walk(tree.root)
-    return "".join(out)
+class _Outline(HTMLParser):
+    """Title and start-tag names; no tree."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tags: list[str] = []
+        self.title: list[str] | None = None
+        self.inside = False
+
+    def handle_starttag(self, tag, attrs):
+        self.tags.append(tag)
+        if tag == "title" and self.title is None:
+            self.title, self.inside = [], True
+
+    def handle_startendtag(self, tag, attrs):
+        self.tags.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title.append(data)
+
+
+def outline(html: str) -> tuple[str | None, list[str]]:
+    """(title, start-tag names in document order); the title is null when absent or empty."""
+    o = _Outline()
+    o.feed(html or "")
+    o.close()
+    return "".join(o.title or ()) or None, o.tags

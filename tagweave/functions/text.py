@@ -159,15 +159,6 @@ def capitalize(col: Column) -> Column:
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substr(col, F.lit(2))))
 
 
-def unescape_basic_entities(col: Column) -> Column:
-    """Decode the entities stored pages use: &lt; &gt; &quot; &#39; &#039; &#x27; &nbsp; then &amp;."""
-    s = col
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&#039;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
-
-
 def explode_structs(df: DataFrame, arr: str, keep: list[str], pos: str | None = None) -> DataFrame:
     """One row per element of ``arr`` (struct fields become columns), empty arrays give no row.
 

@@ -32,9 +32,11 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 YEAR_PATTERN = "^(1[5-9]|20)[0-9][0-9]$"
 ORDINAL_PATTERN = "^[0-9]+(st|nd|rd|th)$"
 CARDINAL_PATTERN = "^[0-9]+$"
+# Amounts are read from the raw text, before punctuation is dropped.
+_NUMBER = "[0-9]++(?:[.,][0-9]++)*+(?![" + WORD_CLASS + "])"
+MONEY_PATTERN = (r"[$\x{20AC}\x{A3}\x{A5}] ?" + _NUMBER + "(?: (?:thousand|million|billion)(?![" + WORD_CLASS + "]))?")
+PERCENT_PATTERN = "(?<![" + WORD_CLASS + "])" + _NUMBER + " ?%"
 # End of fixed values.
-
-MAX_FIRST_WORDS = 100_000
 # ---------------------------------------------------------------------------
 
 
@@ -61,42 +63,55 @@ def entity_words(docs: DataFrame, text_col: str = "text",
                                           & ~F.array_contains(stop, F.lower(t))).alias("words"))
 
 
-def _ngram_spans(n: int, starts=None):
-    """Array of (start, n, entity) for the n-word windows of ``words`` (only at ``starts`` if given)."""
-    m = F.size("words") - n + 1
-    pos = F.sequence(F.lit(0), m - 1)
-    if starts is not None:
-        pos = F.filter(pos, starts)
-    return (F.when(m > 0, F.transform(pos,
-                                      lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"),
-                                                         F.array_join(F.slice("words", i + 1, n), " ")
-                                                         .alias("entity"))))
-            .otherwise(F.array().cast("array<struct<start:int,n:int,entity:string>>")))
+def amount_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(doc_id, start, n, entity, label)`` of MONEY and PERCENT amounts in the raw text.
+
+    ``start`` is the word position (in the E1 word list) of the amount's first number, so amounts order
+    with the other entities and hide the bare numbers inside them.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = []
+    for label, pattern in (("MONEY", MONEY_PATTERN), ("PERCENT", PERCENT_PATTERN)):
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(found)), _word_count)
+        parts.append(docs.select("doc_id", F.lit(label).alias("label"), F.posexplode(
+            F.arrays_zip(gaps.alias("gap"), found.alias("entity"), F.transform(found, _word_count).alias("n")))))
+    rows = parts[0].unionByName(parts[1]).select("doc_id", "label", "pos", "col.*").where(F.col("n") > 0)
+    before = Window.partitionBy("doc_id", "label").orderBy("pos")
+    start = F.sum(F.col("gap") + F.col("n")).over(before) - F.col("n")
+    return rows.select("doc_id", start.cast("int").alias("start"), F.col("n").cast("int").alias("n"), "entity", "label")
+
+
+def _word_count(text, stop_words: Iterable[str] = DEFAULT_STOP_WORDS):
+    """Number of E1 words in a piece of text (amounts start and end at word borders)."""
+    stop = _lit_array(tuple(stop_words))
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit("([" + WORD_CLASS + "]+)"), F.lit(1)),
+                           lambda t: ~F.array_contains(stop, F.lower(t))))
 
 
-def entity_spans(words: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
+def entity_spans(words: DataFrame, gazetteer: DataFrame, docs: DataFrame | None = None,
+                 text_col: str = "text") -> DataFrame:
     """``(doc_id, start, n, entity, label)``, longest spans only.
 
-    Gazetteer spans: word n-grams (n up to the longest surface) equal to a
-    surface; the join is on the n-gram string, so AQE broadcasts a small
-    gazetteer and shuffles a large one. Pattern spans: years and month names
-    are DATE, other numbers CARDINAL / ORDINAL.
+    Gazetteer spans: the first words of surfaces are a table joined with the
+    word positions, which gives the n of the surfaces that can start there;
+    those n-grams are joined with the surfaces. Both joins are equi-joins on
+    strings: AQE broadcasts a small gazetteer, shuffles a large one and splits
+    a hot word. Pattern spans: years and month names are DATE, other numbers
+    CARDINAL / ORDINAL. With ``docs`` also MONEY and PERCENT amounts of the
+    raw text.
     """
-    if max_words is None:
-        max_words = gazetteer.select(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
-    # Positions whose word starts some surface: with a bounded set of first words the set is
-    # carried as a literal (hash lookup per word) and n-grams are built only there.
-    firsts = (gazetteer.select(F.split("surface", " ")[0].alias("w")).distinct()
-                       .limit(MAX_FIRST_WORDS + 1).collect())
-    starts = None
-    if len(firsts) <= MAX_FIRST_WORDS:
-        fw = [r.w for r in firsts if r.w is not None]
-        starts = lambda i: F.get(F.col("words"), i).isin(*fw) if fw else F.lit(False)
-    grams = [_ngram_spans(n, starts) for n in range(1, max_words + 1)]
-    g = words.select("doc_id", "words").withColumn("_g", F.concat(*grams) if len(grams) > 1 else grams[0])
-    g = explode_structs(g, "_g", ["doc_id"])
-    gaz = gazetteer.select(F.col("surface").alias("entity"), "label").distinct()
-    named = g.join(gaz, "entity")
+    gaz = gazetteer.select(F.col("surface").alias("entity"), "label").where(F.col("entity") != "").distinct()
+    surface = F.split("entity", " ")
+    firsts = gaz.select(surface[0].alias("w"), F.size(surface).alias("n")).distinct()
+    longest = gaz.select(F.max(F.size(surface))).first()[0] or 1   # one number: the width of the slices
+    words = reuse(words.select("doc_id", "words"))
+    at = explode_structs(words.select("doc_id", F.transform("words", lambda w, i: F.struct(
+        i.alias("start"), w.alias("w"), F.slice("words", i + 1, F.lit(longest)).alias("rest"))).alias("_p")),
+        "_p", ["doc_id"])
+    grams = (at.join(firsts, "w").where(F.size("rest") >= F.col("n"))
+               .select("doc_id", "start", "n", F.array_join(F.slice("rest", F.lit(1), F.col("n")), " ").alias("entity")))
+    named = grams.join(gaz, "entity")
     # pattern labels only apply to words starting with a digit: keep those positions in the row
     uni = explode_structs(words.select("doc_id", F.filter(F.transform("words", lambda w, i: F.struct(
         i.alias("start"), F.lit(1).alias("n"), w.alias("entity"))), lambda x: x["entity"].rlike("^[0-9]"))
@@ -105,12 +120,26 @@ def entity_spans(words: DataFrame, gazetteer: DataFrame, max_words: int | None =
                          .when(F.col("entity").rlike(ORDINAL_PATTERN), "ORDINAL")
                          .when(F.col("entity").rlike(CARDINAL_PATTERN), "CARDINAL").alias("label")) \
                  .where(F.col("label").isNotNull())
-    # read by both sides of the nesting test: computed once
-    spans = reuse(named.select("doc_id", "start", "n", "entity", "label").unionByName(pattern))
-    s, t = spans.alias("s"), spans.alias("t")
-    inner = ((F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("t.start") <= F.col("s.start"))
-             & (F.col("s.start") + F.col("s.n") <= F.col("t.start") + F.col("t.n")) & (F.col("t.n") > F.col("s.n")))
-    return s.join(t, inner, "left_anti")
+    spans = named.select("doc_id", "start", "n", "entity", "label").unionByName(pattern)
+    if docs is not None:
+        spans = spans.unionByName(amount_spans(docs, text_col))
+    return longest_spans(spans)
+
+
+def longest_spans(spans: DataFrame) -> DataFrame:
+    """Spans that lie in no longer span of their document.
+
+    One sort per document: after ordering by start and falling end, a span is
+    inside an earlier one exactly if the largest end so far (of longer spans)
+    reaches its end, so there is no self-join.
+    """
+    stop = F.col("start") + F.col("n")
+    before = Window.partitionBy("doc_id").orderBy("start", stop.desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    # among spans with the same start and end the largest end is their own; longer ones reach further or start earlier
+    reach = F.max(F.struct(stop.alias("stop"), (-F.col("start")).alias("start"))).over(before)
+    inside = (reach["stop"] > stop) | ((reach["stop"] == stop) & (-reach["start"] < F.col("start")))
+    return spans.withColumn("_in", inside).where(~F.col("_in")).drop("_in")
 
 
 def entity_tags(spans: DataFrame, dropped: Iterable[str] = DROPPED_ENTITY_LABELS) -> DataFrame:

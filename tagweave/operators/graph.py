@@ -53,7 +53,8 @@ def pagerank_local(ea, eb, alpha: float = 0.85, max_iter: int = 100, tol: float
 
     Each undirected edge is followed both ways, a self-loop once; no node is
     dangling. Uniform start and teleport. Stops when the L1 change is below
-    n * tol (``tol=None``: exactly ``max_iter`` rounds).
+    n * tol (``tol=None``: exactly ``max_iter`` rounds); scores that have not
+    converged after ``max_iter`` rounds raise.
     """
     if len(ea) == 0:
         return np.array([], dtype=object), np.array([])
@@ -71,7 +72,9 @@ def pagerank_local(ea, eb, alpha: float = 0.85, max_iter: int = 100, tol: float
         last = x
         x = alpha * np.bincount(dst, weights=last[src] / outdeg[src], minlength=n) + (1.0 - alpha) / n
         if tol is not None and np.abs(x - last).sum() < n * tol:
-            break
+            return nodes, x
+    if tol is not None:
+        raise ArithmeticError(f"PageRank has not converged to {tol} in {max_iter} rounds")
     return nodes, x
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tagweave.functions.text import explode_structs
 from tagweave.operators.features import _with_doc_stats
 
+# Boosts of terms found in headings and in styled text.
 HEADER_BOOST = 1.5
 STYLED_BOOST = 1.2
+# End of fixed values.
 
 
 def _boost(term: Column, headers: Column, styled: Column) -> Column:
@@ -69,11 +71,3 @@ def keyword_tags(tokens: DataFrame, threshold: float = 0.2, top_n: int = 10,
                                                       lambda e: e["lo"].isNotNull())))
     return (explode_structs(df, "_kept", ["doc_id"], pos="pos")
               .select("doc_id", (F.col("pos") + 1).alias("rank"), "tag", "score"))
-
-
-def tags_as_map(tags: DataFrame) -> DataFrame:
-    """``(doc_id, tags map<string,double>)`` in rank order, as the service replies."""
-    return (tags.groupBy("doc_id")
-                .agg(F.sort_array(F.collect_list(F.struct("rank", "tag", "score"))).alias("t"))
-                .select("doc_id", F.map_from_entries(F.transform(
-                    "t", lambda e: F.struct(e["tag"], e["score"]))).alias("tags")))

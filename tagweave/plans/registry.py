@@ -208,7 +208,7 @@ def q_internal_url_filter(spark, sf_dir):
           ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS title_html FROM pages")
 def q_escaped_titles(spark, sf_dir):
     pages = TB.read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", escape_html(PG.title_of(F.col("html"))).alias("title_html"))
+    return PG.page_outline(pages, "page_id").select("page_id", escape_html(F.col("title")).alias("title_html"))
 
 
 @register("page_fields")
@@ -219,12 +219,49 @@ def q_page_fields(spark, sf_dir):
                     F.array_join("styled_texts", ". ").alias("styled_texts"))
 
 
-@register("page_plain_text")
+# the stored pages: text outside tags, comments, scripts and styles, references decoded
+def _sql_text(html: str) -> str:
+    return _sql_unescape_all(f"regexp_replace({html}, '(?s)<[^>]*>', '', 'g')")
+
+
+def _sql_unescape_all(x: str) -> str:
+    for ent, ch in (("&copy;", "\u00a9"), ("&middot;", "\u00b7")):
+        x = f"replace({x}, {S.q(ent)}, {S.q(ch)})"
+    return _sql_unescape(x)
+
+
+_SQL_HEADS = ("list_transform(regexp_extract_all(html, '(?s)<h[1-6]>(.*?)</h[1-6]>', 1), lambda x: trim("
+              + _sql_unescape_all("x") + "))")
+_SQL_STYLED = ("list_transform(regexp_extract_all(html, '(?s)<b>(.*?)(?:</b>|<br>|<p>|</p>)', 1), lambda x: trim("
+               + _sql_unescape_all("x") + "))")
+
+
+@register("page_headings", f"SELECT page_id, {_SQL_TITLE} AS title, len({_SQL_HEADS}) AS n_headers, "
+          f"array_to_string({_SQL_HEADS}, '. ') AS headers, len({_SQL_STYLED}) AS n_styled, "
+          f"array_to_string({_SQL_STYLED}, '. ') AS styled_texts FROM pages")
+def q_page_headings(spark, sf_dir):
+    """S2 without the body text; X13: texts joined by '. '."""
+    f = PG.extract_page_fields(TB.read_table(spark, sf_dir, "pages"))
+    return f.select("page_id", "title", F.size("headers").cast("long").alias("n_headers"),
+                    F.array_join("headers", ". ").alias("headers"), F.size("styled_texts").cast("long").alias("n_styled"),
+                    F.array_join("styled_texts", ". ").alias("styled_texts"))
+
+
+@register("page_plain_text", f"SELECT page_id, {_sql_text(_SQL_STRIPPED)} AS text FROM pages")
 def q_page_plain_text(spark, sf_dir):
     return PG.html_to_text(TB.read_table(spark, sf_dir, "pages"))
 
 
-@register("page_keyword_tags")
+# body text: tags become blanks, which tokens do not notice
+_SQL_BODY = ("regexp_replace(regexp_extract(" + _SQL_STRIPPED + ", '(?s)<body[^>]*>(.*)', 1), '(?s)<[^>]*>', ' ', 'g')")
+_SQL_PAGE_DOCS = S.docs_cte(f"(SELECT page_id, url, html, {_sql_unescape_all(_SQL_BODY)} AS text, "
+                            f"array_to_string({_SQL_HEADS}, '. ') AS h, array_to_string({_SQL_STYLED}, '. ') AS s FROM pages "
+                            "WHERE " + " AND ".join(f"NOT starts_with(url, {S.q(p)})" for p in PG.INTERNAL_URL_PREFIXES) + ")",
+                            "page_id").replace(" FROM (SELECT", ", h, s FROM (SELECT", 1)
+
+
+@register("page_keyword_tags", f"WITH {S.keyword_tags_sql(_SQL_PAGE_DOCS, headers='h', styled='s')}\n"
+          "SELECT doc_id AS page_id, rank, tag, round(score, 6) AS score FROM kw")
 def q_page_keyword_tags(spark, sf_dir):
     from tagweave.plans.tag_pages import tag_pages
     tags, _ = tag_pages(TB.read_table(spark, sf_dir, "pages"))
@@ -496,11 +533,12 @@ def q_dbscan_keywords(spark, sf_dir):
 from tagweave.operators import evaluate as EV  # noqa: E402
 from tagweave.operators import graph as GR  # noqa: E402
 
-TR_ITERS = 30
+TR_ROUNDS = 250   # of the oracle; contraction 0.85 a round leaves less than 1e-15
+TR_TOL = 1e-15     # of the query: rounds go on until the scores stand still
 
 
 def _eval_docs(spark, sf_dir):
-    return TB.evaluation_corpus(spark, sf_dir, lang="en")
+    return TB.evaluation_corpus(spark, sf_dir)
 
 
 def _eval_tokens(spark, sf_dir):
@@ -510,10 +548,10 @@ def _eval_tokens(spark, sf_dir):
 
 
 def _textrank(spark, sf_dir):
-    return GR.textrank(_eval_docs(spark, sf_dir), top_n=10, max_iter=TR_ITERS, tol=None, rank_digits=9)
+    return GR.textrank(_eval_docs(spark, sf_dir), top_n=10, max_iter=1000, tol=TR_TOL, rank_digits=9)
 
 
-@register("textrank", "WITH " + S.raw_token_cte() + ",\n" + S.textrank_ctes(TR_ITERS) +
+@register("textrank", "WITH RECURSIVE " + S.raw_token_cte() + ",\n" + S.textrank_ctes(TR_ROUNDS) +
           "\nSELECT doc_id, rank, term, round(score, 6) AS score FROM tr")
 def q_textrank(spark, sf_dir):
     return _textrank(spark, sf_dir).select("doc_id", F.col("rank").cast("long").alias("rank"), "term",
@@ -526,16 +564,16 @@ def q_pair_counts(spark, sf_dir):
         "doc_id", F.col("rank").cast("long").alias("rank"), "term", "count")
 
 
-_SQL_EVAL = ("WITH " + S.eval_docs_cte() + "," + S.TOKENS_TF + S.tfidf_ctes(0.95, 2) + ",\n"
+_SQL_EVAL = ("WITH RECURSIVE " + S.eval_docs_cte() + "," + S.TOKENS_TF + S.tfidf_ctes(0.95, 2) + ",\n"
              "top10 AS (SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER "
              "(PARTITION BY doc_id ORDER BY weight DESC, term) AS rk FROM w) WHERE rk <= 10),\n"
-             + S.textrank_ctes(TR_ITERS).replace("FROM rtok", "FROM rtok_tr") + ",\n"
+             + S.textrank_ctes(TR_ROUNDS) + ",\n"
              "trm_tf AS (SELECT doc_id, lower(term) AS term, count(*) AS tf FROM tr GROUP BY doc_id, lower(term)),\n"
              "trm_raw AS (SELECT t.doc_id, t.term, t.tf * i.idf AS weight FROM trm_tf t JOIN idf i USING (term)),\n"
              "trm AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight "
              "FROM trm_raw),\n"
              "ntop AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight "
-             "FROM top10)\n").replace("ue AS (SELECT DISTINCT", "rtok_tr AS (SELECT * FROM rtok),\nue AS (SELECT DISTINCT", 1)
+             "FROM top10)\n")
 
 
 def _eval_matrices(spark, sf_dir):
@@ -546,7 +584,7 @@ def _eval_matrices(spark, sf_dir):
                                            lambda z: F.lower(z["rt"])).alias("tokens"))
     w, idf = FE.tfidf(toks, max_df=0.95, min_df=2, return_idf=True)
     top10 = FE.top_terms(w, 10).select("doc_id", "term", "weight")
-    tr = GR.textrank(None, top_n=10, max_iter=TR_ITERS, tol=None, rank_digits=9, tokens=rt)
+    tr = GR.textrank(None, top_n=10, max_iter=1000, tol=TR_TOL, rank_digits=9, tokens=rt)
     trm = EV.keyword_matrix_from_terms(tr.select("doc_id", "term"), idf)
     return toks, top10, trm
 
@@ -580,14 +618,10 @@ def q_extractor_agreement(spark, sf_dir):
     return EV.agreement(top10, trm).select("doc_id", r6(F.col("cos")).alias("cos"))
 
 
-TRUTH_N = 50
-
-
 def _truth(spark, sf_dir):
-    """Truth keywords: the TRUTH_N most frequent (by document frequency) cleaned terms of ``benchmark``."""
+    """Truth keywords: the cleaned terms of ``benchmark``."""
     bench = FE.prepare_documents(TB.read_table(spark, sf_dir, "benchmark"), id_col="item_id")
-    df = FE.document_frequency(FE.term_frequencies(bench))
-    return df.orderBy(F.col("df").desc(), F.col("term")).limit(TRUTH_N).select("term")
+    return FE.term_frequencies(bench).select("term").distinct()
 
 
 def _tfidf_features_pred(spark, sf_dir, n_features=5):
@@ -598,7 +632,7 @@ def _tfidf_features_pred(spark, sf_dir, n_features=5):
 
 
 _SQL_TRUTH = (f"truth AS (SELECT term FROM (WITH docs AS ({S.docs_cte('benchmark', 'item_id')}),{S.TOKENS_TF}\n"
-              f"SELECT term, count(*) AS df FROM tf GROUP BY term) ORDER BY df DESC, term LIMIT {TRUTH_N})")
+              f"SELECT DISTINCT term FROM tf))")
 
 
 @register("keyword_quality_tfidf", f"""WITH {_SQL_TRUTH},

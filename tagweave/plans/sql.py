@@ -106,35 +106,36 @@ kw AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lo, kind,
 RAW_TOKEN = "[\\pL\\pN_]+|[^" + PY_SPACE_CLASS + "\\pL\\pN_]"
 
 
-def raw_token_cte(where: str = "lang = 'en'") -> str:
+def raw_token_cte() -> str:
     """rtok(doc_id, rt, keep) over documents."""
     return (f"rtok AS (SELECT doc_id, rt, list_transform(rt, lambda t: regexp_full_match(t, '\\pL+') AND "
             f"NOT list_contains({STOP_LIST}, lower(t))) AS keep FROM "
-            f"(SELECT doc_id, regexp_extract_all(coalesce(text, ''), {q(RAW_TOKEN)}) AS rt FROM documents "
-            f"WHERE {where}))")
+            f"(SELECT doc_id, regexp_extract_all(coalesce(text, ''), {q(RAW_TOKEN)}) AS rt FROM documents))")
 
 
-def eval_docs_cte(where: str = "lang = 'en'") -> str:
+def eval_docs_cte() -> str:
     """docs(doc_id, tokens): alphabetic non-stop tokens, lower case."""
-    return (raw_token_cte(where) + ",\n"
+    return (raw_token_cte() + ",\n"
             "docs AS (SELECT doc_id, list_transform(list_filter(list_zip(rt, keep), lambda z: z[2]), "
             "lambda z: lower(z[1])) AS tokens FROM rtok)")
 
 
 def textrank_ctes(iters: int, alpha: float = 0.85, top_n: int = 10) -> str:
-    """CTEs after rtok: tr(doc_id, rank, term, score) with exactly ``iters`` PageRank rounds."""
-    parts = ["""ue AS (SELECT DISTINCT doc_id, least(rt[i], rt[i + 1]) AS a, greatest(rt[i], rt[i + 1]) AS b
+    """CTEs after rtok: tr(doc_id, rank, term, score) after ``iters`` PageRank rounds, in a WITH RECURSIVE."""
+    return f"""ue AS (SELECT DISTINCT doc_id, least(rt[i], rt[i + 1]) AS a, greatest(rt[i], rt[i + 1]) AS b
        FROM (SELECT doc_id, rt, keep, unnest(range(1, len(rt))) AS i FROM rtok) WHERE keep[i] AND keep[i + 1]),
 de AS (SELECT doc_id, a AS src, b AS dst FROM ue UNION ALL SELECT doc_id, b, a FROM ue WHERE a <> b),
-nodes AS (SELECT doc_id, src AS node, count(*) AS outdeg FROM de GROUP BY doc_id, src),
+nodes AS (SELECT doc_id, src AS node, count(*) AS outdeg,
+                 row_number() OVER (ORDER BY doc_id, src) AS id FROM de GROUP BY doc_id, src),
 nn AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY doc_id),
-dew AS (SELECT d.doc_id, d.src, d.dst, o.outdeg, c.n FROM de d JOIN nodes o ON o.doc_id = d.doc_id AND o.node = d.src
+dew AS MATERIALIZED (SELECT s.id AS src, t.id AS dst, s.outdeg, c.n FROM de d
+        JOIN nodes s ON s.doc_id = d.doc_id AND s.node = d.src JOIN nodes t ON t.doc_id = d.doc_id AND t.node = d.dst
         JOIN nn c ON c.doc_id = d.doc_id),
-x0 AS (SELECT n.doc_id, n.node, 1.0 / c.n AS x FROM nodes n JOIN nn c USING (doc_id))"""]
-    for k in range(1, iters + 1):
-        parts.append(f"x{k} AS (SELECT d.doc_id, d.dst AS node, {alpha} * sum(p.x / d.outdeg) + (1 - {alpha}) / d.n AS x "
-                     f"FROM dew d JOIN x{k - 1} p ON p.doc_id = d.doc_id AND p.node = d.src GROUP BY d.doc_id, d.dst, d.n)")
-    parts.append(f"tr AS (SELECT doc_id, rank, term, score FROM (SELECT doc_id, node AS term, x AS score, "
-                 f"row_number() OVER (PARTITION BY doc_id ORDER BY round(x, 9) DESC, node) AS rank FROM x{iters}) "
-                 f"WHERE rank <= {top_n})")
-    return ",\n".join(parts)
+pr(id, x, k) USING KEY (id) AS (
+  SELECT n.id, 1.0::DOUBLE / c.n, 0 FROM nodes n JOIN nn c USING (doc_id)
+  UNION
+  SELECT d.dst, {alpha} * sum(p.x / d.outdeg) + (1 - {alpha}) / any_value(d.n), any_value(p.k) + 1
+  FROM pr p JOIN dew d ON p.id = d.src WHERE p.k < {iters} GROUP BY d.dst),
+tr AS (SELECT doc_id, rank, term, score FROM (SELECT doc_id, node AS term, x AS score,
+         row_number() OVER (PARTITION BY doc_id ORDER BY round(x, 9) DESC, node) AS rank
+         FROM nodes JOIN pr USING (id)) WHERE rank <= {top_n})"""

@@ -1,12 +1,15 @@
-"""Session defaults and cluster-safe helpers (checkpoint folder, size checks)."""
+"""Session defaults and cluster-safe helpers (checkpoint folder, shipped code)."""
 
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+PACKAGE = Path(__file__).resolve().parent
 
 # Session settings every job here relies on: AQE re-plans joins from runtime
 # sizes (a shuffled side that turns out small becomes a broadcast), splits
@@ -43,28 +46,42 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_code(spark)
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python tasks find it wherever the driver was started.
+
+    Not needed where the package is installed on every node; sent once per application. The archive stays in
+    the driver's own Spark folder, from where executors fetch it.
+    """
+    from pyspark import SparkFiles
+    sc = spark.sparkContext
+    if spark.conf.get("tagweave.shipped", "") == sc.applicationId:
+        return
+    folder = os.path.join(SparkFiles.getRootDirectory(), "code")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{PACKAGE.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(PACKAGE.parent))
+    sc.addPyFile(path)
+    spark.conf.set("tagweave.shipped", sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, configuring the context if needed.
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, else one beside the warehouse tables.
 
-    The folder comes from ``spark.checkpoint.dir`` (the cluster names it).
-    Only a local-mode session without that setting gets a private temporary
-    folder; on a cluster a missing setting is an error, since a machine-local
-    folder does not survive the loss of an executor.
+    Both are folders every executor sees; a machine-local temporary folder is never used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
-        path = tempfile.mkdtemp(prefix="tagweave-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    sc.setCheckpointDir(path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -77,6 +94,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_shared(df: DataFrame, tag: str) -> str:
+    """Write ``df`` as Parquet into the shared checkpoint folder and return the path."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return path
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Persist an input that an operator reads more than once (memory, spilling to disk).
 
@@ -86,20 +110,6 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Size check before an explicit broadcast: count at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
-
-    Beyond that the join stays a shuffle join (AQE may still switch it at run
-    time from the measured size).
-    """
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``min_partitions`` tasks when its scan yields fewer.
 
@@ -108,16 +118,5 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cluster, scans of large tables already have many splits and this is a
     no-op, so no large table is ever shuffled by it.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as it is
-        return df
-    return df.repartition(target) if n < target else df
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

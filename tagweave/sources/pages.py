@@ -1,9 +1,8 @@
 """Page sources: S2 page fields, S3 body text, S4 link info, S5 plain text, F1 URL filter.
 
-Parsing HTML is the one job Spark has no built-in for, so S2/S5 run the
-stdlib parser inside ``mapInPandas`` (Arrow batches, one pass per partition,
-no shuffle). Link info (S4) needs only the title and tag names, which JVM
-regular expressions give without leaving the JVM.
+Parsing HTML is the one job Spark has no built-in for, so the stdlib parser
+runs inside ``mapInPandas`` (Arrow batches, one pass per partition, no
+shuffle). One reader gives titles everywhere, so S2, S4 and S8 agree.
 """
 
 from __future__ import annotations
@@ -11,11 +10,11 @@ from __future__ import annotations
 from typing import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave import schemas
-from tagweave.functions.text import INTERNAL_URL_PREFIXES, unescape_basic_entities
+from tagweave.functions.text import INTERNAL_URL_PREFIXES
 
 
 def _fields_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,30 +58,32 @@ def drop_internal_urls(pages: DataFrame, prefixes: Iterable[str] = INTERNAL_URL_
     return pages.where(cond)
 
 
-def _strip_script_style(html: Column) -> Column:
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    s = F.regexp_replace(s, r"(?is)(<script\b[^>]*>).*?</script\s*>", "$1")
-    return F.regexp_replace(s, r"(?is)(<style\b[^>]*>).*?</style\s*>", "$1")
-
+def _outline_batches(batches):
+    from tagweave.functions.html import outline
+    for pdf in batches:
+        rows = [outline(h) for h in pdf["html"].fillna("")]
+        yield pdf.drop(columns="html").assign(title=[r[0] for r in rows], tags=[r[1] for r in rows])
 
-def title_of(html: Column) -> Column:
-    """Text of the first ``<title>`` with basic entities decoded; null when absent or empty."""
-    raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return F.when(raw != "", unescape_basic_entities(raw))
 
+def page_outline(pages: DataFrame, *keys: str) -> DataFrame:
+    """``(keys..., title, tags)``: title and start-tag names of each page, by the HTML reader.
 
-def tag_names(html: Column) -> Column:
-    """All start-tag names in document order (script/style content and comments skipped)."""
-    return F.transform(F.regexp_extract_all(_strip_script_style(html),
-                                            F.lit(r"<([a-zA-Z][^\t\n\r\f />]*)"), 1), lambda t: F.lower(t))
+    Character references of any kind are decoded, and ``<`` in attributes, comments, scripts or styles opens
+    no tag. Null when a page has no title or an empty one.
+    """
+    src = pages.select(*keys, "html")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "html")
+    return src.mapInPandas(_outline_batches, f"{schema}, title string, tags array<string>")
 
 
 def link_info(links: DataFrame, pages: DataFrame) -> DataFrame:
     """``(url, title, tags)`` per distinct link; unknown links get a null title and no tags.
 
-    Pages come from a stored crawl table keyed by url. ``links.distinct()``
-    collapses repeats (the reply is keyed by link); the join is a left join, so
-    one missing page does not fail the batch.
+    Pages come from a stored crawl table. Only linked pages are parsed (semi join before the reader). The
+    reply is keyed by link, so of several crawls of a url the one with the largest page_id counts. The join
+    is a left join: one missing page does not fail the batch.
     """
-    info = pages.select("url", title_of(F.col("html")).alias("title"), tag_names(F.col("html")).alias("tags"))
-    return links.select("url").distinct().join(info, "url", "left")
+    wanted = links.select("url").distinct()
+    newest = (pages.join(wanted, "url", "left_semi")
+                   .groupBy("url").agg(F.max_by("html", "page_id").alias("html")))
+    return wanted.join(page_outline(newest, "url"), "url", "left")

@@ -1,10 +1,13 @@
 """Tag pages as they arrive, each page once.
 
 Pages land as parquet files in a folder. Each micro-batch drops internal
-URLs, skips pages that already have stored tags (anti join on the tag
-table), tags the rest and writes them to ``{out}/batch_id=N`` with mode
-overwrite, so a retried batch replaces its own output instead of
-duplicating it. Reading ``out`` gives the tag table.
+URLs, skips pages tagged by an *earlier* batch, tags the rest and writes three
+tables under ``out_dir``, each with mode overwrite into its own
+``batch_id=N`` folder: ``pages`` (the ids tagged, one narrow column, all that
+a later batch reads), ``tags`` (keyword tags) and ``entities`` (entity tags).
+
+A retried batch N reads only batches below N, so it computes the same rows
+again and replaces its own output: nothing is lost or doubled.
 """
 
 from __future__ import annotations
@@ -13,29 +16,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave import schemas
-from tagweave.plans.tag_pages import tag_pages
+from tagweave.plans.tag_pages import entity_tags_of, tag_pages
+from tagweave.session import reuse
+
+TAGGED = "page_id long, batch_id long"
+
 
+def tagged_before(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame:
+    """``(doc_id)`` of the pages that batches before ``batch_id`` have tagged (partition-pruned)."""
+    ids = spark.read.schema(TAGGED).parquet(f"{out_dir}/pages")
+    return ids.where(F.col("batch_id") < batch_id).select(F.col("page_id").alias("doc_id")).distinct()
 
-def _stored_tags(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(out_dir).select(F.col("page_id").alias("doc_id")).distinct()
-    except Exception as exc:  # no batch written yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
 
+def tag_batch(batch: DataFrame, batch_id: int, out_dir: str, gazetteer: DataFrame | None = None,
+              threshold: float = 0.2) -> None:
+    """Tag one micro-batch and write its three tables."""
+    spark = batch.sparkSession
+    seen = tagged_before(spark, out_dir, batch_id) if batch_id > 0 else None
+    tags, fields = tag_pages(batch.dropDuplicates(["page_id"]), seen, threshold)
+    fields = reuse(fields)  # parsed once for the three tables
+    part = f"batch_id={batch_id}"
+    tags, _ = tag_pages(None, None, threshold, fields=fields)
+    tags.write.mode("overwrite").parquet(f"{out_dir}/tags/{part}")
+    entity_tags_of(fields, gazetteer).write.mode("overwrite").parquet(f"{out_dir}/entities/{part}")
+    fields.select("page_id").write.mode("overwrite").parquet(f"{out_dir}/pages/{part}")
+    fields.unpersist()
 
-def tag_arrivals(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint: str,
-                 threshold: float = 0.2, max_files_per_trigger: int = 1, available_now: bool = True):
+
+def tag_arrivals(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint: str, threshold: float = 0.2,
+                 max_files_per_trigger: int = 1, available_now: bool = True, gazetteer: DataFrame | None = None):
     """Start the stream; returns the ``StreamingQuery`` (``available_now`` drains the folder and stops)."""
     stream = (spark.readStream.schema(schemas.PAGES)
                    .option("maxFilesPerTrigger", max_files_per_trigger).parquet(pages_dir))
-
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        pages = batch.dropDuplicates(["page_id"])
-        tags, _ = tag_pages(pages, _stored_tags(batch.sparkSession, out_dir), threshold)
-        tags.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    writer = (stream.writeStream.foreachBatch(lambda b, n: tag_batch(b, n, out_dir, gazetteer, threshold))
+                    .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
