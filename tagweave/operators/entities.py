@@ -73,9 +73,9 @@ def amount_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = []
     for label, pattern in (("MONEY", MONEY_PATTERN), ("PERCENT", PERCENT_PATTERN)):
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(found)), _word_count)
+        gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(found)), lambda x: _word_count(x))
         parts.append(docs.select("doc_id", F.lit(label).alias("label"), F.posexplode(
-            F.arrays_zip(gaps.alias("gap"), found.alias("entity"), F.transform(found, _word_count).alias("n")))))
+            F.arrays_zip(gaps.alias("gap"), found.alias("entity"), F.transform(found, lambda x: _word_count(x)).alias("n")))))
     rows = parts[0].unionByName(parts[1]).select("doc_id", "label", "pos", "col.*").where(F.col("n") > 0)
     before = Window.partitionBy("doc_id", "label").orderBy("pos")
     start = F.sum(F.col("gap") + F.col("n")).over(before) - F.col("n")

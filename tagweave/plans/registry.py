@@ -960,16 +960,15 @@ FROM tg FULL JOIN nr ON tg.doc_id = nr.doc_id""")
 ORACLES["service_replies"] = _sql_service_replies()
 
 
-DENSITY = dict(min_samples=5, max_eps=0.7, xi=0.05, min_cluster_size=2, levels=6)
+DENSITY = dict(min_samples=5, max_eps=0.7, xi=0.05, min_cluster_size=2)
 
 
 def _sql_density() -> str:
+    """The whole hierarchy: components at every distance that occurs, told apart by their size."""
     p = DENSITY
     min_cos = 1.0 - p["max_eps"] ** 2 / 2.0
-    ratio = 1.0 / (1.0 - p["xi"])
-    ladder = [p["max_eps"] / ratio ** (p["levels"] - 1 - i) for i in range(p["levels"])]
     base = ("WITH RECURSIVE" + (_SQL_W + _SQL_REPS)[4:]).replace(repr(MIN_COS - 1e-12), repr(min_cos - 1e-12))
-    parts = [base.rstrip() + f""",
+    return base.rstrip() + f""",
 pd AS (SELECT doc_a, doc_b, sqrt(greatest(0.0, 2.0 - 2.0 * cos)) AS d FROM pairs),
 nb AS (SELECT p.doc_a AS rep, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_b
        UNION ALL SELECT p.doc_b, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_a
@@ -979,26 +978,21 @@ cum AS (SELECT rep, d, sum(m) OVER (PARTITION BY rep ORDER BY d ROWS BETWEEN UNB
 core AS (SELECT c.rep, min(c.d) AS core_d, any_value(m.m) AS m FROM cum c JOIN mult m USING (rep)
          WHERE c.c >= {p['min_samples']} GROUP BY c.rep),
 edges AS (SELECT p.doc_a AS a, p.doc_b AS b, greatest(ca.core_d, cb.core_d, p.d) AS mr
-          FROM pd p JOIN core ca ON ca.rep = p.doc_a JOIN core cb ON cb.rep = p.doc_b)"""]
-    for i, e in enumerate(ladder):
-        parts.append(f"""n{i} AS (SELECT rep AS node FROM core WHERE core_d <= {e!r}),
-e{i} AS (SELECT a, b FROM edges WHERE mr <= {e!r} UNION ALL SELECT b, a FROM edges WHERE mr <= {e!r}),
-r{i}(node, c) AS (SELECT node, node FROM n{i} UNION SELECT e.b, r.c FROM r{i} r JOIN e{i} e ON e.a = r.node),
-k{i} AS (SELECT node, min(c) AS comp FROM r{i} GROUP BY node),
-s{i} AS (SELECT k.node, k.comp, sum(co.m) OVER (PARTITION BY k.comp) AS size FROM k{i} k JOIN core co ON co.rep = k.node)""")
-    acc = []
-    for i, e in enumerate(ladder):
-        nxt = next((j for j in range(i + 1, len(ladder)) if ladder[j] >= e * ratio - 1e-12), None)
-        here = f"SELECT node, comp, size FROM s{i} WHERE size >= {p['min_cluster_size']}"
-        if nxt is not None:
-            here = (f"SELECT h.node, h.comp, h.size FROM ({here}) h WHERE h.comp IN ("
-                    f"SELECT h2.comp FROM ({here}) h2 JOIN s{nxt} t ON t.node = h2.node GROUP BY h2.comp, h2.size "
-                    f"HAVING min(t.comp) = max(t.comp) AND max(t.size) = h2.size)")
-        acc.append(f"SELECT node, {i} AS level, comp AS cluster FROM ({here})")
-    parts.append("acc AS (" + " UNION ALL ".join(acc) + ")")
-    parts.append("inner_ AS (SELECT node, arg_min(cluster, level) AS cluster FROM acc GROUP BY node)")
-    return ",\n".join(parts) + ("\nSELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g "
-                                "LEFT JOIN inner_ i ON i.node = g.rep")
+          FROM pd p JOIN core ca ON ca.rep = p.doc_a JOIN core cb ON cb.rep = p.doc_b),
+thr AS (SELECT row_number() OVER (ORDER BY t) AS k, t FROM
+        (SELECT DISTINCT mr AS t FROM edges UNION SELECT DISTINCT core_d FROM core WHERE core_d <= {p['max_eps']!r})),
+te AS (SELECT k, a, b FROM edges JOIN thr ON mr <= t UNION ALL SELECT k, b, a FROM edges JOIN thr ON mr <= t),
+reach(k, node, c) AS (SELECT k, rep, rep FROM core JOIN thr ON core_d <= t
+                      UNION SELECT r.k, e.b, r.c FROM reach r JOIN te e ON e.k = r.k AND e.a = r.node),
+comp AS (SELECT k, node, min(c) AS comp FROM reach GROUP BY k, node),
+sized AS (SELECT c.k, c.node, c.comp, sum(co.m) OVER (PARTITION BY c.k, c.comp) AS size
+          FROM comp c JOIN core co ON co.rep = c.node),
+span AS (SELECT comp, size, min(k) AS k0, max(k) AS k1 FROM sized GROUP BY comp, size),
+good AS (SELECT s.comp, s.size, s.k0 FROM span s JOIN thr i ON i.k = s.k0 LEFT JOIN thr o ON o.k = s.k1 + 1
+         WHERE s.size >= {p['min_cluster_size']} AND (o.t IS NULL OR i.t <= (1.0 - {p['xi']}) * o.t)),
+inner_ AS (SELECT z.node, arg_min(g.comp, g.k0) AS cluster
+           FROM good g JOIN sized z ON z.k = g.k0 AND z.comp = g.comp GROUP BY z.node)
+SELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g LEFT JOIN inner_ i ON i.node = g.rep"""
 
 
 ORACLES["density_clusters"] = _sql_density()

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.session import cut_lineage
+
 from tagweave import schemas
 
 # Fixed mapping from the test table's event types to tag edits (``view`` is not an edit).
@@ -66,7 +68,8 @@ def fold_tag_events(ev: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
     steps = base.unionByName(later).withColumn("_b", F.floor(F.col("seq") / F.lit(bucket_width)))
     upto = Window.unboundedPreceding
     w_in = Window.partitionBy("doc_id", "tag", "_b").orderBy("seq", "sub").rowsBetween(upto, 0)
-    steps = steps.withColumn("run_in", F.sum("delta").over(w_in))
+    # the edits with their running sums are written once and read by everything below
+    steps = cut_lineage(steps.withColumn("run_in", F.sum("delta").over(w_in)))
     bstat = steps.groupBy("doc_id", "tag", "_b").agg(
         F.sum("delta").alias("tot_b"), F.min("run_in").alias("low_b"),
         F.sum(F.when(F.col("delta") == 1, 1).otherwise(0)).alias("adds_b"))
@@ -74,6 +77,7 @@ def fold_tag_events(ev: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
     bstat = (bstat.withColumn("carry", F.coalesce(F.sum("tot_b").over(wb.rowsBetween(upto, -1)), F.lit(0)))
                   .withColumn("adds_after", F.coalesce(
                       F.sum("adds_b").over(wb.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))))
+    bstat = cut_lineage(bstat)
     # adds that survive: the latest keep_n, keep_n = total - min(0, lowest prefix sum)
     tagstat = (bstat.groupBy("doc_id", "tag")
                     .agg(F.sum("tot_b").alias("total"), F.min(F.col("carry") + F.col("low_b")).alias("low"))

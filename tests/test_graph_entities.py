@@ -48,3 +48,28 @@ def test_lemmas(spark):
     exc = spark.createDataFrame([("men", "man")], "form string, lemma string")
     out = Lemmatizer(lex, exc).apply(toks).first().tokens
     assert out == ["dog", "box", "man", "glass", "cats"]
+
+
+def test_amounts_and_nesting(spark):
+    docs = spark.createDataFrame([(1, "It costs $5.50 or 20 % of $3 million, not 7 apples; abc5% x. MIT License MIT")],
+                                 "doc_id long, text string")
+    gaz = spark.createDataFrame([("MIT License", "LAW"), ("MIT", "ORG")], "surface string, label string")
+    spans = EN.entity_spans(EN.entity_words(docs), gaz, docs)
+    got = [(r.label, r.entity) for r in spans.orderBy("start", "label").collect()]
+    assert got == [("MONEY", "$5.50"), ("CARDINAL", "20"), ("PERCENT", "20 %"), ("MONEY", "$3 million"), ("CARDINAL", "7"),
+                   ("LAW", "MIT License"), ("ORG", "MIT")]
+
+
+def test_many_spans_in_one_document(spark):
+    import time
+    docs = spark.createDataFrame([(1, " ".join(str(i) for i in range(40_000)))], "doc_id long, text string")
+    gaz = spark.createDataFrame([("1 2", "ORG")], "surface string, label string")
+    t = time.time()
+    assert EN.entity_spans(EN.entity_words(docs), gaz).count() == 39_999
+    assert time.time() - t < 20
+
+
+def test_textrank_raises_when_not_converged():
+    import pytest
+    with pytest.raises(ArithmeticError):
+        GR.pagerank_local(["a", "b"], ["b", "c"], 0.85, 3, 1e-12)

@@ -38,3 +38,26 @@ def test_url_filter_and_link_info(spark):
     assert info["https://chrome.example"] == ("A <b>", ["html", "head", "title", "script", "body", "p"])
     assert info["https://nope"] == (None, None)
     assert len(info) == 2
+
+
+def test_deep_pages():
+    from tagweave.functions.html import outline, plain_text
+    deep = "<body>" + "<div>" * 5000 + "x<b>y" + "</div>" * 5000 + "<p>z"
+    title, texts, _, styled = page_fields(deep)
+    assert title is None and texts.split() == ["xy", "z"] and styled == ["y"]
+    assert plain_text(deep) == "xyz" and outline(deep)[1].count("div") == 5000
+    flat = "<p>" * 20_000 + "<li>" * 20_000 + "</i>" * 20_000    # no scan of the open elements per tag
+    assert len(outline(flat)[1]) == 40_000 and page_fields(flat)[1] == ""
+
+
+def test_titles_and_tags_agree(spark):
+    rows = [(1, "u1", "<title>A &mdash; B &eacute; &#8211; &#x27;</title><p title='a <b> c'>x</p><!-- <u> --><br/>"),
+            (2, "u1", "<title>newer</title>"), (3, "u2", "<title></title><a href=\"<i>\">"), (4, "u3", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    fields = {r.page_id: r.title for r in PG.extract_page_fields(pages).collect()}
+    out = {r.page_id: (r.title, r.tags) for r in PG.page_outline(pages, "page_id").collect()}
+    assert out[1] == ("A \u2014 B \u00e9 \u2013 '", ["title", "p", "br"]) and out[3] == (None, ["title", "a"])
+    assert {k: v[0] for k, v in out.items()} == fields
+    links = spark.createDataFrame([("u1",), ("u1",), ("u9",)], "url string")
+    info = {r.url: r.title for r in PG.link_info(links, pages).collect()}
+    assert info == {"u1": "newer", "u9": None}    # one row a url, the later crawl

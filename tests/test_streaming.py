@@ -7,7 +7,7 @@ from conftest import SF001
 from tagweave.plans.tag_pages import tag_pages
 from tagweave.sources.tables import read_table
 from tagweave.streaming import tag_edits as TE
-from tagweave.streaming.arrivals import tag_arrivals
+from tagweave.streaming.arrivals import tag_arrivals, tag_batch
 
 
 def _fresh_dir():
@@ -74,13 +74,31 @@ def test_tag_arrivals_stream_equals_batch(spark):
         p.coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
     # one page arrives twice: it must be tagged once
     pages.limit(1).coalesce(1).write.parquet(os.path.join(src, "part9"))
-    q = tag_arrivals(spark, src + "/*", out + "/tags", _fresh_dir())
+    q = tag_arrivals(spark, src + "/*", out, _fresh_dir())
     q.awaitTermination(300)
     got = sorted((r.page_id, r.rank, r.tag) for r in spark.read.parquet(out + "/tags").collect())
     want, _ = tag_pages(pages)
     assert got == sorted((r.page_id, r.rank, r.tag) for r in want.collect())
 
 
+def test_arrivals_replay_gives_the_same_rows(spark):
+    pages = read_table(spark, SF001, "pages")
+    out = _fresh_dir()
+    parts = pages.randomSplit([1.0, 1.0], seed=5)
+    tables = lambda: {t: sorted(map(tuple, spark.read.parquet(f"{out}/{t}").collect()), key=str)
+                      for t in ("tags", "entities", "pages")}
+    gaz = spark.createDataFrame([("The", "ORG"), ("La", "ORG")], "surface string, label string")
+    for n, p in enumerate(parts):
+        tag_batch(p, n, out, gaz)
+    first = tables()
+    assert len(first["tags"]) and len(first["entities"]) and len(first["pages"]) == pages.count()
+    tag_batch(parts[0], 0, out, gaz)    # batch 0 is run again after batch 1 was written
+    tag_batch(parts[1], 1, out, gaz)
+    assert tables() == first
+    tag_batch(parts[0], 2, out, gaz)    # the same pages in a later batch are not tagged again
+    assert len(tables()["pages"]) == len(first["pages"])
+
+
 def test_tag_fold_stream_counts_late_events(spark):
     src = _fresh_dir()
     schema = "doc_id long, seq long, op string, tag string, tags array<string>"
