@@ -135,6 +135,6 @@ def test_keep_one(spark):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 3)]
+    edges = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1000), (7, 7), (2000, 3)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 0}
+    assert got == {**{i: 0 for i in range(701)}, 1000: 1000, 1001: 1000, 2000: 0}
