@@ -15,7 +15,8 @@ from tagweave.session import get_spark  # noqa: E402
 from tagweave.plans import registry  # noqa: E402
 
 HEADLINE = ["preprocess", "tfidf", "keyword_tags", "page_keyword_tags", "rule_groups", "kmeans_groups",
-            "similar_pairs", "dbscan", "textrank", "pair_counts", "mean_cosine", "entity_tags", "tag_fold"]
+            "similar_pairs", "dbscan", "textrank", "pair_counts", "mean_cosine", "entity_tags", "tag_fold",
+            "density_clusters", "lemmatized", "current_tags"]
 
 
 def main():

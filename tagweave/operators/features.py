@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.text import (DEFAULT_STOP_WORDS, clean_tokens, explode_structs,
                                      with_term_counts, word_ngrams)
+from tagweave.session import write_shared
 
 
 def prepare_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -41,6 +42,13 @@ def term_frequencies(tokens: DataFrame, min_len: int = 1) -> DataFrame:
     return rows
 
 
+def bag_table(tokens: DataFrame) -> DataFrame:
+    """``(doc_id, tf_arr)``, written once to the shared folder: texts are read and tokenised in this one pass,
+    and document frequencies, weights and counts are read from the bags."""
+    bags = with_term_counts(tokens.select("doc_id", "tokens"), "tokens", "tf_arr").select("doc_id", "tf_arr")
+    return bags.sparkSession.read.schema(bags.schema).parquet(write_shared(bags, "bags"))
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     """A2: ``(term, df)``. Map-side partial count, one shuffle of distinct terms."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -96,8 +104,9 @@ def tfidf(tokens: DataFrame, max_df: float | int = 1.0, min_df: float | int = 1,
         # the filtered array is its own column so the n-gram lambdas read it, not recompute it
         src = (tokens.select("doc_id", F.filter("tokens", lambda t: F.length(t) >= 2).alias("tokens"))
                      .select("doc_id", word_ngrams(F.col("tokens"), *ngram_range).alias("tokens")))
-    tf = term_frequencies(src, min_len=2)
-    idf = idf_table(tf, doc_count(tokens), max_df, min_df, max_features)
+    bags = bag_table(src)
+    tf = explode_structs(bags, "tf_arr", ["doc_id"]).where(F.length("term") >= 2)
+    idf = idf_table(tf, doc_count(bags), max_df, min_df, max_features)
     w = tf.join(idf, "term").select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
     w = l2_normalize(w)
     return (w, idf) if return_idf else w

@@ -458,6 +458,17 @@ def q_cluster_members_by_lang(spark, sf_dir):
     return CL.cluster_members(_lang_labels(spark, sf_dir))
 
 
+@register("cluster_top_keywords_by_lang", _SQL_W + _SQL_LANG + """s AS (SELECT l.cluster, w.term, sum(w.weight) AS score
+      FROM w JOIN labels_l l USING (doc_id) GROUP BY l.cluster, w.term)
+SELECT cluster, rank, term, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 5""")
+def q_cluster_top_keywords_by_lang(spark, sf_dir):
+    """C6 with five keywords."""
+    _, w = _weights(spark, sf_dir)
+    kw = CL.cluster_keywords(_lang_labels(spark, sf_dir), w, 5)
+    return kw.select("cluster", F.col("rank").cast("long").alias("rank"), "term", r6(F.col("score")).alias("score"))
+
+
 @register("kmeans_groups")
 def q_kmeans_groups(spark, sf_dir):
     docs, w = _weights(spark, sf_dir)
@@ -659,7 +670,8 @@ def q_keyword_quality_tfidf(spark, sf_dir):
 @register("keyword_quality")
 def q_keyword_quality(spark, sf_dir):
     pc = GR.pair_counts(_docs(spark, sf_dir), k=5).select("doc_id", F.lit("combinations").alias("extractor"), "term")
-    pred = _tfidf_features_pred(spark, sf_dir).unionByName(pc)
+    lda = FE.one_topic_lda(_docs(spark, sf_dir)).select("doc_id", F.lit("lda").alias("extractor"), "term")
+    pred = _tfidf_features_pred(spark, sf_dir).unionByName(pc).unionByName(lda)
     q = EV.keyword_quality(pred, _truth(spark, sf_dir))
     return q.select("doc_id", "extractor", "n_pred", "hits", r6(F.col("precision")).alias("precision"),
                     r6(F.col("recall")).alias("recall"))
@@ -680,6 +692,27 @@ def _entity_tags(spark, sf_dir):
     return EN.entity_tags(EN.entity_spans(EN.entity_words(docs), gaz))
 
 
+def _corpus_gazetteer(spark, sf_dir):
+    """Capitalised words (ORG) and the two-word names that start with one (PERSON) of ``benchmark``."""
+    words = EN.entity_words(TB.read_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    cap = lambda w: w != F.lower(w)
+    one = words.select(F.explode(F.filter("words", cap)).alias("surface"), F.lit("ORG").alias("label"))
+    pairs = F.filter(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b")),
+                     lambda z: cap(z["a"]) & z["b"].isNotNull())
+    two = words.select(F.explode(pairs).alias("z")).select(F.concat_ws(" ", "z.a", "z.b").alias("surface"),
+                                                           F.lit("PERSON").alias("label"))
+    return one.unionByName(two).distinct()
+
+
+_SQL_CORPUS_GAZ = ("bw AS (SELECT list_filter(regexp_extract_all(coalesce(text, ''), " + S.q(S.RAW_TOKEN) + "), "
+                   "lambda t: regexp_full_match(t, '[\\pL\\pN_]+') AND NOT list_contains(" + S.STOP_LIST
+                   + ", lower(t))) AS words FROM benchmark),\n"
+                   "bp AS (SELECT words, unnest(range(1, len(words) + 1)) AS i FROM bw),\n"
+                   "gaz AS (SELECT DISTINCT words[i] AS entity, 'ORG' AS label FROM bp WHERE words[i] <> lower(words[i])\n"
+                   "  UNION SELECT DISTINCT words[i] || ' ' || words[i + 1], 'PERSON' FROM bp "
+                   "WHERE words[i] <> lower(words[i]) AND i < len(words)),\n")
+
+
 def _sql_entities() -> str:
     gaz_rows = list(EN.LICENSE_ENTITIES) + [(m, "DATE") for m in EN.MONTHS]
     gaz_vals = ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in gaz_rows)
@@ -718,6 +751,21 @@ def q_entity_tags(spark, sf_dir):
                                               F.col("entity_rank").cast("long").alias("entity_rank"), "entity")
 
 
+def _sql_corpus_entities() -> str:
+    sql = _sql_entities()
+    a, b = sql.index("gaz AS ("), sql.index("grams AS (")
+    return sql[:a] + _SQL_CORPUS_GAZ + sql[b:]
+
+
+@register("entity_tags_corpus", _sql_corpus_entities())
+def q_entity_tags_corpus(spark, sf_dir):
+    """E1-E3 with many nested and repeated names, from a gazetteer read off ``benchmark``."""
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tags = EN.entity_tags(EN.entity_spans(EN.entity_words(docs), _corpus_gazetteer(spark, sf_dir)))
+    return tags.select("doc_id", F.col("label_rank").cast("long").alias("label_rank"), "title",
+                       F.col("entity_rank").cast("long").alias("entity_rank"), "entity")
+
+
 def _sql_lemmas() -> str:
     exc = ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in LEMMA_EXCEPTIONS)
     rules = ", ".join(f"({S.q(a)}, {S.q(b)}, {i + 1})" for i, (a, b) in enumerate(NOUN_RULES))
@@ -766,11 +814,95 @@ def q_topic_top_terms(spark, sf_dir):
 
 @register("topic_keyword_mean_cosine")
 def q_topic_keyword_mean_cosine(spark, sf_dir):
+    """A18 of the topic model with both other extractors."""
     toks, w, tt, theta = _topics(spark, sf_dir)
     lda_m = EV.topic_keyword_matrix(theta, tt, 10)
-    top10 = FE.top_terms(w, 10).select("doc_id", "term", "weight")
+    _, top10, trm = _eval_matrices(spark, sf_dir)
     n = FE.doc_count(toks)
-    return EV.mean_cosine(lda_m, top10, n, n).select(F.lit("lda_tfidf").alias("pair"), "mean_cos")
+    pairs = [EV.mean_cosine(lda_m, m, n, n).select(F.lit(name).alias("pair"), "mean_cos")
+             for name, m in (("lda_tfidf", top10), ("lda_textrank", trm))]
+    return pairs[0].unionByName(pairs[1])
+
+
+# θ given by a table (labels: quality and toxicity as two topics) makes A13 and A18 exact
+def _given_topics(spark, sf_dir):
+    lab = TB.read_table(spark, sf_dir, "labels")
+    theta = lab.select("doc_id", F.posexplode(F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")))
+                       .alias("topic", "theta"))
+    _, top10, _ = _eval_matrices(spark, sf_dir)
+    summed = top10.join(theta, "doc_id").groupBy("topic", "term").agg(F.round(F.sum(F.col("theta") * F.col("weight")), 6).alias("weight"))
+    return theta, FE.top_terms(summed, 10, by="topic"), top10
+
+
+_SQL_GIVEN = _SQL_EVAL + """, theta AS (SELECT doc_id, 0 AS topic, quality::DOUBLE AS theta FROM labels
+  UNION ALL SELECT doc_id, 1, toxic::DOUBLE FROM labels),
+tsum AS (SELECT topic, term, round(sum(theta * weight), 6) AS weight FROM top10 JOIN theta USING (doc_id) GROUP BY topic, term),
+tt AS (SELECT topic, term, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank
+       FROM tsum) WHERE rank <= 10),
+tkm AS (SELECT doc_id, term, sum(theta) AS weight FROM theta JOIN tt USING (topic) GROUP BY doc_id, term)
+"""
+
+
+@register("given_topic_terms", _SQL_GIVEN + "SELECT topic::BIGINT AS topic, rank, term FROM tt")
+def q_given_topic_terms(spark, sf_dir):
+    """A12/A14 on given topics."""
+    _, tt, _ = _given_topics(spark, sf_dir)
+    return tt.select(F.col("topic").cast("long").alias("topic"), F.col("rank").cast("long").alias("rank"), "term")
+
+
+@register("given_topic_matrix", _SQL_GIVEN + "SELECT doc_id, term, round(weight, 6) AS weight FROM tkm")
+def q_given_topic_matrix(spark, sf_dir):
+    """A13 on given topics."""
+    theta, tt, _ = _given_topics(spark, sf_dir)
+    return EV.topic_keyword_matrix(theta, tt, 10).select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@register("given_topic_mean_cosine", _SQL_GIVEN + """, u AS (SELECT doc_id, term, CASE WHEN n > 0 THEN weight / n ELSE 0 END AS x
+  FROM (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS n FROM tkm)),
+su AS (SELECT term, sum(x) AS su FROM u GROUP BY term), sv AS (SELECT term, sum(weight) AS sv FROM ntop GROUP BY term)
+SELECT round(coalesce(sum(su * sv), 0) / ((SELECT count(DISTINCT doc_id) FROM theta) * (SELECT count(*) FROM docs)), 6) AS mean_cos
+FROM su JOIN sv USING (term)""")
+def q_given_topic_mean_cosine(spark, sf_dir):
+    theta, tt, top10 = _given_topics(spark, sf_dir)
+    n_u = theta.select(F.count_distinct("doc_id")).scalar()
+    n_v = FE.doc_count(_eval_docs(spark, sf_dir))
+    return (EV.mean_cosine(EV.topic_keyword_matrix(theta, tt, 10), top10, n_u, n_v)
+              .select(r6(F.col("mean_cos")).alias("mean_cos")))
+
+
+DENSITY = dict(min_samples=5, max_eps=0.7, xi=0.05, min_cluster_size=2)
+
+
+def _sql_density() -> str:
+    """The whole hierarchy: components at every distance that occurs, told apart by their size."""
+    p = DENSITY
+    min_cos = 1.0 - p["max_eps"] ** 2 / 2.0
+    base = ("WITH RECURSIVE" + (_SQL_W + _SQL_REPS)[4:]).replace(repr(MIN_COS - 1e-12), repr(min_cos - 1e-12))
+    return base.rstrip() + f""",
+pd AS (SELECT doc_a, doc_b, sqrt(greatest(0.0, 2.0 - 2.0 * cos)) AS d FROM pairs),
+nb AS (SELECT p.doc_a AS rep, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_b
+       UNION ALL SELECT p.doc_b, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_a
+       UNION ALL SELECT rep, 0.0, m FROM mult),
+cum AS (SELECT rep, d, sum(m) OVER (PARTITION BY rep ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+        FROM nb),
+core AS (SELECT c.rep, min(c.d) AS core_d, any_value(m.m) AS m FROM cum c JOIN mult m USING (rep)
+         WHERE c.c >= {p['min_samples']} GROUP BY c.rep),
+edges AS (SELECT p.doc_a AS a, p.doc_b AS b, greatest(ca.core_d, cb.core_d, p.d) AS mr
+          FROM pd p JOIN core ca ON ca.rep = p.doc_a JOIN core cb ON cb.rep = p.doc_b),
+thr AS (SELECT row_number() OVER (ORDER BY t) AS k, t FROM
+        (SELECT DISTINCT mr AS t FROM edges UNION SELECT DISTINCT core_d FROM core WHERE core_d <= {p['max_eps']!r})),
+te AS (SELECT k, a, b FROM edges JOIN thr ON mr <= t UNION ALL SELECT k, b, a FROM edges JOIN thr ON mr <= t),
+reach(k, node, c) AS (SELECT k, rep, rep FROM core JOIN thr ON core_d <= t
+                      UNION SELECT r.k, e.b, r.c FROM reach r JOIN te e ON e.k = r.k AND e.a = r.node),
+comp AS (SELECT k, node, min(c) AS comp FROM reach GROUP BY k, node),
+sized AS (SELECT c.k, c.node, c.comp, sum(co.m) OVER (PARTITION BY c.k, c.comp) AS size
+          FROM comp c JOIN core co ON co.rep = c.node),
+span AS (SELECT comp, size, min(k) AS k0, max(k) AS k1 FROM sized GROUP BY comp, size),
+good AS (SELECT s.comp, s.size, s.k0 FROM span s JOIN thr i ON i.k = s.k0 LEFT JOIN thr o ON o.k = s.k1 + 1
+         WHERE s.size >= {p['min_cluster_size']} AND (o.t IS NULL OR i.t <= (1.0 - {p['xi']}) * o.t)),
+inner_ AS (SELECT z.node, arg_min(g.comp, g.k0) AS cluster
+           FROM good g JOIN sized z ON z.k = g.k0 AND z.comp = g.comp GROUP BY z.node)
+SELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g LEFT JOIN inner_ i ON i.node = g.rep"""
 
 
 # --- 9. density clusters ---------------------------------------------------------
@@ -872,6 +1004,31 @@ def q_cluster_selected_dbscan(spark, sf_dir):
     return CP.cluster_documents(docs, sel, algorithm="dbscan", eps=0.5, min_samples=5)
 
 
+@register("cluster_selected_kmeans")
+def q_cluster_selected_kmeans(spark, sf_dir):
+    """C4 by k-means over a selection, titled with five keywords."""
+    docs = TB.read_table(spark, sf_dir, "documents")
+    sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return CP.cluster_documents(docs, sel, algorithm="kmeans", n_keywords=5, k=3, seed=42)
+
+
+_SQL_DENSITY_SEL = _sql_density().replace(S.docs_cte(), S.docs_cte(_SEL_TABLE), 1)
+
+
+@register("cluster_selected_density", _SQL_DENSITY_SEL.replace("\nSELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g "
+          "LEFT JOIN inner_ i ON i.node = g.rep", """,
+dlab AS (SELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g LEFT JOIN inner_ i ON i.node = g.rep),
+s AS (SELECT l.cluster, w.term, sum(w.weight) AS score FROM w JOIN dlab l USING (doc_id) GROUP BY l.cluster, w.term),
+kw AS (SELECT cluster, term FROM
+       (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rk FROM s) WHERE rk = 1)
+SELECT d.doc_id, d.cluster, coalesce(k.term, '') AS group_title FROM dlab d LEFT JOIN kw k USING (cluster)"""))
+def q_cluster_selected_density(spark, sf_dir):
+    """C4 by the density hierarchy over a selection."""
+    docs = TB.read_table(spark, sf_dir, "documents")
+    sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return CP.cluster_documents(docs, sel, algorithm="optics", **DENSITY)
+
+
 @register("page_content")
 def q_page_content(spark, sf_dir):
     return PG.page_content(TB.read_table(spark, sf_dir, "pages"))
@@ -929,7 +1086,10 @@ grams AS (SELECT doc_id, unnest(tokens) AS term FROM docs
 gc AS (SELECT doc_id, term, count(*) AS c FROM grams GROUP BY doc_id, term),
 pred AS (SELECT doc_id, 'tfidf' AS extractor, term FROM
            (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, term) AS rk FROM gc) WHERE rk <= 5
-         UNION ALL SELECT doc_id, 'combinations', term FROM pc)
+         UNION ALL SELECT doc_id, 'combinations', term FROM pc
+         UNION ALL SELECT doc_id, 'lda', term FROM
+           (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, term) AS rk FROM
+             (SELECT doc_id, term, count(*) AS c FROM toks GROUP BY doc_id, term)) WHERE rk <= 10)
 SELECT doc_id, extractor, count(*) AS n_pred,
        count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) AS hits,
        round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / count(*), 6) AS precision,
@@ -960,41 +1120,6 @@ FROM tg FULL JOIN nr ON tg.doc_id = nr.doc_id""")
 ORACLES["service_replies"] = _sql_service_replies()
 
 
-DENSITY = dict(min_samples=5, max_eps=0.7, xi=0.05, min_cluster_size=2)
-
-
-def _sql_density() -> str:
-    """The whole hierarchy: components at every distance that occurs, told apart by their size."""
-    p = DENSITY
-    min_cos = 1.0 - p["max_eps"] ** 2 / 2.0
-    base = ("WITH RECURSIVE" + (_SQL_W + _SQL_REPS)[4:]).replace(repr(MIN_COS - 1e-12), repr(min_cos - 1e-12))
-    return base.rstrip() + f""",
-pd AS (SELECT doc_a, doc_b, sqrt(greatest(0.0, 2.0 - 2.0 * cos)) AS d FROM pairs),
-nb AS (SELECT p.doc_a AS rep, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_b
-       UNION ALL SELECT p.doc_b, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_a
-       UNION ALL SELECT rep, 0.0, m FROM mult),
-cum AS (SELECT rep, d, sum(m) OVER (PARTITION BY rep ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
-        FROM nb),
-core AS (SELECT c.rep, min(c.d) AS core_d, any_value(m.m) AS m FROM cum c JOIN mult m USING (rep)
-         WHERE c.c >= {p['min_samples']} GROUP BY c.rep),
-edges AS (SELECT p.doc_a AS a, p.doc_b AS b, greatest(ca.core_d, cb.core_d, p.d) AS mr
-          FROM pd p JOIN core ca ON ca.rep = p.doc_a JOIN core cb ON cb.rep = p.doc_b),
-thr AS (SELECT row_number() OVER (ORDER BY t) AS k, t FROM
-        (SELECT DISTINCT mr AS t FROM edges UNION SELECT DISTINCT core_d FROM core WHERE core_d <= {p['max_eps']!r})),
-te AS (SELECT k, a, b FROM edges JOIN thr ON mr <= t UNION ALL SELECT k, b, a FROM edges JOIN thr ON mr <= t),
-reach(k, node, c) AS (SELECT k, rep, rep FROM core JOIN thr ON core_d <= t
-                      UNION SELECT r.k, e.b, r.c FROM reach r JOIN te e ON e.k = r.k AND e.a = r.node),
-comp AS (SELECT k, node, min(c) AS comp FROM reach GROUP BY k, node),
-sized AS (SELECT c.k, c.node, c.comp, sum(co.m) OVER (PARTITION BY c.k, c.comp) AS size
-          FROM comp c JOIN core co ON co.rep = c.node),
-span AS (SELECT comp, size, min(k) AS k0, max(k) AS k1 FROM sized GROUP BY comp, size),
-good AS (SELECT s.comp, s.size, s.k0 FROM span s JOIN thr i ON i.k = s.k0 LEFT JOIN thr o ON o.k = s.k1 + 1
-         WHERE s.size >= {p['min_cluster_size']} AND (o.t IS NULL OR i.t <= (1.0 - {p['xi']}) * o.t)),
-inner_ AS (SELECT z.node, arg_min(g.comp, g.k0) AS cluster
-           FROM good g JOIN sized z ON z.k = g.k0 AND z.comp = g.comp GROUP BY z.node)
-SELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g LEFT JOIN inner_ i ON i.node = g.rep"""
-
-
 ORACLES["density_clusters"] = _sql_density()
 ORACLES["density_cluster_counts"] = _sql_density().replace(
     "\nSELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g LEFT JOIN inner_ i ON i.node = g.rep",
