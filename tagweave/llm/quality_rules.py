@@ -8,7 +8,7 @@ spans is the repeated part of the document. A document is rejected if that part
 ``max_covered`` of its words or the longest repeat is longer than ``max_longest`` words and more than
 ``max_longest_share`` of the document.
 
-Documents of an Arrow slice (2 MB, or one longer document) are sorted in one go, with the document as the
+Documents of an Arrow slice (0.5 MB, or one longer document) are sorted in one go, with the document as the
 first part of every rank, so no shuffle is needed and memory is bounded by the slice or the longest document.
 
 Defined results: a null or empty text has no words and is rejected (fewer than ``min_words``); rows are

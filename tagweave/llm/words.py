@@ -31,7 +31,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, grown as needed."""
     have = len(_POW["up"])
     if have < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for key, base in (("up", BASE), ("down", _INV)):
             p = np.full(size, U(base), dtype=U)
             p[0] = U(1)
@@ -83,7 +83,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], dtype=np.uint8)[off[0]:off[-1]], off - off[0]
 
 
-def slices(column: pa.Array, limit: int = 2 << 20):
+def slices(column: pa.Array, limit: int = 1 << 19):
     """(first, last) row ranges of at most ``limit`` bytes, or of a single longer document."""
     _, off = string_bytes(column)
     i, n = 0, len(off) - 1
