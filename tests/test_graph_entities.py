@@ -73,3 +73,20 @@ def test_textrank_raises_when_not_converged():
     import pytest
     with pytest.raises(ArithmeticError):
         GR.pagerank_local(["a", "b"], ["b", "c"], 0.85, 3, 1e-12)
+
+
+def test_batched_pagerank_equals_single():
+    import random
+    import numpy as np
+    r = random.Random(3)
+    graph, ea, eb, single = [], [], [], []
+    for g in range(30):
+        edges = {tuple(sorted((f"t{r.randrange(9)}", f"t{r.randrange(9)}"))) for _ in range(r.randrange(12))}
+        a, b = [x for x, _ in edges], [y for _, y in edges]
+        graph += [g] * len(a)
+        ea += a
+        eb += b
+        nodes, x = GR.pagerank_local(a, b, tol=1e-6)
+        single += [(g, n, round(float(v), 12)) for n, v in zip(nodes, x)]
+    owner, nodes, x = GR.pagerank_batch(np.array(graph), ea, eb, tol=1e-6)
+    assert [(int(o), n, round(float(v), 12)) for o, n, v in zip(owner, nodes, x)] == single
