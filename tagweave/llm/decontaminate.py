@@ -6,18 +6,20 @@ ASCII, lower-cased). A document is contaminated by an item if some window of it
 
 1. Items longer than ``PIECE`` words are cut into pieces of at least half of it; a text close to a long item
    is as close to one of its pieces. Items under ``LEAST`` words are no evidence and match nothing.
-2. CGK. Every repetition walks over a sequence with its own random functions: at step j it writes the current
-   word and moves on if the word's random bit for step j says so. Edits then cost few positions of the
-   written sequence (Hamming distance) with good probability, since the walks of two texts soon meet again.
-3. Bit sampling. ``SAMPLES`` positions of the walk (of as many steps as the smallest item of a size class has
-   words) are a bucket. Windows of the size class of an item meet it in one of ``repetitions(...)`` buckets
-   with the target recall, computed for the worst edits allowed.
-4. Edit distance. Each pair of window and item that met, and shares so many distinct words as k edits leave,
-   is verified by dynamic programming.
+2. Segments. A piece that allows k edits is cut into k // 2 + 1 segments or more, of ``SEGMENT`` words at most.
+   Wherever the edits are, bunched or spread, some segment has one at most.
+3. CGK. Every repetition walks over a segment of n words in 2n steps with its own random functions: at step j it
+   writes the current word and moves on if the word's random bit for step j says so. An edit then costs few
+   positions of the written sequence (Hamming distance) with good probability, since the walks of two texts
+   soon meet again.
+4. Bit sampling. ``SAMPLES`` positions of the walk are a bucket. Starts in the text meet segments of an item in one
+   of ``repetitions(...)`` buckets with the target recall, computed for the worst place and kind of the edit.
+5. Edit distance. Each piece and stretch of text that met, and share so many distinct words as k edits leave,
+   are verified by dynamic programming over all windows of the stretch.
 
 Two filters keep all other windows from being embedded or shuffled. A window within k edits of an item of n
 words holds at least n - q + 1 - kq of the item's q-grams (q = 4, or 3 where only such are sure to survive),
-so only windows with so many q-grams of the benchmark are walked; and only buckets that some item has are
+so walks start only inside windows with so many q-grams of the benchmark; and only buckets that some item has are
 emitted. Both are bit tables of fixed size (``BITS``), so what is broadcast does not grow; with a larger
 benchmark they let more through, but never lose a window.
 
@@ -40,15 +42,21 @@ from tagweave.llm.words import BASE, PUNCT_BYTES, U, Words, complete, mix, ngram
 
 LEAST, PIECE = 8, 96
 SAMPLES = 2
-AGREEMENT = 0.45  # share of equal walk positions at 20 % edits (simulated; higher for fewer edits)
+SEGMENT = 16      # most words of a segment
+MEETING = 0.20    # least chance of a common bucket with one edit at the worst place of a segment (simulated)
+MEETING_SHORT = {2: 0.06, 3: 0.14}  # the same for segments of so few words, which only low percents have
 ZONE = 512        # most starts of windows in one row
+NEAR = 8          # starts so close that meet the same bucket are one
 BITS = 24         # the bit tables have 2**BITS bits (2 MB)
-GROWTH = 1.25     # of the size classes
+GROWTH = 1.25     # of the size classes of windows
 DOC = ["d", "th"]
 
 
-def repetitions(target: float = 0.99) -> int:
-    return math.ceil(math.log(1 - target) / math.log(1 - AGREEMENT ** SAMPLES))
+def repetitions(target: float = 0.99, shortest: int = SEGMENT) -> int:
+    """Repetitions for the target recall; ``shortest`` is the number of words of the shortest segment."""
+    if shortest < 2:
+        raise ValueError("percent is too low for segments of two words")
+    return math.ceil(math.log(1 - target) / math.log(1 - MEETING_SHORT.get(shortest, MEETING)))
 
 
 def edits(n, percent: int):
@@ -69,12 +77,14 @@ def size_class(n):
     return np.floor(np.log(np.maximum(n, LEAST) / LEAST) / math.log(GROWTH) + 1e-9).astype(np.int64)
 
 
-def class_base(c) -> int:
-    return math.ceil(LEAST * GROWTH ** c - 1e-9)
+def segment_cuts(n: int, percent: int) -> np.ndarray:
+    """Bounds of the segments of a piece: so many that one has at most one of the edits allowed."""
+    parts = max(edits(n, percent) // 2 + 1, -(-n // SEGMENT))
+    return np.arange(parts + 1) * n // parts
 
 
-def class_top(c) -> int:
-    return min(PIECE, math.ceil(LEAST * GROWTH ** (c + 1) - 1e-9))
+def segment_sizes(sizes: list[int], percent: int) -> list[int]:
+    return sorted({int(x) for n in sizes for x in np.diff(segment_cuts(n, percent))})
 
 
 def _word_arrays(column: pa.Array) -> Words:
@@ -117,42 +127,33 @@ def gram_hashes(hashes: np.ndarray, q: int) -> np.ndarray:
     return mix(ngrams(w, q) + U(q))
 
 
-def _spots(r: int, classes: list[int]) -> dict[int, np.ndarray]:
-    """Sampled walk positions of a repetition: they depend on it and the class alone, so items and windows agree."""
-    return {c: np.sort(np.random.default_rng([r, c]).integers(0, class_base(c), SAMPLES)) for c in classes}
+def _spots(r: int, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Sampled walk positions of a repetition: they depend on it and the size alone, so items and texts agree."""
+    return {c: np.sort(np.random.default_rng([r, c]).integers(0, 2 * c, SAMPLES)) for c in sizes}
 
 
-def walk_buckets(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, classes: list[int], reps: int,
-                 top: np.ndarray | None = None):
-    """CGK walks from ``start`` (words; ``end`` is where each one's text ends): for each repetition and class
-    yields (repetition, class, bucket of the first starts). ``top`` is the largest class each start is asked
-    for, in falling order: a start is walked as far as that class needs and no further."""
-    top = np.full(len(start), max(classes)) if top is None else top
+def walk_buckets(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: list[int], reps: int):
+    """CGK walks from ``start`` (words; ``end`` is where each one's text ends): for each repetition and size of
+    segments yields (repetition, size, bucket of each start)."""
     for r in range(reps):
-        spots = _spots(r, classes)
-        # steps needed for class c and all smaller ones
-        far = np.maximum.accumulate([int(spots[c][-1]) for c in classes])
-        need = far[np.searchsorted(classes, top)]
-        salts = np.array([(r * 1_000_003 + b * 7919 + 1) * BASE % (1 << 64) for b in range(int(far[-1]) // 64 + 1)], dtype=U)
+        spots = _spots(r, sizes)
+        last = max(int(x[-1]) for x in spots.values())
+        salts = np.array([(r * 1_000_003 + b * 7919 + 1) * BASE % (1 << 64) for b in range(last // 64 + 1)], dtype=U)
         bits = [mix(hashes ^ s) for s in salts]  # bit j of word i: whether step j moves on at it
-        at, live = start.copy(), len(start)
-        seen = {c: np.full(len(start), (r * 64 + c + 1) * 0x9E3779B1, dtype=U) for c in classes}
-        for j in range(int(far[-1]) + 1):
-            live = int(np.searchsorted(-need, -j, "right"))  # starts that need step j
-            if not live:
-                break
-            a = at[:live]
-            inside = a < end[:live]
-            here = np.minimum(a, len(hashes) - 1)
-            asked = [c for c in classes if j in spots[c]]
+        at = start.copy()
+        seen = {c: np.full(len(start), (r * 64 + c + 1) * 0x9E3779B1, dtype=U) for c in sizes}
+        for j in range(last + 1):
+            inside = at < end
+            here = np.minimum(at, len(hashes) - 1)
+            asked = [c for c in sizes if j in spots[c]]
             if asked:
                 word = np.where(inside, hashes[here], U(0))
                 for c in asked:
                     for _ in range(int((spots[c] == j).sum())):
-                        seen[c][:live] = mix(seen[c][:live] * U(31) + word)
-            a += inside & ((bits[j // 64][here] >> U(j % 64)) & U(1)).astype(bool)
-        for c in classes:
-            yield r, c, seen[c][:int(np.searchsorted(-top, -c, "right"))]
+                        seen[c] = mix(seen[c] * U(31) + word)
+            at += inside & ((bits[j // 64][here] >> U(j % 64)) & U(1)).astype(bool)
+        for c in sizes:
+            yield r, c, seen[c]
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
@@ -173,38 +174,51 @@ def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def piece_keys(pieces: DataFrame, percent: int, reps: int) -> DataFrame:
-    """(item, piece, kind, h): kind 0 are q-gram hashes, kind 1 LSH buckets."""
+    """(item, piece, n, kind, off, h): kind 0 are q-gram hashes, kind 1 LSH buckets of the segment from word ``off``."""
     def run(batches):
         for batch in batches:
-            vals, off = _flat(batch.column(3))
+            vals, base = _flat(batch.column(3))
             n = batch.column(2).to_numpy()
-            row, kind, out = [], [], []
-            for i, size in enumerate(n.tolist()):
-                g = gram_hashes(vals[off[i]:off[i + 1]], gram_size(size, percent))
-                g = g[:size - gram_size(size, percent) + 1]
+            row, kind, off, out = [], [], [], []
+            part, at, size = [], [], []  # of each segment
+            for i, words in enumerate(n.tolist()):
+                g = gram_hashes(vals[base[i]:base[i + 1]], gram_size(words, percent))
+                g = g[:words - gram_size(words, percent) + 1]
                 row.append(np.full(len(g), i))
                 kind.append(np.zeros(len(g), dtype=np.int32))
+                off.append(np.zeros(len(g), dtype=np.int64))
                 out.append(g)
-            cls = size_class(n)
-            for c in np.unique(cls).tolist():
-                idx = np.flatnonzero(cls == c)
-                for _, _, b in walk_buckets(vals, off[idx], off[idx + 1], [c], reps):
-                    row.append(idx)
+                cut = segment_cuts(words, percent)
+                part.append(np.full(len(cut) - 1, i))
+                at.append(cut[:-1])
+                size.append(np.diff(cut))
+            if not row:
+                continue
+            part, at, size = (np.concatenate(x) for x in (part, at, size))
+            for c in np.unique(size).tolist():
+                idx = np.flatnonzero(size == c)
+                first = base[part[idx]] + at[idx]
+                # to the end of the piece: a walk past the segment reads on, as it does in a text
+                for _, _, b in walk_buckets(vals, first, base[part[idx] + 1], [c], reps):
+                    row.append(part[idx])
                     kind.append(np.ones(len(idx), dtype=np.int32))
+                    off.append(at[idx])
                     out.append(b)
-            row, kind, out = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (row, kind, out))
+            row, kind, off, out = (np.concatenate(x) for x in (row, kind, off, out))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.astype(np.int32)),
-                 pa.array(out.astype(U).view(np.int64))], names=["item", "piece", "kind", "h"])
+                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
+                 pa.array(kind.astype(np.int32)), pa.array(off), pa.array(out.astype(U).view(np.int64))],
+                names=["item", "piece", "n", "kind", "off", "h"])
 
-    return pieces.mapInArrow(run, "item long, piece int, kind int, h long")
+    return pieces.mapInArrow(run, "item long, piece int, n long, kind int, off long, h long")
 
 
 def find_windows(docs: DataFrame, grams: np.ndarray, buckets: np.ndarray, sizes: list[int], percent: int, reps: int):
-    """(d, th, z, starts, keys, words): zones of ``docs`` (d, th, text) with windows in a bucket of some item.
-    ``words`` are the document's from word ``z`` on, ``starts`` (from z) and ``keys`` the windows' buckets.
+    """(d, th, z, starts, keys, words): zones of ``docs`` (d, th, text) with starts in a bucket of some segment.
+    ``words`` are the document's from word ``z`` on, ``starts`` (from z) and ``keys`` the buckets of the starts.
     ``sizes`` are the distinct numbers of words of the pieces (at most PIECE)."""
+    segments = segment_sizes(sizes, percent)
     classes = sorted({int(size_class(n)) for n in sizes})
     need = {c: min(least_grams(n, percent) for n in sizes if size_class(n) == c) for c in classes}
     reach = {c: max(n + edits(n, percent) for n in sizes if size_class(n) == c) for c in classes}
@@ -233,32 +247,40 @@ def find_windows(docs: DataFrame, grams: np.ndarray, buckets: np.ndarray, sizes:
                 np.add.at(zone, np.maximum(near - longest, 0), 1)
                 np.add.at(zone, near + 1, -1)
                 start = np.flatnonzero(np.cumsum(zone[:-1]) > 0)
-                top = np.full(len(start), -1)
-                gate = {}
+                # walks start anywhere in a window that passes
+                inner = np.zeros(n + 1, dtype=np.int64)
                 for c in classes:
-                    gate[c] = count[np.minimum(start + reach[c], end[start])] - count[start] >= need[c]
-                    top[gate[c]] = c
-                order = np.argsort(-top, kind="stable")
-                order = order[top[order] >= 0]
-                if not len(order):
+                    stop = np.minimum(start + reach[c], end[start])
+                    ok = count[stop] - count[start] >= need[c]
+                    np.add.at(inner, start[ok], 1)
+                    np.add.at(inner, stop[ok], -1)
+                start = np.flatnonzero(np.cumsum(inner[:-1]) > 0)
+                if not len(start):
                     continue
-                start, top, gate = start[order], top[order], {c: g[order] for c, g in gate.items()}
                 rows, keys = [], []
-                for _, c, b in walk_buckets(w.hash, start, end[start], classes, reps, top):
-                    ok = np.flatnonzero(gate[c][:len(b)] & _in_table(bucket_bits, b))
+                for _, _, b in walk_buckets(w.hash, start, end[start], segments, reps):
+                    ok = np.flatnonzero(_in_table(bucket_bits, b))
                     rows.append(start[ok])
                     keys.append(b[ok])
                 at, keys = np.concatenate(rows), np.concatenate(keys)
                 if not len(at):
                     continue
+                order = np.lexsort((at, keys))
+                at, keys = at[order], keys[order]
+                doc = np.searchsorted(w.ptr, at, "right") - 1
+                close = (at - w.ptr[doc]) // NEAR
+                one = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]) | (close[1:] != close[:-1])))
+                at, keys = at[one], keys[one]
                 order = np.argsort(at, kind="stable")
                 at, keys = at[order], keys[order]
                 # zones: starts of a document close to each other, at most ZONE words apart
                 doc = np.searchsorted(w.ptr, at, "right") - 1
-                cut = np.concatenate(([True], (at[1:] // ZONE != at[:-1] // ZONE) | (doc[1:] != doc[:-1])))
+                part_of = (at - w.ptr[doc]) // ZONE
+                cut = np.concatenate(([True], (part_of[1:] != part_of[:-1]) | (doc[1:] != doc[:-1])))
                 first = np.flatnonzero(cut)
                 last = np.append(first[1:], len(at)) - 1
-                lo, hi = at[first], np.minimum(at[last] + longest, end[at[last]])
+                # with the words before and after that a window around a segment can hold
+                lo, hi = np.maximum(at[first] - longest, w.ptr[doc[first]]), np.minimum(at[last] + longest + NEAR, end[at[last]])
                 off = np.concatenate(([0], np.cumsum(hi - lo)))
                 words = w.hash[np.arange(off[-1]) + np.repeat(lo - off[:-1], hi - lo)]
                 take = pa.array(doc[first])
@@ -274,25 +296,34 @@ def find_windows(docs: DataFrame, grams: np.ndarray, buckets: np.ndarray, sizes:
         run, "d long, th long, z long, starts array<int>, keys array<long>, words array<long>")
 
 
-def prefix_distance(items: np.ndarray, item_n: np.ndarray, windows: np.ndarray, window_n: np.ndarray):
-    """(edit distance, length) of the prefix of each window closest to its item; rows padded with zeros."""
-    rows, width = windows.shape
-    col = np.arange(width + 1)
-    prev = np.tile(col, (rows, 1)).astype(np.int32)
-    best, length = np.full(rows, 1 << 30, dtype=np.int32), np.zeros(rows, dtype=np.int64)
-    usable = col[None, :] <= window_n[:, None]
+def window_distance(items: np.ndarray, item_n: np.ndarray, texts: np.ndarray, text_n: np.ndarray, free: bool = True):
+    """(edit distance, first word, length) of the window of each text closest to its item, the first and
+    shortest of equals; rows padded with zeros. Windows start at word 0 if not ``free``."""
+    rows, width = texts.shape
+    edit = np.int64(1 << 32)  # cells are edits * 2**32 + first word
+    col = np.arange(width + 1) * edit
+    prev = np.tile(np.arange(width + 1) if free else col, (rows, 1))
+    never = np.int64(1 << 62)
+    best, length = np.full(rows, never), np.zeros(rows, dtype=np.int64)
+    usable = np.arange(width + 1)[None, :] <= text_n[:, None]
     for i in range(items.shape[1]):
         cur = np.empty_like(prev)
-        cur[:, 0] = i + 1
-        cur[:, 1:] = np.minimum(prev[:, :-1] + (windows != items[:, i:i + 1]), prev[:, 1:] + 1)
-        cur = np.minimum.accumulate(cur - col, axis=1) + col  # insertions
-        prev = cur.astype(np.int32)
+        cur[:, 0] = (i + 1) * edit
+        cur[:, 1:] = np.minimum(prev[:, :-1] + (texts != items[:, i:i + 1]) * edit, prev[:, 1:] + edit)
+        prev = np.minimum.accumulate(cur - col, axis=1) + col  # insertions
         done = np.flatnonzero(item_n == i + 1)
         if len(done):
-            d = np.where(usable[done], prev[done], 1 << 30)
+            d = np.where(usable[done], prev[done], never)
             length[done] = d.argmin(axis=1)
             best[done] = d.min(axis=1)
-    return best, length
+    first = best % edit
+    return best // edit, first, length - first
+
+
+def prefix_distance(items: np.ndarray, item_n: np.ndarray, windows: np.ndarray, window_n: np.ndarray):
+    """(edit distance, length) of the prefix of each window closest to its item; rows padded with zeros."""
+    dist, _, length = window_distance(items, item_n, windows, window_n, free=False)
+    return dist, length
 
 
 def _pad(vals: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -306,16 +337,16 @@ def verify(pairs: DataFrame, percent: int) -> DataFrame:
     """(d, th, item, piece, edits, n, first_word, n_words) of the pairs close enough."""
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 iv, io = _flat(part.column(6))
                 wv, wo = _flat(part.column(5))
                 n = np.diff(io)
-                dist, length = prefix_distance(_pad(iv, io), n, _pad(wv, wo), np.diff(wo))
+                dist, first, length = window_distance(_pad(iv, io), n, _pad(wv, wo), np.diff(wo))
                 ok = pa.array(np.flatnonzero(dist <= edits(n, percent)))
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c).take(ok) for c in range(4)], pa.array(dist.astype(np.int64)).take(ok),
-                     pa.array(n).take(ok), part.column(4).take(ok), pa.array(length).take(ok)],
+                     pa.array(n).take(ok), pa.array(part.column(4).to_numpy() + first).take(ok), pa.array(length).take(ok)],
                     names=[*DOC, "item", "piece", "edits", "n", "first_word", "n_words"])
 
     cols = [*DOC, "item", "piece", "s", "window", "words"]
@@ -332,26 +363,29 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, target: float = 0.99,
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, th, item, edits, n, first_word, n_words): the closest window for each document and item."""
-    reps = repetitions(target)
     text_batches(docs.sparkSession)
     pieces = stage(item_pieces(benchmark), "bench-pieces")
-    keys = stage(piece_keys(pieces, percent, reps), "bench-keys")
     sizes = [r[0] for r in pieces.select("n").distinct().collect()]  # at most PIECE values
     base = keyed(docs, key, text).select(*DOC, F.col(text).alias("text"))
     if not sizes:
         return base.select(*DOC, *[F.lit(0).cast("long").alias(c) for c in
                                    ("item", "edits", "n", "first_word", "n_words")]).where(F.lit(False))
+    reps = repetitions(target, segment_sizes(sizes, percent)[0])
+    keys = stage(piece_keys(pieces, percent, reps), "bench-keys")
     tables = [bit_table(keys.where(F.col("kind") == k).select("h").distinct()) for k in (0, 1)]
     found = stage(find_windows(base, *tables, sizes, percent, reps).dropDuplicates([*DOC, "z"]), "bench-windows")
     met = (found.select(*DOC, "z", F.explode(F.arrays_zip("starts", "keys")).alias("x"))
                 .select(*DOC, "z", F.col("x.starts").alias("o"), F.col("x.keys").alias("h"))
-                .join(keys.where(F.col("kind") == 1).select("h", "item", "piece"), "h")
-                .select(*DOC, "z", "o", "item", "piece").distinct())
-    k = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
+                .join(keys.where(F.col("kind") == 1).select("h", "item", "piece", "n", "off"), "h")
+                # where in the zone the piece would begin, in steps of its length
+                .select(*DOC, "z", "item", "piece", F.floor((F.col("o") - F.col("off")) / F.col("n")).alias("b")).distinct())
+    k = F.floor(F.col("n") * (100 - percent) / 100)
+    lo = F.greatest(F.lit(0).cast("long"), F.col("b") * F.col("n") - k)
+    hi = (F.col("b") + 2) * F.col("n") + k + NEAR
     pairs = (met.join(found.select(*DOC, "z", F.col("words").alias("zone")), [*DOC, "z"])
                 .join(pieces.select("item", "piece", "n", "words"), ["item", "piece"])
-                .withColumn("window", F.slice("zone", F.col("o") + 1, F.col("n").cast("int") + k))
-                .withColumn("s", F.col("z") + F.col("o")))
+                .withColumn("window", F.slice("zone", (lo + 1).cast("int"), (hi - lo).cast("int")))
+                .withColumn("s", F.col("z") + lo))
     # an edit takes away one distinct word of the item at most
     own = F.size(F.array_distinct("words"))
     pairs = pairs.where(F.size(F.array_intersect("words", "window")) >= own - k)

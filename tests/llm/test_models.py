@@ -49,6 +49,25 @@ def test_decontamination(spark):
     assert nothing.count() == docs.count()
 
 
+def test_decontamination_with_bunched_edits(spark):
+    """All edits allowed at the worst places: the words after the first one replaced or left out, or spread gaps."""
+    r = H.rng(12)
+    items = [H.sentence(r, n, 4000) for n in (10, 15, 20, 30, 45, 59, 96) for _ in range(4)]
+    rows, want = [], set()
+    for d in range(336):
+        i = d % len(items)
+        w, k, kind = items[i], len(items[i]) // 5, d // len(items) % 4
+        gaps = {1 + j * (len(w) - 1) // k for j in range(k)}
+        body = [w[:1] + H.sentence(r, k, 4000) + w[k + 1:], w[:1] + w[k + 1:], [x for j, x in enumerate(w) if j not in gaps],
+                w[:-k - 1] + w[-1:]][kind]
+        rows.append((d, " ".join(H.sentence(r, 40, 4000) + body + H.sentence(r, 40, 4000))))
+        want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert len(want - {(x.d, x.item) for x in got}) <= 0.01 * len(want)
+    assert all(x.edits <= x.n // 5 and 40 - x.n // 5 <= x.first_word <= 40 + x.n // 5 for x in got)
+
+
 def test_prefix_distance():
     r = np.random.default_rng(1)
 
