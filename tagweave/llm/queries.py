@@ -1,6 +1,7 @@
 """Queries of the corpus operators and their oracle SQL, by name."""
 
-from tagweave.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rank, quality_rules, substring_dedup, toxicity
+from tagweave.llm import (chat_format, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rank,
+                          quality_rules, substring_dedup, suffix_dedup, token_align, toxicity, whitening)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_rank": quality_rank.op9_quality_rank,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_token_align": token_align.op13_token_align,
 }
 
 ORACLES = {
