@@ -320,7 +320,11 @@ def hashed_ranges(cut: DataFrame, k: int = K) -> DataFrame:
 
     win = cut.select("g", "s", "w", "bytes").mapInArrow(run, "g long, s long, w long, o int, e1 long, e2 long")
     again = win.groupBy("e1", "e2").agg(F.sum("w").alias("t")).where("t > 1").select("e1", "e2")
-    return win.join(again, ["e1", "e2"], "left_semi").select("g", "s", "o", F.lit(1).alias("m"))
+    # consecutive windows of a piece (at most 3K/5 of them) as one range: window less rank is the same in a run
+    runs = (win.join(again, ["e1", "e2"], "left_semi").groupBy("g", "s").agg(F.sort_array(F.collect_set("o")).alias("all"))
+               .select("g", "s", F.posexplode("all").alias("i", "o")))
+    return (runs.groupBy("g", "s", (F.col("o") - F.col("i")).alias("run"))
+                .agg(F.min("o").alias("o"), F.count(F.lit(1)).cast("int").alias("m")).select("g", "s", "o", "m"))
 
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
