@@ -152,13 +152,13 @@ class Groups:
     def __init__(self, a, a_ptr, b, b_ptr, tables):
         self.a, self.b, self.docs = a.astype(np.int64), b.astype(np.int64), len(a_ptr) - 1
         end_a, end_b = np.cumsum(tables[0].size[self.a]), np.cumsum(tables[1].size[self.b])
-        both = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, dtype=np.int8)
-        both[end_a] += 1   # all documents have equal bytes under both, so their ends coincide
-        both[end_b] += 1
-        cuts = np.flatnonzero(both == 2)
-        group = lambda ends: np.searchsorted(cuts, ends, "left")
-        self.n = len(cuts)
-        self.na, self.nb = np.bincount(group(end_a), minlength=self.n), np.bincount(group(end_b), minlength=self.n)
+        ends = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, dtype=np.int8)
+        ends[end_a] += 1   # all documents have equal bytes under both, so their ends coincide
+        ends[end_b] += 1
+        cut = ends == 2
+        before = np.cumsum(cut, dtype=np.int32) - cut   # cuts before each byte: the group of a token by its end
+        self.n = int(cut.sum())
+        self.na, self.nb = (np.bincount(before[e], minlength=self.n) for e in (end_a, end_b))
         self.a0, self.b0 = np.cumsum(self.na) - self.na, np.cumsum(self.nb) - self.nb
         self.doc = np.repeat(np.arange(self.docs), np.diff(a_ptr))[self.a0] if self.n else np.zeros(0, dtype=np.int64)
         self.a_ptr, self.b_ptr = a_ptr, b_ptr
@@ -168,35 +168,40 @@ class Groups:
         np.add.at(out, self.doc, values)
         return out
 
-    def _listed(self, g: np.ndarray, width: int):
-        """(document, pair, links) of the groups ``g``, link by link."""
+    def _listed(self, g: np.ndarray, width: int) -> np.ndarray:
+        """The links of the groups ``g``, one by one, as pair * documents + document."""
         links = self.na[g] * self.nb[g]
         at = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
         nb = np.repeat(self.nb[g], links)
         pair = self.a[np.repeat(self.a0[g], links) + at // nb] * width + self.b[np.repeat(self.b0[g], links) + at % nb]
-        return _tally(np.repeat(self.doc[g], links), pair, np.ones(len(pair), dtype=np.int64))
+        return pair * self.docs + np.repeat(self.doc[g], links)
 
     def _crossed(self, g: int, width: int):
-        """The same for one large group: distinct ids and how often they stand."""
+        """(pair * documents + document, links) of one large group: distinct ids and how often they stand."""
         ua, ca = np.unique(self.a[self.a0[g]:self.a0[g] + self.na[g]], return_counts=True)
         ub, cb = np.unique(self.b[self.b0[g]:self.b0[g] + self.nb[g]], return_counts=True)
         pair = (ua[:, None] * width + ub[None, :]).ravel()
-        return np.full(len(pair), self.doc[g]), pair, (ca[:, None] * cb[None, :]).ravel()
+        return pair * self.docs + self.doc[g], (ca[:, None] * cb[None, :]).ravel()
 
-    def pairs(self, width: int):
-        """(document, pair, links): distinct pairs of each document; pair = A id * width + B id."""
+    def pairs(self, width: int) -> DocPairs:
+        """Distinct pairs of the documents; pair = A id * width + B id."""
         links = self.na * self.nb
         found, small = [], np.flatnonzero(links <= SMALL)
         total = np.cumsum(links[small])
         i = 0
         while i < len(small):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), "right")))
-            found.append(self._listed(small[i:j], width))
+            found.append(_runs(np.sort(self._listed(small[i:j], width))))
             i = j
         found += [self._crossed(int(g), width) for g in np.flatnonzero(links > SMALL)]
-        if not found:
-            return (np.zeros(0, dtype=np.int64),) * 3
-        return found[0] if len(found) == 1 else _tally(*(np.concatenate(x) for x in zip(*found)))
+        if len(found) > 1:
+            key, links = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(key)
+            key, links = key[order], links[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            found = [(key[first], np.add.reduceat(links, first))]
+        key, links = found[0] if found else (np.zeros(0, dtype=np.int64),) * 2
+        return DocPairs(key // max(self.docs, 1), key % max(self.docs, 1), links)
 
     def spelled(self) -> pa.Array:
         """``a1,a2|b1;a3|b2`` of each document."""
@@ -209,13 +214,22 @@ class Groups:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), groups), ";")
 
 
-def _tally(doc, pair, links):
-    order = np.lexsort((pair, doc))
-    doc, pair, links = doc[order], pair[order], links[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], pair[first], np.add.reduceat(links, first) if len(first) else links[:0]
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often they stand."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+class DocPairs:
+    """Rows (pair, document, links) in the order of pairs; ``distinct`` pairs and the documents of each."""
+
+    def __init__(self, pair: np.ndarray, doc: np.ndarray, links: np.ndarray):
+        self.doc, self.links = doc, links
+        self.distinct, self.documents = _runs(pair)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the distinct pairs, for each row."""
+        return np.repeat(values, self.documents)
 
 
 # ---------------------------------------------------------------------------
@@ -349,8 +363,9 @@ def pair_counts(ids: DataFrame, stripe: PairHash, tables, width: int) -> DataFra
         vector = np.zeros(total, dtype=np.int64)
         for batch in batches:
             for _, g in _grouped(batch, tabs):
-                at = hashed.index(g.pairs(width)[1])
-                np.add.at(vector, at[at >= 0], 1)
+                found = g.pairs(width)
+                at = hashed.index(found.distinct)
+                vector[at[at >= 0]] += found.documents[at >= 0]
         part = TaskContext.get().partitionId()
         for k in range(0, total, BLOCK):
             x = vector[k:k + BLOCK]
@@ -414,7 +429,7 @@ def align(docs: DataFrame, text: str = "text", paths: tuple[str, str] | None = N
     def distinct_pairs(batches):
         for batch in batches:
             for _, g in _grouped(batch, held.value):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(g.pairs(width)[1]))], names=["pair"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.pairs(width).distinct)], names=["pair"])
 
     pairs, _ = staged(ids.select("_a", "_b").mapInArrow(distinct_pairs, "pair long").distinct(), "align-pairs")
     n_pairs = pairs.count()
@@ -459,13 +474,13 @@ def look_up(ids: DataFrame, shared, held, best: np.ndarray, width: int, names: l
         hashed, counts = shared.value
         for batch in batches:
             for part, g in _grouped(batch, held.value):
-                doc, pair, links = g.pairs(width)
-                at = hashed.index(pair)
-                doc, pair, links, count = (x[at >= 0] for x in (doc, pair, links, counts[at]))
-                top = count == best[pair // width]
+                found = g.pairs(width)
+                at = hashed.index(found.distinct)
+                count = np.where(at >= 0, counts[at], 0) if len(counts) else at[:0]
+                top = (at >= 0) & (count == best[found.distinct // width])
                 sums = [np.zeros(g.docs, dtype=np.int64) for _ in range(2)]
-                np.add.at(sums[0], doc[top], links[top])
-                np.add.at(sums[1], doc, links * count)
+                np.add.at(sums[0], found.doc, found.links * found.spread(top))
+                np.add.at(sums[1], found.doc, found.links * found.spread(count))
                 fixed = [np.diff(g.a_ptr), np.diff(g.b_ptr), g.per_doc(np.ones(g.n, dtype=np.int64)),
                          g.per_doc(g.na * g.nb)]
                 fixed = fixed if first else [np.zeros(g.docs, dtype=np.int64)] * 4
