@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,26 @@ def piece_table(model) -> Table:
     return Table(out)
 
 
+#: Fixed value: how byte-level vocabularies of this family cut text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BLANKS = re.compile(r"\s{10000}")   # runs that the rank encoder's pattern search has no stack for
+
+
+def rank_encoder(spec: bytes):
+    """An encoder that merges by rank, over twice as fast as by the list of merges; None unless it must give the
+    same ids: the merges have to be in the order of the ids they make, and the text has to be cut by ``PATTERN``."""
+    import tiktoken
+    told = json.loads(spec)
+    vocab, merges, cut = told["model"]["vocab"], told["model"]["merges"], told["pre_tokenizer"] or {}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    plain = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut["add_prefix_space"]
+    if not plain or made != sorted(set(made)) or told["model"].get("ignore_merges"):
+        return None
+    chars, special = _byte_chars(), {t["content"] for t in told["added_tokens"]}
+    ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoders:
     """Both tokenizers; made once in each Python worker."""
 
@@ -108,6 +129,7 @@ class Encoders:
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_buffer(spec)
         self.a.encode_special_tokens = True
+        self.ranked = rank_encoder(spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.tables = byte_table(spec), piece_table(self.b)
 
@@ -118,10 +140,14 @@ class Encoders:
             cls.kept = {key: cls(spec, model)}
         return cls.kept[key]
 
+    def byte_ids(self, text: str) -> np.ndarray:
+        if self.ranked is None or len(text) > 10_000 and BLANKS.search(text):
+            return np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """Ids of each text under A and B; no ids where the bytes differ from a space and the text."""
-        a = [np.array(e.ids, dtype=np.uint16) for e in
-             self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = [self.byte_ids(" " + t) for t in texts]
         b = [np.array(x, dtype=np.uint16) for x in self.b.encode(texts, num_threads=1)]
         none = np.zeros(0, dtype=np.uint16)
         for i, t in enumerate(texts):

@@ -1,6 +1,7 @@
 """Suffix dedup, embedding whitening and tokenizer alignment against brute force."""
 
 import hashlib
+import json
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -233,6 +234,21 @@ def test_alignment(spark, monkeypatch, bucket, stripe, small, block):
     assert token_align.align(H.frame(spark, [], H.DOCS)).count() == 0
 
 
+def test_rank_encoder_gives_the_same_ids():
+    """Long runs go to the list of merges; every character of the basic plane is cut alike."""
+    spec, model = (open(p, "rb").read() for p in token_align.vocabulary_paths())
+    enc = token_align.Encoders(spec, model)
+    assert enc.ranked is not None
+    texts = [f" a{chr(c)}b1{chr(c)}2 {chr(c)}{chr(c)} !{chr(c)}?" for c in range(1, 0xD800)]
+    texts += [" " * 12_000 + "x", "\n" * 200_000, "a" * 30_000, " <|endoftext|> it's"] + [t or "" for _, t, *_ in alignment_rows()]
+    for i in range(0, len(texts), 5000):
+        want = enc.a.encode_batch(texts[i:i + 5000], add_special_tokens=False)
+        assert all(w.ids == enc.byte_ids(t).tolist() for w, t in zip(want, texts[i:i + 5000]))
+    other = json.loads(spec)
+    other["model"]["merges"].reverse()
+    assert token_align.rank_encoder(json.dumps(other).encode()) is None
+
+
 def test_pair_hash_is_minimal_and_verified():
     g = np.random.default_rng(3)
     pairs = np.unique(g.integers(0, 1 << 40, 20_000))
