@@ -870,38 +870,55 @@ def q_given_topic_mean_cosine(spark, sf_dir):
               .select(r6(F.col("mean_cos")).alias("mean_cos")))
 
 
-DENSITY = dict(min_samples=5, max_eps=0.7, xi=0.05, min_cluster_size=2)
+DENSITY = dict(min_samples=5, xi=0.05, min_cluster_size=2)
 
 
 def _sql_density() -> str:
-    """The whole hierarchy: components at every distance that occurs, told apart by their size."""
+    """The whole hierarchy over every distance, by Prim's order: the components at any distance are its intervals.
+
+    Each position is the heaviest of one interval, which ends before the next heavier keys on both sides."""
     p = DENSITY
-    min_cos = 1.0 - p["max_eps"] ** 2 / 2.0
-    base = ("WITH RECURSIVE" + (_SQL_W + _SQL_REPS)[4:]).replace(repr(MIN_COS - 1e-12), repr(min_cos - 1e-12))
-    return base.rstrip() + f""",
-pd AS (SELECT doc_a, doc_b, sqrt(greatest(0.0, 2.0 - 2.0 * cos)) AS d FROM pairs),
-nb AS (SELECT p.doc_a AS rep, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_b
-       UNION ALL SELECT p.doc_b, p.d, m.m FROM pd p JOIN mult m ON m.rep = p.doc_a
-       UNION ALL SELECT rep, 0.0, m FROM mult),
+    base = "WITH RECURSIVE" + (_SQL_W + _SQL_REPS)[4:].split("pairs AS (SELECT")[0]
+    return base.rstrip() + f"""
+dots AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS cos
+         FROM rw a JOIN rw b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+pts AS (SELECT rep, m, rep NOT IN (SELECT doc_id FROM w) AS blank, row_number() OVER (ORDER BY rep) AS i FROM mult),
+dist AS MATERIALIZED (SELECT p.rep AS a, q.rep AS b, q.m, q.i, CASE WHEN p.blank OR q.blank THEN 1.0
+         ELSE round(sqrt(greatest(0.0, 2.0 - 2.0 * coalesce(x.cos, 0))), 6) END AS d
+         FROM pts p JOIN pts q ON p.rep <> q.rep LEFT JOIN dots x ON x.a = p.rep AND x.b = q.rep),
+nb AS (SELECT a AS rep, d, m FROM dist UNION ALL SELECT rep, 0.0, m FROM pts),
 cum AS (SELECT rep, d, sum(m) OVER (PARTITION BY rep ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
         FROM nb),
-core AS (SELECT c.rep, min(c.d) AS core_d, any_value(m.m) AS m FROM cum c JOIN mult m USING (rep)
-         WHERE c.c >= {p['min_samples']} GROUP BY c.rep),
-edges AS (SELECT p.doc_a AS a, p.doc_b AS b, greatest(ca.core_d, cb.core_d, p.d) AS mr
-          FROM pd p JOIN core ca ON ca.rep = p.doc_a JOIN core cb ON cb.rep = p.doc_b),
-thr AS (SELECT row_number() OVER (ORDER BY t) AS k, t FROM
-        (SELECT DISTINCT mr AS t FROM edges UNION SELECT DISTINCT core_d FROM core WHERE core_d <= {p['max_eps']!r})),
-te AS (SELECT k, a, b FROM edges JOIN thr ON mr <= t UNION ALL SELECT k, b, a FROM edges JOIN thr ON mr <= t),
-reach(k, node, c) AS (SELECT k, rep, rep FROM core JOIN thr ON core_d <= t
-                      UNION SELECT r.k, e.b, r.c FROM reach r JOIN te e ON e.k = r.k AND e.a = r.node),
-comp AS (SELECT k, node, min(c) AS comp FROM reach GROUP BY k, node),
-sized AS (SELECT c.k, c.node, c.comp, sum(co.m) OVER (PARTITION BY c.k, c.comp) AS size
-          FROM comp c JOIN core co ON co.rep = c.node),
-span AS (SELECT comp, size, min(k) AS k0, max(k) AS k1 FROM sized GROUP BY comp, size),
-good AS (SELECT s.comp, s.size, s.k0 FROM span s JOIN thr i ON i.k = s.k0 LEFT JOIN thr o ON o.k = s.k1 + 1
-         WHERE s.size >= {p['min_cluster_size']} AND (o.t IS NULL OR i.t <= (1.0 - {p['xi']}) * o.t)),
-inner_ AS (SELECT z.node, arg_min(g.comp, g.k0) AS cluster
-           FROM good g JOIN sized z ON z.k = g.k0 AND z.comp = g.comp GROUP BY z.node)
+core AS (SELECT rep, min(d) AS core_d FROM cum WHERE c >= {p['min_samples']} GROUP BY rep),
+adj AS MATERIALIZED (SELECT p.i, list({{'i': x.i, 'mr': greatest(ca.core_d, cb.core_d, x.d)}}) AS e
+        FROM dist x JOIN core ca ON ca.rep = x.a JOIN core cb ON cb.rep = x.b JOIN pts p ON p.rep = x.a GROUP BY p.i),
+prim(i, key, step) USING KEY (i) AS (
+  SELECT p.i, CASE WHEN p.i = (SELECT min(i) FROM pts JOIN core USING (rep)) THEN -1.0 ELSE 1e9 END, 0
+  FROM pts p JOIN core USING (rep)
+  UNION
+  (WITH pick AS (SELECT i, key, (SELECT max(step) + 1 FROM recurring.prim) AS step FROM recurring.prim
+                 WHERE step = 0 ORDER BY key, i LIMIT 1),
+        reach AS (SELECT e.i, e.mr FROM (SELECT unnest(a.e) AS e FROM adj a JOIN pick USING (i)))
+   SELECT i, key, step FROM pick
+   UNION ALL
+   SELECT o.i, r.mr, 0 FROM recurring.prim o JOIN reach r ON r.i = o.i
+   WHERE o.step = 0 AND r.mr < o.key AND o.i <> (SELECT i FROM pick))),
+seq AS (SELECT step AS pos, rep, m, core_d, CASE WHEN key < 0 THEN 1e9 ELSE key END AS key
+        FROM prim JOIN pts USING (i) JOIN core USING (rep)),
+ends AS (SELECT pos, key FROM seq UNION ALL SELECT max(pos) + 1, 1e9 FROM seq),
+spans AS (SELECT s.key AS h, (SELECT max(e.pos) FROM ends e WHERE e.pos < s.pos AND e.key > s.key) AS lo,
+                 (SELECT min(e.pos) FROM ends e WHERE e.pos > s.pos AND e.key > s.key) AS hi
+          FROM seq s WHERE s.pos > 1),
+comps AS (SELECT h, lo, hi, least(a.key, b.key) AS leaving
+          FROM (SELECT DISTINCT h, lo, hi FROM spans) JOIN ends a ON a.pos = lo JOIN ends b ON b.pos = hi
+          UNION ALL SELECT s.core_d, s.pos, s.pos + 1, least(s.key, e.key) FROM seq s JOIN ends e ON e.pos = s.pos + 1),
+tall AS (SELECT c.h, c.lo, c.hi, c.leaving, min(s.rep) AS name, sum(s.m) AS size
+         FROM comps c JOIN seq s ON s.pos >= c.lo AND s.pos < c.hi GROUP BY c.h, c.lo, c.hi, c.leaving),
+good AS (SELECT * FROM tall WHERE size >= {p['min_cluster_size']} AND leaving < 1e9 AND h <= (1.0 - {p['xi']}) * leaving),
+inner_ AS (SELECT s.rep AS node, arg_min(g.name, g.hi - g.lo) AS cluster
+           FROM seq s JOIN good g ON s.pos >= g.lo AND s.pos < g.hi GROUP BY s.rep
+           UNION ALL SELECT rep, (SELECT min(rep) FROM core) FROM core
+           WHERE (SELECT count(*) FROM good) = 0 AND (SELECT sum(m) FROM pts) >= {p['min_cluster_size']})
 SELECT g.doc_id, coalesce(i.cluster, -1) AS cluster FROM grp g LEFT JOIN inner_ i ON i.node = g.rep"""
 
 

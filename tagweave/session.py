@@ -85,13 +85,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialise ``df`` in the shared folder and cut its plan.
+    """``df`` written as a table in the shared folder and read back: its plan is cut there.
 
-    Iterative operators call this every few rounds so that a lost executor
-    recomputes from the last checkpoint, not from the first round.
+    Iterative operators call this every round, so that a lost executor rereads the last round instead of
+    recomputing the first. (A checkpointed plan keeps what the optimizer inferred about its columns, and over
+    a dozen rounds that grows without bound; a table that is read back keeps nothing.)
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = write_shared(df, "cut")
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`cut_lineage` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_shared_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_shared(df: DataFrame, tag: str) -> str:
