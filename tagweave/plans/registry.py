@@ -629,6 +629,18 @@ def q_extractor_agreement(spark, sf_dir):
     return EV.agreement(top10, trm).select("doc_id", r6(F.col("cos")).alias("cos"))
 
 
+@register("extractor_top_cosines", _SQL_EVAL + """, dots AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b,
+  sum(a.weight * b.weight) AS cos FROM ntop a JOIN trm b USING (term) GROUP BY a.doc_id, b.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_a ORDER BY round(cos, 9) DESC, doc_b) AS rank
+           FROM dots WHERE round(cos, 9) > 0)
+SELECT doc_a, doc_b, rank, round(cos, 6) AS cos FROM ranked WHERE rank <= 10""")
+def q_extractor_top_cosines(spark, sf_dir):
+    """For each document's TF-IDF keywords the ten most similar TextRank rows."""
+    from tagweave.operators.topk import top_cosines
+    _, top10, trm = _eval_matrices(spark, sf_dir)
+    return top_cosines(top10, trm, 10).select("doc_a", "doc_b", "rank", r6(F.col("cos")).alias("cos"))
+
+
 def _truth(spark, sf_dir):
     """Truth keywords: the cleaned terms of ``benchmark``."""
     bench = FE.prepare_documents(TB.read_table(spark, sf_dir, "benchmark"), id_col="item_id")
