@@ -818,24 +818,103 @@ def _topics(spark, sf_dir):
     return toks, w, tt, theta
 
 
-@register("topic_top_terms")
+def _sql_digamma(x: str) -> str:
+    series = "1/12.0::DOUBLE - z * (1/120.0::DOUBLE - z * (1/252.0::DOUBLE - z * (1/240.0::DOUBLE - z / 132)))"
+    y = f"({x} + {TP.SHIFT})"
+    z = f"(1.0::DOUBLE / ({y} * {y}))"
+    return f"(ln({y}) - 0.5::DOUBLE / {y} - {z} * ({series.replace('z', z)})" + "".join(f" - 1.0::DOUBLE / ({x} + {i})" for i in range(TP.SHIFT)) + ")"
+
+
+def _sql_topics(k: int = 5, seed: int = 0) -> str:
+    """CTEs lam(term, l0..), theta(doc_id, t0..) over w: every round and pass of the fit, written out."""
+    ks = range(k)
+    prior = repr(1.0 / k)
+    cols = lambda f, sep=", ": sep.join(f(i) for i in ks)
+    start = cols(lambda i: f"0.5::DOUBLE + ('0x' || substr(md5(term || '|{i}|{seed}'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS l{i}")
+    out = [f"lam0 AS MATERIALIZED (SELECT term, {start} FROM (SELECT DISTINCT term FROM w))"]
+    gsum = "(" + cols(lambda i: f"g{i}", " + ") + ")"
+
+    def e_step(name: str, lam: str) -> None:
+        psi = _sql_digamma("x")
+        out.append(f"{name}b AS MATERIALIZED (SELECT term, " + cols(lambda i: f"e[{i + 1}] AS b{i}") + " FROM (SELECT term, list_transform(["
+                   + cols(lambda i: f"l{i}") + f"], lambda x, i: exp({psi} - p[i])) AS e FROM {lam}, (SELECT list_transform(["
+                   + cols(lambda i: f"sum(l{i})") + f"], lambda x: {psi}) AS p FROM {lam})))")
+        out.append(f"{name}x AS MATERIALIZED (SELECT doc_id, term, weight, " + cols(lambda i: f"b{i}") + f" FROM w JOIN {name}b USING (term))")
+        out.append(f"{name}g0 AS MATERIALIZED (SELECT doc_id, " + cols(lambda i: f"1.0::DOUBLE AS g{i}") + " FROM (SELECT DISTINCT doc_id FROM w))")
+        for p in range(TP.PASSES + 1):
+            psi = _sql_digamma("x")
+            out.append(f"{name}t{p} AS MATERIALIZED (SELECT doc_id, " + cols(lambda i: f"e[{i + 1}] AS t{i}") + " FROM (SELECT doc_id, "
+                       f"list_transform(g, lambda x: exp({psi} - p[1])) AS e FROM (SELECT doc_id, [" + cols(lambda i: f"g{i}")
+                       + f"] AS g, list_transform([{gsum}], lambda x: {psi}) AS p FROM {name}g{p})))")
+            if p < TP.PASSES:
+                share = "weight / (" + cols(lambda i: f"t{i} * b{i}", " + ") + ")"
+                out.append(f"{name}g{p + 1} AS MATERIALIZED (SELECT doc_id, "
+                           + cols(lambda i: f"{prior} + any_value(t{i}) * sum(sh * b{i}) AS g{i}")
+                           + f" FROM (SELECT *, {share} AS sh FROM {name}x JOIN {name}t{p} USING (doc_id)) GROUP BY doc_id)")
+
+    for r in range(TP.ROUNDS):
+        e_step(f"r{r}", f"lam{r}")
+        share = "weight / (" + cols(lambda i: f"t{i} * b{i}", " + ") + ")"
+        out.append(f"lam{r + 1} AS MATERIALIZED (SELECT term, " + cols(lambda i: f"{prior} + sum(t{i} * sh * b{i}) AS l{i}")
+                   + f" FROM (SELECT *, {share} AS sh FROM r{r}x JOIN r{r}t{TP.PASSES} USING (doc_id)) GROUP BY term)")
+    e_step("z", f"lam{TP.ROUNDS}")
+    rows = " UNION ALL ".join(f"SELECT {i} AS topic, term, l{i} / sum(l{i}) OVER () AS weight FROM lam{TP.ROUNDS}" for i in ks)
+    out.append(f"ltt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, {TP.DIGITS}) DESC, term) AS rank "
+               f"FROM ({rows})) WHERE rank <= 10)")
+    rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS topic, g{i} / {gsum} AS theta FROM zg{TP.PASSES}" for i in ks)
+    out.append(f"ltheta AS (SELECT d.doc_id, k.topic, coalesce(t.theta, {prior}) AS theta FROM docs d, "
+               f"(SELECT unnest(range(0, {k})) AS topic) k LEFT JOIN ({rows}) t ON t.doc_id = d.doc_id AND t.topic = k.topic)")
+    return ",\n".join(out) + "\n"
+
+
+_SQL_LDA = _SQL_EVAL.rstrip() + ",\n" + _sql_topics()
+
+
+@register("topic_top_terms", _SQL_LDA + "SELECT topic, term, round(weight, 6) AS weight FROM ltt WHERE rank = 1")
 def q_topic_top_terms(spark, sf_dir):
     _, _, tt, _ = _topics(spark, sf_dir)
-    return TP.top_term_per_topic(tt)
+    return TP.top_term_per_topic(tt).select(F.col("topic").cast("long").alias("topic"), "term", r6(F.col("weight")).alias("weight"))
 
 
-@register("topic_keyword_mean_cosine")
+@register("topic_keyword_mean_cosine", _SQL_LDA + """, lm AS (SELECT doc_id, term, sum(theta) AS weight FROM ltheta JOIN ltt USING (topic) GROUP BY doc_id, term),
+lu AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS x FROM lm),
+su AS (SELECT term, sum(x) AS su FROM lu GROUP BY term),
+sv AS (SELECT 'lda_tfidf' AS pair, term, sum(weight) AS sv FROM ntop GROUP BY term
+       UNION ALL SELECT 'lda_textrank', term, sum(weight) FROM trm GROUP BY term)
+SELECT pair, round(coalesce(sum(su * sv), 0) / ((SELECT count(*) FROM docs) * (SELECT count(*) FROM docs)), 6) AS mean_cos
+FROM sv LEFT JOIN su USING (term) GROUP BY pair""")
 def q_topic_keyword_mean_cosine(spark, sf_dir):
     """A18 of the topic model with both other extractors."""
     toks, w, tt, theta = _topics(spark, sf_dir)
     lda_m = EV.topic_keyword_matrix(theta, tt, 10)
     _, top10, trm = _eval_matrices(spark, sf_dir)
     n = FE.doc_count(toks)
-    pairs = [EV.mean_cosine(lda_m, m, n, n).select(F.lit(name).alias("pair"), "mean_cos")
+    pairs = [EV.mean_cosine(lda_m, m, n, n).select(F.lit(name).alias("pair"), r6(F.col("mean_cos")).alias("mean_cos"))
              for name, m in (("lda_tfidf", top10), ("lda_textrank", trm))]
     return pairs[0].unionByName(pairs[1])
 
 
+@register("keyword_quality_topics", f"""WITH docs AS ({S.docs_cte()}),
+grams AS (SELECT doc_id, unnest(tokens) AS term FROM docs
+          UNION ALL
+          SELECT doc_id, tokens[i] || ' ' || tokens[i + 1] AS term
+          FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens))) AS i FROM docs)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term){S.tfidf_ctes(max_features=5)},
+{_sql_topics(2)}, {_SQL_TRUTH},
+pred AS (SELECT term FROM ltt WHERE rank = 1)
+SELECT 'lda' AS extractor, count(*) AS n_pred, count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) AS hits,
+       round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / count(*), 6) AS precision,
+       round(count(DISTINCT CASE WHEN term IN (SELECT term FROM truth) THEN term END) / (SELECT count(*) FROM truth), 6) AS recall
+FROM pred""")
+def q_keyword_quality_topics(spark, sf_dir):
+    """A17 of the topic model: the top feature of each of two topics over the five most frequent n-grams."""
+    w = FE.tfidf(_docs(spark, sf_dir), max_features=5, ngram_range=(1, 2))
+    tt, _ = TP.fit_topics(w, w.select("doc_id").distinct(), k=2, seed=0)
+    pred = TP.top_term_per_topic(tt).select(F.lit(0).cast("long").alias("doc_id"), F.lit("lda").alias("extractor"), "term")
+    q = EV.keyword_quality(pred, _truth(spark, sf_dir))
+    return q.select("extractor", "n_pred", "hits", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
+
+
 # θ given by a table (labels: quality and toxicity as two topics) makes A13 and A18 exact
 def _given_topics(spark, sf_dir):
     lab = TB.read_table(spark, sf_dir, "labels")
