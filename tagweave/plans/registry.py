@@ -469,10 +469,50 @@ def q_cluster_top_keywords_by_lang(spark, sf_dir):
     return kw.select("cluster", F.col("rank").cast("long").alias("rank"), "term", r6(F.col("score")).alias("score"))
 
 
-@register("kmeans_groups")
+KMEANS = dict(k=3, seed=42, max_iter=25)
+
+
+def _sql_kmeans() -> str:
+    """CTEs up to klab(doc_id, cluster) over docs and w: seeding and every round, written out."""
+    k, seed = KMEANS["k"], KMEANS["seed"]
+    u = lambda i: f"(('0x' || substr(md5(doc_id || '|{seed}|{i}'), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    out = ["pt AS MATERIALIZED (SELECT d.doc_id, coalesce(n2, 0.0) AS n2 FROM docs d LEFT JOIN "
+           "(SELECT doc_id, sum(weight * weight) AS n2 FROM w GROUP BY doc_id) USING (doc_id))",
+           "gap0 AS MATERIALIZED (SELECT doc_id, n2, 1.0::DOUBLE AS d2 FROM pt)"]
+    for i in range(k):
+        out.append(f"ch{i} AS MATERIALIZED (SELECT doc_id, n2 FROM gap{i} WHERE d2 > 0 ORDER BY round(-ln({u(i)}) / d2, 9), doc_id LIMIT 1)")
+        out.append(f"gd{i} AS MATERIALIZED (SELECT a.doc_id, sum(a.weight * b.weight) AS dot FROM w a JOIN w b USING (term) JOIN ch{i} c ON c.doc_id = b.doc_id GROUP BY a.doc_id)")
+        d2 = (f"CASE WHEN g.doc_id = c.doc_id THEN 0.0 ELSE round(greatest(0.0, g.n2 - 2.0 * coalesce(d.dot, 0.0) + c.n2), 9) END")
+        out.append(f"gap{i + 1} AS MATERIALIZED (SELECT g.doc_id, g.n2, " + (f"least(g.d2, {d2})" if i else d2)
+                   + f" AS d2 FROM gap{i} g LEFT JOIN gd{i} d ON d.doc_id = g.doc_id, ch{i} c)")
+    out.append("cen0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS c, term, weight AS x FROM w JOIN ch{i} USING (doc_id)" for i in range(k)) + ")")
+    for r in range(KMEANS["max_iter"] + 1):
+        out.append(f"nrm{r} AS MATERIALIZED (SELECT c, sum(x * x) AS n FROM cen{r} GROUP BY c)")
+        out.append(f"dot{r} AS MATERIALIZED (SELECT doc_id, c, sum(weight * x) AS dot FROM w JOIN cen{r} USING (term) GROUP BY doc_id, c)")
+        out.append(f"lab{r} AS MATERIALIZED (SELECT doc_id, c FROM (SELECT p.doc_id, i.c, row_number() OVER (PARTITION BY p.doc_id "
+                   f"ORDER BY round(greatest(0.0, p.n2 - 2.0 * coalesce(d.dot, 0.0) + coalesce(n.n, 0.0)), 9), i.c) AS rk "
+                   f"FROM pt p CROSS JOIN (SELECT unnest(range(0, {k})) AS c) i LEFT JOIN nrm{r} n ON n.c = i.c "
+                   f"LEFT JOIN dot{r} d ON d.doc_id = p.doc_id AND d.c = i.c) WHERE rk = 1)")
+        if r < KMEANS["max_iter"]:
+            out.append(f"cen{r + 1} AS MATERIALIZED (SELECT l.c, w.term, sum(w.weight) / any_value(s.n) AS x FROM w JOIN lab{r} l USING (doc_id) "
+                       f"JOIN (SELECT c, count(*) AS n FROM lab{r} GROUP BY c) s ON s.c = l.c GROUP BY l.c, w.term "
+                       f"UNION ALL SELECT c, term, x FROM cen{r} WHERE c NOT IN (SELECT c FROM lab{r}))")
+    out.append(f"klab AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS cluster FROM lab{KMEANS['max_iter']})")
+    return ",\n".join(out)
+
+
+def _sql_kmeans_groups(base: str, n_keywords: int) -> str:
+    return base.rstrip().rstrip(",") + ",\n" + _sql_kmeans() + f""",
+s AS (SELECT l.cluster, w.term, sum(w.weight) AS score FROM w JOIN klab l USING (doc_id) GROUP BY l.cluster, w.term),
+kw AS (SELECT cluster, string_agg(term, ',' ORDER BY rk) AS title FROM
+       (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rk FROM s) WHERE rk <= {n_keywords} GROUP BY cluster)
+SELECT d.doc_id, d.cluster, coalesce(k.title, '') AS group_title FROM klab d LEFT JOIN kw k USING (cluster)"""
+
+
+@register("kmeans_groups", _sql_kmeans_groups(_SQL_W, 1))
 def q_kmeans_groups(spark, sf_dir):
     docs, w = _weights(spark, sf_dir)
-    labels = CL.kmeans(w, docs.select("doc_id"), k=3, seed=42)
+    labels = CL.kmeans(w, docs.select("doc_id"), **KMEANS)
     return CL.cluster_groups(labels, w)
 
 
@@ -1112,12 +1152,12 @@ def q_cluster_selected_dbscan(spark, sf_dir):
     return CP.cluster_documents(docs, sel, algorithm="dbscan", eps=0.5, min_samples=5)
 
 
-@register("cluster_selected_kmeans")
+@register("cluster_selected_kmeans", _sql_kmeans_groups(_SQL_W.replace(S.docs_cte(), S.docs_cte(_SEL_TABLE), 1), 5))
 def q_cluster_selected_kmeans(spark, sf_dir):
     """C4 by k-means over a selection, titled with five keywords."""
     docs = TB.read_table(spark, sf_dir, "documents")
     sel = TB.read_table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    return CP.cluster_documents(docs, sel, algorithm="kmeans", n_keywords=5, k=3, seed=42)
+    return CP.cluster_documents(docs, sel, algorithm="kmeans", n_keywords=5, **KMEANS)
 
 
 _SQL_DENSITY_SEL = _sql_density().replace(S.docs_cte(), S.docs_cte(_SEL_TABLE), 1)
