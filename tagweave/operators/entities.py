@@ -1,22 +1,28 @@
 """E1 entity text, E2 entity spans, F5 label filter, E3 entity tags.
 
 The reference runs a trained statistical model; here entities come from
-data: a gazetteer table ``(surface, label)`` joined against the document's
-word n-grams, plus number patterns. Users extend recognition with rows, not
+data: a gazetteer table ``(surface, label)`` searched in the document's
+words (``phrases``), plus number patterns. Users extend recognition with rows, not
 code. A span inside a longer span is dropped, repeats keep their first
 place, and tags are grouped by label in order of first appearance.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from typing import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.functions.text import (DEFAULT_STOP_WORDS, DROPPED_ENTITY_LABELS, WORD_CLASS,
                                      _lit_array, capitalize, explode_structs)
 from tagweave.operators.graph import RAW_TOKEN
+from tagweave.operators.phrases import STRIPE, shared_automaton, stripes
 from tagweave.session import reuse
 
 # ---------------------------------------------------------------------------
@@ -89,29 +95,47 @@ def _word_count(text, stop_words: Iterable[str] = DEFAULT_STOP_WORDS):
                            lambda t: ~F.array_contains(stop, F.lower(t))))
 
 
+def _surfaces_in(texts: DataFrame, entries) -> DataFrame:
+    """``(doc_id, start, n, entity)`` of the surfaces of one stripe in ``texts(doc_id, _text)``.
+
+    Words stand between single blanks, in texts and in surfaces, so every place found begins and ends at words.
+    """
+    told, key = texts.sparkSession.sparkContext.broadcast(entries), uuid.uuid4().hex
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("start", T.IntegerType()),
+                           T.StructField("n", T.IntegerType()), T.StructField("entity", T.StringType())])
+
+    def run(batches):
+        found = shared_automaton(key, lambda: told.value)
+        for b in batches:
+            for i, text in enumerate(b["_text"]):
+                t = text.as_py()
+                places = np.array([(end - length + 1, end) for end, (length, _) in found.iter(t)], dtype=np.int64)
+                if len(places):
+                    blanks = np.flatnonzero(np.frombuffer(t.encode("utf-32-le"), dtype="<u4") == 32)
+                    start, stop = np.searchsorted(blanks, places).T
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(b["doc_id"][i], len(places)), pa.array(start, pa.int32()), pa.array(stop - start, pa.int32()),
+                         pa.array([t[x + 1:y] for x, y in places.tolist()])], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def entity_spans(words: DataFrame, gazetteer: DataFrame, docs: DataFrame | None = None,
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", stripe: int = STRIPE) -> DataFrame:
     """``(doc_id, start, n, entity, label)``, longest spans only.
 
-    Gazetteer spans: the first words of surfaces are a table joined with the
-    word positions, which gives the n of the surfaces that can start there;
-    those n-grams are joined with the surfaces. Both joins are equi-joins on
-    strings: AQE broadcasts a small gazetteer, shuffles a large one and splits
-    a hot word. Pattern spans: years and month names are DATE, other numbers
-    CARDINAL / ORDINAL. With ``docs`` also MONEY and PERCENT amounts of the
-    raw text.
+    Gazetteer spans: one scan of the words finds all surfaces that stand in
+    them, in time linear in the words whatever the length of the surfaces
+    (a gazetteer of more than ``stripe`` characters is searched in several
+    scans); their labels are joined. Pattern spans: years and month names are
+    DATE, other numbers CARDINAL / ORDINAL. With ``docs`` also MONEY and
+    PERCENT amounts of the raw text.
     """
     gaz = gazetteer.select(F.col("surface").alias("entity"), "label").where(F.col("entity") != "").distinct()
-    surface = F.split("entity", " ")
-    firsts = gaz.select(surface[0].alias("w"), F.size(surface).alias("n")).distinct()
-    longest = gaz.select(F.max(F.size(surface))).first()[0] or 1   # one number: the width of the slices
     words = reuse(words.select("doc_id", "words"))
-    at = explode_structs(words.select("doc_id", F.transform("words", lambda w, i: F.struct(
-        i.alias("start"), w.alias("w"), F.slice("words", i + 1, F.lit(longest)).alias("rest"))).alias("_p")),
-        "_p", ["doc_id"])
-    grams = (at.join(firsts, "w").where(F.size("rest") >= F.col("n"))
-               .select("doc_id", "start", "n", F.array_join(F.slice("rest", F.lit(1), F.col("n")), " ").alias("entity")))
-    named = grams.join(gaz, "entity")
+    texts = words.select("doc_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("_text"))
+    phrases = gaz.select(F.lit(0).alias("id"), F.concat(F.lit(" "), "entity", F.lit(" ")).alias("phrase"))
+    passes = [_surfaces_in(texts, part) for part in stripes(phrases, stripe)]
     # pattern labels only apply to words starting with a digit: keep those positions in the row
     uni = explode_structs(words.select("doc_id", F.filter(F.transform("words", lambda w, i: F.struct(
         i.alias("start"), F.lit(1).alias("n"), w.alias("entity"))), lambda x: x["entity"].rlike("^[0-9]"))
@@ -120,7 +144,10 @@ def entity_spans(words: DataFrame, gazetteer: DataFrame, docs: DataFrame | None
                          .when(F.col("entity").rlike(ORDINAL_PATTERN), "ORDINAL")
                          .when(F.col("entity").rlike(CARDINAL_PATTERN), "CARDINAL").alias("label")) \
                  .where(F.col("label").isNotNull())
-    spans = named.select("doc_id", "start", "n", "entity", "label").unionByName(pattern)
+    spans = pattern
+    if passes:
+        named = reduce(DataFrame.unionByName, passes).join(gaz, "entity")
+        spans = spans.unionByName(named.select("doc_id", "start", "n", "entity", "label"))
     if docs is not None:
         spans = spans.unionByName(amount_spans(docs, text_col))
     return longest_spans(spans)

@@ -7,14 +7,17 @@ both sides so that summation order does not matter.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave import schemas
 from tagweave.operators import features as FE
 from tagweave.operators.keywords import keyword_tags
 from tagweave.plans import sql as S
+from tagweave.session import checkpoint_dir, cut_lineage
 from tagweave.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,6 +345,66 @@ def q_applied_groups(spark, sf_dir):
     return RU.apply_groups(m.select("ord", F.col("name").alias("group_title"), "doc_id"))
 
 
+_RULE_WORDS = "[\\x20\\x09-\\x0D]+"
+
+
+def _rule_table(spark, sf_dir):
+    """``TEST_RULES`` and rules read off ``benchmark``: two neighbouring words in the content, some of them without the
+    third or with a title, and single words among the tags; stored and loaded like a user's rules (S6)."""
+    words = TB.read_table(spark, sf_dir, "benchmark").select(
+        "item_id", F.filter(F.split(F.coalesce("text", F.lit("")), _RULE_WORDS), lambda w: w != "").alias("ws"))
+    at = words.select("item_id", "ws", F.posexplode("ws").alias("i", "a")).withColumns(
+        {"b": F.get("ws", F.col("i") + 1), "c": F.get("ws", F.col("i") + 2)}).where(F.col("c").isNotNull())
+
+    def cond(source, kind, value):
+        return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("type"), value.alias("value"))
+
+    pair, kind = F.concat_ws(" ", "a", "b"), F.col("i") % 4
+    conditions = (F.when(kind == 0, F.array(cond(3, 1, pair)))
+                   .when(kind == 1, F.array(cond(3, 1, pair), cond(3, 2, F.col("c"))))
+                   .when(kind == 2, F.array(cond(3, 1, pair), cond(2, 1, F.lit("SRC1"))))
+                   .otherwise(F.array(cond(1, 1, F.col("a")))))
+    mined = at.select((F.col("item_id") * 10000 + F.col("i") + 100).cast("int").alias("ord"), pair.alias("name"),
+                      conditions.cast(schemas.RULES["conditions"].dataType).alias("conditions"))
+    path = f"{checkpoint_dir(spark)}/rules-{uuid.uuid4().hex[:12]}"
+    RU.save_rules(mined.unionByName(spark.createDataFrame(TEST_RULES, schemas.RULES)), path)
+    return RU.read_rules(spark, path)
+
+
+_SQL_RULE_TABLE = f"""WITH {S.keyword_tags_sql(S.docs_cte())},
+tagarr AS (SELECT doc_id, list(tag) AS tags FROM kw GROUP BY doc_id),
+d AS (SELECT doc_id, lower(coalesce(source, '')) AS title, lower(coalesce(text, '')) AS content,
+             coalesce(tags, []) AS tags FROM documents LEFT JOIN tagarr USING (doc_id)),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+       FROM benchmark),
+mined AS (SELECT item_id * 10000 + i + 99 AS ord, ws[i] AS a, ws[i + 1] AS b, lower(ws[i + 2]) AS c, (i - 1) % 4 AS kind
+          FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM bw)),
+m AS ({_sql_rule_matches()}),
+n AS (SELECT *, a || ' ' || b AS name, lower(a || ' ' || b) AS pair FROM mined)
+SELECT doc_id, ord, name FROM m
+UNION ALL SELECT doc_id, ord, name FROM n JOIN d ON kind < 3 AND contains(content, pair)
+  AND (kind <> 1 OR NOT contains(content, c)) AND (kind <> 2 OR contains(title, 'src1'))
+UNION ALL SELECT doc_id, ord, name FROM n JOIN (SELECT doc_id, unnest(tags) AS tag FROM d) t ON kind = 3 AND t.tag = lower(a)"""
+
+
+@register("rule_table_matches", _SQL_RULE_TABLE)
+def q_rule_table_matches(spark, sf_dir):
+    """S6 + J2 with a stored rule table of any length."""
+    docs = cut_lineage(_rule_docs(spark, sf_dir))
+    return RU.match_rules(docs, _rule_table(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), "name")
+
+
+@register("rule_table_groups", _SQL_RULE_TABLE.replace("SELECT doc_id, ord, name FROM m\nUNION ALL", "SELECT * FROM (SELECT doc_id, ord, name FROM m\nUNION ALL", 1)
+          .replace("WITH ", "WITH all_ AS (WITH ", 1) + """))
+SELECT group_title, count(*) AS n_docs, min(doc_id) AS first_doc
+FROM (SELECT doc_id, string_agg(name, '+' ORDER BY ord, name) AS group_title FROM all_ GROUP BY doc_id) GROUP BY group_title""")
+def q_rule_table_groups(spark, sf_dir):
+    """C9 + C5 with a stored rule table: the groups, their sizes and first documents."""
+    docs = cut_lineage(_rule_docs(spark, sf_dir))
+    groups = RU.rule_groups(docs, _rule_table(spark, sf_dir))
+    return groups.groupBy("group_title").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 def _doc_groups(spark, sf_dir):
     docs = TB.read_table(spark, sf_dir, "documents")
     labels = TB.read_table(spark, sf_dir, "labels")
@@ -818,6 +881,40 @@ def q_entity_tags_corpus(spark, sf_dir):
                        F.col("entity_rank").cast("long").alias("entity_rank"), "entity")
 
 
+def _invoices(spark, sf_dir):
+    """One line of text for each order: nation, total, largest discount, number of lines, year."""
+    lines = TB.read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.max("l_discount") * 100).cast("long").alias("off"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    text = F.format_string("Invoice K%d from %s: $%d.%02d at %d %% off, $%d million in %d.", "o_orderkey", "n_name",
+                           F.floor(cents / 100), cents % 100, F.coalesce("off", F.lit(0)), F.coalesce("lines", F.lit(0)),
+                           F.year("o_orderdate"))
+    return (TB.read_table(spark, sf_dir, "orders")
+            .join(TB.read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(TB.read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            .select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
+@register("invoice_entities", """WITH li AS (SELECT l_orderkey, count(*) AS lines, CAST(round(max(l_discount) * 100) AS BIGINT) AS off
+  FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderkey AS doc_id, n_name, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, coalesce(off, 0) AS off,
+             coalesce(lines, 0) AS lines, year(o_orderdate) AS y
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+      LEFT JOIN li ON o_orderkey = l_orderkey)
+SELECT doc_id, 1::BIGINT AS label_rank, 'Gpe' AS title, 1::BIGINT AS entity_rank, n_name AS entity FROM o
+UNION ALL SELECT doc_id, 2, 'Money', 1, '$' || cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') FROM o
+UNION ALL SELECT doc_id, 2, 'Money', 2, '$' || lines || ' million' FROM o
+UNION ALL SELECT doc_id, 3, 'Percent', 1, off || ' %' FROM o
+UNION ALL SELECT doc_id, 4, 'Date', 1, CAST(y AS VARCHAR) FROM o""")
+def q_invoice_entities(spark, sf_dir):
+    """E1-E3 with amounts: MONEY and PERCENT beside names and years."""
+    docs = _invoices(spark, sf_dir)
+    spans = EN.entity_spans(EN.entity_words(docs), EN.default_gazetteer(spark, sf_dir), docs)
+    return EN.entity_tags(spans).select("doc_id", F.col("label_rank").cast("long").alias("label_rank"), "title",
+                                        F.col("entity_rank").cast("long").alias("entity_rank"), "entity")
+
+
 def _sql_lemmas() -> str:
     exc = ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in LEMMA_EXCEPTIONS)
     rules = ", ".join(f"({S.q(a)}, {S.q(b)}, {i + 1})" for i, (a, b) in enumerate(NOUN_RULES))
@@ -840,7 +937,7 @@ SELECT d.doc_id, coalesce(lt.clean, '') AS clean FROM documents d LEFT JOIN lt U
 
 @register("lemmatized", _sql_lemmas())
 def q_lemmatized(spark, sf_dir):
-    plain = _docs(spark, sf_dir)
+    plain = cut_lineage(_docs(spark, sf_dir).select("doc_id", "tokens"))
     exc = spark.createDataFrame(LEMMA_EXCEPTIONS, "form string, lemma string")
     lem = Lemmatizer(corpus_lexicon(plain, 2), exc)
     return lem.apply(plain).select("doc_id", F.array_join("tokens", " ").alias("clean"))

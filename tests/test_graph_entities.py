@@ -90,3 +90,30 @@ def test_batched_pagerank_equals_single():
         single += [(g, n, round(float(v), 12)) for n, v in zip(nodes, x)]
     owner, nodes, x = GR.pagerank_batch(np.array(graph), ea, eb, tol=1e-6)
     assert [(int(o), n, round(float(v), 12)) for o, n, v in zip(owner, nodes, x)] == single
+
+
+def test_long_and_many_surfaces(spark):
+    """A surface of 300 words and a gazetteer cut into several stripes give what a search by hand gives."""
+    long = " ".join(f"w{i % 7}" for i in range(300))
+    texts = {1: f"x {long} z É w0 w1", 2: " ".join(["w0", "w1"] * 200), 3: "", 4: "É"}
+    docs = spark.createDataFrame([*texts.items(), (5, None)], "doc_id long, text string")
+    gaz = [(long, "LAW"), ("w0 w1", "ORG"), ("w0 w1", "GPE"), ("É", "LOC"), ("w1 w0 w1", "ORG"), ("", "ORG"), ("w", "ORG")]
+    df = spark.createDataFrame(gaz, "surface string, label string")
+    want = set()
+    for d, t in texts.items():
+        ws = t.split()
+        found = {(i, len(s.split()), s, lab) for s, lab in gaz if s for i in range(len(ws)) if ws[i:i + len(s.split())] == s.split()}
+        want |= {(d, *a) for a in found if not any(b[1] > a[1] and b[0] <= a[0] and a[0] + a[1] <= b[0] + b[1] for b in found)}
+    for stripe in (10, 1_000_000):
+        got = EN.entity_spans(EN.entity_words(docs), df, stripe=stripe).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_replace_terms():
+    import pyarrow as pa
+    from tagweave.operators.lemma import replace_terms
+    t = pa.array([["b", "a"], ["a", "b", "a"], [], ["c", "a"]])
+    old, new = pa.array([["b"], ["a", "b"], [], []], pa.list_(pa.string())), pa.array([["x"], ["1", "2"], [], []], pa.list_(pa.string()))
+    want = [["x", "a"], ["1", "2", "1"], [], ["c", "a"]]
+    assert replace_terms(t, old, new).to_pylist() == want
+    assert replace_terms(t.slice(1, 2), old.slice(1, 2), new.slice(1, 2)).to_pylist() == want[1:3]
