@@ -168,11 +168,22 @@ def plan(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, max_repeat: int
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """Contract rows: doc_id, size, source_size, target, taken (words, repeats counted)."""
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), n_pieces, n_shards (those
+    that hold a piece of it), dealt (hexadecimal digest of the pieces with their shards and places there; '' without any).
+
+    The quotas alone say how much a source gives; which shard gets it, where, is what the tree deals out.
+    """
     rows, pieces = plan(docs, **params)
-    taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
+    place = F.xxhash64("shard", "slot", "epoch", "first_word", "n_words")
+    per_shard = pieces.groupBy("row", "shard").agg(F.sum("n_words").alias("taken"), F.count(F.lit(1)).alias("n_pieces"),
+                                                   F.bit_xor(place).alias("dealt"))
+    taken = per_shard.groupBy("row").agg(F.sum("taken").alias("taken"), F.sum("n_pieces").alias("n_pieces"),
+                                         F.count(F.lit(1)).alias("n_shards"), F.bit_xor("dealt").alias("dealt"))
+    none = F.lit(0).cast("long")
     return (rows.join(taken, "row", "left")
-                .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
+                .select("doc_id", "size", "source_size", "target",
+                        *[F.coalesce(c, none).alias(c) for c in ("taken", "n_pieces", "n_shards")],
+                        F.coalesce(F.lower(F.hex("dealt")), F.lit("")).alias("dealt")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

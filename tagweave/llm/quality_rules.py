@@ -31,7 +31,7 @@ MIN_REPEAT = 8
 MIN_WORDS = 20
 MAX_COVERED = 30          # percent of words inside repeats
 MAX_LONGEST = 64          # words
-MAX_LONGEST_SHARE = 25    # percent of the document
+MAX_LONGEST_SHARE = 10    # percent of the document: a repeat stands twice, so well under half of MAX_COVERED
 
 STATS = T.StructType([T.StructField(n, T.LongType()) for n in
                       ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat",
@@ -231,13 +231,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed.alias("base_failed"), kept.alias("kept"))
 
 
-# a repeat of more than 64 words and a quarter of the document is a repeated window of `m` words
+# a repeat of more than 64 words and a tenth of the document is a repeated window of `m` words
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (
-  SELECT doc_id, ws, len(ws) AS n_words, greatest(65, len(ws) // 4 + 1) AS m,
+  SELECT doc_id, ws, len(ws) AS n_words, greatest(65, len(ws) // 10 + 1) AS m,
          coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
 l AS (

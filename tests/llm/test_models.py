@@ -185,8 +185,13 @@ def test_mixing(spark):
     blocks = p.groupby("shard")["slot"].nunique()
     assert blocks.max() <= 16 and blocks.max() - blocks.min() <= 2  # halves are rounded at each level
     again = mixing.mix(docs, **params).toPandas()
-    key = lambda f: sorted(zip(f["size"], f["taken"], f["doc_id"].fillna(-1)))
+    key = lambda f: sorted(zip(f["size"], f["taken"], f["doc_id"].fillna(-1), f["dealt"], f["n_shards"]))
     assert key(out) == key(again)
+    # the tree's deal shows: one shard instead of many takes the same words to other places
+    one = mixing.mix(docs, **{**params, "blocks_per_shard": 10**6}).toPandas()
+    plain = lambda f: sorted(zip(f["doc_id"].fillna(-1), f["size"], f["target"], f["taken"]))
+    assert plain(one) == plain(out) and (out["n_shards"] > 1).any() and one["n_shards"].max() == 1
+    assert set(one["dealt"]) != set(out["dealt"]) and ((out["dealt"] == "") == (out["taken"] == 0)).all()
 
 
 def test_split_node_is_exact():

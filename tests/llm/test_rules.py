@@ -61,6 +61,15 @@ def test_rules_keep_clean_rows_and_columns(spark):
     assert out.columns == ["doc_id", "text", "n_words"]
     ids = sorted(x.doc_id for x in out.collect() if x.doc_id is not None)
     assert ids == [100, 101]  # 102 and 103 are more than 30 % repeats
+    # at the limits of production: a passage of 140 words pasted twice fails by its length alone, short or rare repeats do not
+    fresh = lambda n: " ".join(H.sentence(r, n, 10**7))
+    paste, short = fresh(140), fresh(60)
+    rows2 = [(1, f"{fresh(500)} {paste} {fresh(360)} {paste}", "s"), (2, f"{fresh(500)} {short} {fresh(360)} {short}", "s"),
+             (3, f"{fresh(900)} {paste} {fresh(900)} {paste}", "s"), (4, fresh(1140), "s")]
+    stats = quality_rules.repetition_stats(H.frame(spark, rows2), keep=["doc_id"])
+    failed, kept = quality_rules.verdict()
+    got = {x.doc_id: (x.f, x.k) for x in stats.select("doc_id", failed.alias("f"), kept.alias("k")).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, True), 4: (False, True)}
     long_only = quality_rules.verdict(max_covered=100)
     stats = quality_rules.repetition_stats(H.frame(spark, rows[-2:]), keep=["doc_id"]).select("doc_id", long_only[1].alias("k"))
     assert dict(stats.collect()) == {102: True, 103: False}
