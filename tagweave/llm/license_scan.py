@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.shared import text_of
+from tagweave.llm.shared import ascii_lower, text_of
 
 #: Everything that is not a word character: ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -169,7 +169,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     detection, ``rule``, ``tier``, ``start``, ``stop`` (words, stop exclusive) and ``suppressed``.
     A document without detections keeps one row with a null rule."""
     keep = [c for c in docs.columns if c != text]
-    words = F.split(F.lower(text_of(text)), SEPARATORS)
+    words = F.split(ascii_lower(text_of(text)), SEPARATORS)
     d = docs.select(*keep, F.monotonically_increasing_id().alias("_row"),
                     F.filter(words, lambda w: w != "").alias("_words"))
     stems = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
@@ -205,23 +205,29 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: the other columns, n_words, base statistics, labels, score, n_detections."""
-    keep = [c for c in docs.columns if c != text]
+    """One row per document: the other columns, n_words, base statistics, labels, score, n_detections.
+
+    A column of ``docs`` named like one of these gives way to it.
+    """
+    names = [c for c in docs.columns if c != text]
+    keep = [f"_c{i}" for i in range(len(names))]  # no clash with the columns used here
+    docs = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, keep)], F.col(text).alias("text"))
     labels = F.array(*[F.lit(x) for _, x in BASE], *[F.lit(r[0]) for r in RULES])
     weight = F.when(F.col("tier") == 1, WEIGHT[1]).when(F.col("tier") == 2, WEIGHT[2]).otherwise(WEIGHT[3])
     base = F.col("tier") == 0
     live = F.col("rule").isNotNull() & (base | ~F.col("suppressed"))
-    d = detect(docs, text).withColumn("_label", F.when(live, F.element_at(labels, F.col("rule") + 1)))
+    d = detect(docs).withColumn("_label", F.when(live, F.element_at(labels, F.col("rule") + 1)))
     distinct = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return (d.groupBy("_row", "n_words", *keep)
+    out = (d.groupBy("_row", "n_words", *keep)
              .agg(F.count(F.when(base, 1)).alias("n_base"),
                   F.min(F.when(base, F.col("start"))).alias("first_word"),
                   F.max(F.when(base, F.col("start"))).alias("last_word"),
                   distinct(F.when(base, F.col("_label"))).alias("base_labels"),
                   distinct(F.col("_label")).alias("labels"),
                   F.coalesce(F.max(F.when(live, F.when(base, WEIGHT[1]).otherwise(weight))), F.lit(0.0)).alias("score"),
-                  F.count(F.when(live & ~base, 1)).alias("n_detections"))
-             .drop("_row"))
+                  F.count(F.when(live & ~base, 1)).alias("n_detections")))
+    mine = [c for c in out.columns if c not in ("_row", *keep)]
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, keep) if c not in mine], *mine)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,13 +84,17 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """Drop every line whose key (stripped, A-Z lower-cased) is in at least ``min_docs`` documents.
 
     Keys shorter than ``min_chars`` code points stay. Returns the input with ``text`` replaced by the kept
-    lines, plus ``n_lines`` and ``n_dropped``. ``batches`` splits the documents into the batches of the
+    lines, plus ``n_lines`` and ``n_dropped`` (which replace columns of these names). ``batches`` splits the documents into the batches of the
     index; it changes the number of runs, never the result.
 
     The decision depends on the text alone, so rows are joined by a hash of the text: copies are counted
     by multiplicity and their lines travel once, and a group of copies is no hot key in the line count.
     """
     spark = docs.sparkSession
+    names, column = docs.columns, text
+    text = "_text"
+    docs = docs.toDF(*[text if c == column else f"_c{i}" for i, c in enumerate(names)])  # no clash with those used here
+    inner = dict(zip(names, docs.columns))
     ta, tb = hash128(text_of(text))
     keys = F.transform(lines_of(text_of(text)), lambda x: F.struct(line_key(x).alias("k")))
     hashed = F.transform(keys, lambda s: F.when(
@@ -119,10 +123,12 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), text_of(text)).otherwise(
         F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n"))
-    return (out.withColumn("_lines", lines)
-               .withColumns({text: kept, "n_lines": F.size("_lines").cast("long"),
-                             "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-               .drop("_ta", "_tb", "_drop", "_lines"))
+    found = {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
+    stay_names = [c for c in names if c not in found]
+    # in two steps: an alias that repeats a name used here would be taken for it
+    return out.withColumn("_lines", lines).select(
+        *[(kept if c == column else F.col(inner[c])).alias(f"_o{i}") for i, c in enumerate(stay_names)],
+        *found.values()).toDF(*stay_names, *found)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

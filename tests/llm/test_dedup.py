@@ -138,3 +138,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1000), (7, 7), (2000, 3)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(701)}, 1000: 1000, 1001: 1000, 2000: 0}
+
+
+def test_lines_with_clashing_columns(spark):
+    names = ["_lines", "_drop", "_ta", "_tb", "copies", "n_lines", "_text", "doc_id"]
+    docs = spark.createDataFrame([(*range(7), i, f"common\nown {i}") for i in range(12)], ", ".join(f"{n} int" for n in names) + ", text string")
+    got = line_dedup.drop_frequent_lines(docs)
+    assert got.columns == ["_lines", "_drop", "_ta", "_tb", "copies", "_text", "doc_id", "text", "n_lines", "n_dropped"]
+    assert sorted((x.doc_id, x.text, x.n_lines, x.n_dropped, x._lines, x._text) for x in got.collect()) == [
+        (i, f"own {i}", 2, 1, 0, 6) for i in range(12)]

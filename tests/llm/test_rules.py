@@ -70,7 +70,7 @@ def test_rules_keep_clean_rows_and_columns(spark):
     failed, kept = quality_rules.verdict()
     got = {x.doc_id: (x.f, x.k) for x in stats.select("doc_id", failed.alias("f"), kept.alias("k")).collect()}
     assert got == {1: (False, False), 2: (False, True), 3: (False, True), 4: (False, True)}
-    long_only = quality_rules.verdict(max_covered=100)
+    long_only = quality_rules.verdict(max_covered=100, max_longest_share=25)
     stats = quality_rules.repetition_stats(H.frame(spark, rows[-2:]), keep=["doc_id"]).select("doc_id", long_only[1].alias("k"))
     assert dict(stats.collect()) == {102: True, 103: False}
 
@@ -115,6 +115,16 @@ def test_license_scan(spark):
     assert all(0 <= x.score <= 1 and (x.score > 0) == bool(x.labels) for x in got)
 
 
+def test_license_scan_with_clashing_columns(spark):
+    names = ["rule", "tier", "start", "stop", "n_words", "labels", "_row", "_words", "doc_id"]
+    docs = spark.createDataFrame([(*range(8), i, t) for i, t in enumerate(TEXTS)], ", ".join(f"{n} int" for n in names) + ", text string")
+    got = license_scan.scan(docs)
+    assert got.columns == ["rule", "tier", "start", "stop", "_row", "_words", "doc_id", "n_words", "n_base", "first_word",
+                           "last_word", "base_labels", "labels", "score", "n_detections"]
+    assert sorted((x.doc_id, x.n_words, x.labels, x.stop) for x in got.collect()) == [
+        (i, brute_license(t)[0], brute_license(t)[5], 3) for i, t in enumerate(TEXTS)]
+
+
 def test_license_rules_are_reachable():
     """Every rule's keyword must pass the gate, and rules are distinct."""
     assert len(license_scan.RULES) == len(set(license_scan.RULES)) >= 200
