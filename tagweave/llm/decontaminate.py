@@ -5,7 +5,11 @@ ASCII, lower-cased). A document is contaminated by an item if some window of it
 ``100 - percent`` percent of the item's length in word edits.
 
 1. Items longer than ``PIECE`` words are cut into pieces of at least half of it; a text close to a long item
-   is as close to one of its pieces. Items under ``LEAST`` words are no evidence and match nothing.
+   is as close to one of its pieces. One piece makes a hit; ``pieces_found`` says how many of them the document
+   holds, ``total`` how long the whole item is, ``n`` how long the piece compared.
+   Items under ``LEAST`` words are matched exactly (no edit): their word sequences are joined with the texts' by
+   hash. Those under ``least_words`` words are left out, since so short a phrase stands in clean texts too; at 1
+   none is. A text is dropped by items of ``EVIDENCE`` words or more.
 2. Segments. A piece that allows k edits is cut into k // 2 + 1 segments or more, of ``SEGMENT`` words at most.
    Wherever the edits are, bunched or spread, some segment has one at most.
 3. CGK. Every repetition walks over a segment of n words in 2n steps with its own random functions: at step j it
@@ -41,6 +45,7 @@ from tagweave.llm.shared import stage, text_batches, text_of
 from tagweave.llm.words import BASE, PUNCT_BYTES, U, Words, complete, mix, ngrams, slices, split_words, string_bytes
 
 LEAST, PIECE = 8, 96
+EVIDENCE = 5      # least words of an item that makes a text contaminated
 SAMPLES = 2
 SEGMENT = 16      # most words of a segment
 MEETING = 0.20    # least chance of a common bucket with one edit at the worst place of a segment (simulated)
@@ -92,14 +97,12 @@ def _word_arrays(column: pa.Array) -> Words:
 
 
 def item_pieces(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, piece, n, words) of the items."""
+    """(item, piece, n, words, total) of the items; ``total`` words are in all pieces of one."""
     def run(batches):
         for batch in batches:
             w = _word_arrays(batch.column(1))
-            rows = ([], [], [], [])
+            rows = ([], [], [], [], [])
             for d, n in enumerate(w.counts.tolist()):
-                if n < LEAST:
-                    continue
                 parts = -(-n // PIECE)
                 cut = w.ptr[d] + np.arange(parts + 1) * n // parts
                 for p in range(parts):
@@ -107,13 +110,15 @@ def item_pieces(benchmark: DataFrame, item: str = "item_id", text: str = "text")
                     rows[1].append(p)
                     rows[2].append(int(cut[p + 1] - cut[p]))
                     rows[3].append(w.hash[cut[p]:cut[p + 1]].view(np.int64))
+                    rows[4].append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows[0], type=pa.int64())), pa.array(rows[1], type=pa.int32()),
-                 pa.array(rows[2], type=pa.int64()), pa.array(rows[3], type=pa.list_(pa.int64()))],
-                names=["item", "piece", "n", "words"])
+                 pa.array(rows[2], type=pa.int64()), pa.array(rows[3], type=pa.list_(pa.int64())),
+                 pa.array(rows[4], type=pa.int64())],
+                names=["item", "piece", "n", "words", "total"])
 
     src = benchmark.select(F.col(item).cast("long").alias("item"), F.lower(text_of(text)).alias("_text"))
-    return src.mapInArrow(run, "item long, piece int, n long, words array<long>")
+    return src.mapInArrow(run, "item long, piece int, n long, words array<long>, total long")
 
 
 def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +219,55 @@ def piece_keys(pieces: DataFrame, percent: int, reps: int) -> DataFrame:
     return pieces.mapInArrow(run, "item long, piece int, n long, kind int, off long, h long")
 
 
+def short_keys(pieces: DataFrame) -> DataFrame:
+    """(item, n, h): the hash of the whole word sequence of each (short) item."""
+    def run(batches):
+        for batch in batches:
+            vals, base = _flat(batch.column(2))
+            n = batch.column(1).to_numpy()
+            h = [gram_hashes(vals[base[i]:base[i + 1]], int(q))[0] for i, q in enumerate(n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(h, dtype=U).view(np.int64))],
+                                             names=["item", "n", "h"])
+
+    return pieces.select("item", "n", "words").mapInArrow(run, "item long, n long, h long")
+
+
+def find_phrases(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(d, th, n, h, first_word): the first place of each phrase of ``sizes`` words in ``docs`` that ``table`` lets by."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            for i, j in slices(batch.column(2)):
+                part = batch.slice(i, j - i)
+                w = _word_arrays(part.column(2))
+                doc = w.doc()
+                for q in sizes:
+                    h = mix(ngrams(w, q) + U(q))
+                    at = np.flatnonzero(complete(w, q) & _in_table(shared.value, h))
+                    at = at[np.lexsort((at, h[at], doc[at]))]
+                    one = np.ones(len(at), dtype=bool)
+                    one[1:] = (h[at[1:]] != h[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+                    at = at[one]
+                    take = pa.array(doc[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(take), part.column(1).take(take), pa.array(np.full(len(at), q)),
+                         pa.array(h[at].view(np.int64)), pa.array(at - w.ptr[doc[at]])],
+                        names=[*DOC, "n", "h", "first_word"])
+
+    return docs.select(*DOC, F.lower(text_of()).alias("_text")).mapInArrow(
+        run, "d long, th long, n long, h long, first_word long")
+
+
+def quoted(docs: DataFrame, pieces: DataFrame, sizes: list[int]) -> DataFrame:
+    """The rows of ``contaminated`` for items under ``LEAST`` words, which match word for word."""
+    keys = stage(short_keys(pieces).distinct(), "bench-phrases")
+    hits = find_phrases(docs, bit_table(keys.select("h").distinct()), sizes).join(keys, ["n", "h"])
+    return (hits.groupBy(*DOC, "item").agg(F.min(F.struct(-F.col("n"), "first_word", "n")).alias("m"))
+                .select(*DOC, "item", F.lit(0).cast("long").alias("edits"), "m.n", "m.first_word",
+                        F.col("m.n").alias("n_words"), F.col("m.n").alias("total"), F.lit(1).cast("long").alias("pieces_found")))
+
+
 def find_windows(docs: DataFrame, grams: np.ndarray, buckets: np.ndarray, sizes: list[int], percent: int, reps: int):
     """(d, th, z, starts, keys, words): zones of ``docs`` (d, th, text) with starts in a bucket of some segment.
     ``words`` are the document's from word ``z`` on, ``starts`` (from z) and ``keys`` the buckets of the starts.
@@ -334,7 +388,7 @@ def _pad(vals: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """(d, th, item, piece, edits, n, first_word, n_words) of the pairs close enough."""
+    """(d, th, item, piece, edits, n, first_word, n_words, total) of the pairs close enough."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -346,30 +400,50 @@ def verify(pairs: DataFrame, percent: int) -> DataFrame:
                 ok = pa.array(np.flatnonzero(dist <= edits(n, percent)))
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c).take(ok) for c in range(4)], pa.array(dist.astype(np.int64)).take(ok),
-                     pa.array(n).take(ok), pa.array(part.column(4).to_numpy() + first).take(ok), pa.array(length).take(ok)],
-                    names=[*DOC, "item", "piece", "edits", "n", "first_word", "n_words"])
+                     pa.array(n).take(ok), pa.array(part.column(4).to_numpy() + first).take(ok), pa.array(length).take(ok),
+                     part.column(7).take(ok)],
+                    names=[*DOC, "item", "piece", "edits", "n", "first_word", "n_words", "total"])
 
-    cols = [*DOC, "item", "piece", "s", "window", "words"]
+    cols = [*DOC, "item", "piece", "s", "window", "words", "total"]
     return pairs.select(*cols).mapInArrow(
-        run, "d long, th long, item long, piece int, edits long, n long, first_word long, n_words long")
+        run, "d long, th long, item long, piece int, edits long, n long, first_word long, n_words long, total long")
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with d (the id, null last) and th (27 bits of the text's hash)."""
+    """``docs`` with d (the id, null last) and th (the text's hash)."""
     return docs.withColumns({"d": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)),
-                             "th": F.pmod(F.xxhash64(text_of(text)), F.lit(1 << 27)).cast("long")})
+                             "th": F.xxhash64(text_of(text))})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, target: float = 0.99,
-                 key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, th, item, edits, n, first_word, n_words): the closest window for each document and item."""
+                 key: str = "doc_id", text: str = "text", least_words: int = EVIDENCE) -> DataFrame:
+    """(d, th, item, edits, n, first_word, n_words, total, pieces_found): the closest window for each document and
+    item of ``least_words`` words or more."""
     text_batches(docs.sparkSession)
-    pieces = stage(item_pieces(benchmark), "bench-pieces")
+    pieces = stage(item_pieces(benchmark).where(F.col("total") >= least_words)
+                   .withColumn("own", F.array_distinct("words")), "bench-pieces")
     sizes = [r[0] for r in pieces.select("n").distinct().collect()]  # at most PIECE values
     base = keyed(docs, key, text).select(*DOC, F.col(text).alias("text"))
-    if not sizes:
+    short, long = [n for n in sizes if n < LEAST], [n for n in sizes if n >= LEAST]
+    found = []
+    if short:
+        found.append(quoted(base, pieces.where(F.col("n") < LEAST), short))
+    if long:
+        found.append(_close(base, pieces.where(F.col("n") >= LEAST), long, percent, target))
+    if not found:
         return base.select(*DOC, *[F.lit(0).cast("long").alias(c) for c in
-                                   ("item", "edits", "n", "first_word", "n_words")]).where(F.lit(False))
+                                   ("item", "edits", "n", "first_word", "n_words", "total", "pieces_found")]).where(F.lit(False))
+    if len(found) == 1:
+        return found[0]
+    # an item id that is repeated with another text may be in both
+    both = found[0].unionByName(found[1])
+    return (both.groupBy(*DOC, "item").agg(F.min(F.struct("edits", -F.col("n"), "first_word", "n", "n_words", "total")).alias("m"),
+                                           F.max("pieces_found").alias("pieces_found"))
+                .select(*DOC, "item", "m.edits", "m.n", "m.first_word", "m.n_words", "m.total", "pieces_found"))
+
+
+def _close(base: DataFrame, pieces: DataFrame, sizes: list[int], percent: int, target: float) -> DataFrame:
+    """The rows of ``contaminated`` for items of ``LEAST`` words or more, which match within their edits."""
     reps = repetitions(target, segment_sizes(sizes, percent)[0])
     keys = stage(piece_keys(pieces, percent, reps), "bench-keys")
     tables = [bit_table(keys.where(F.col("kind") == k).select("h").distinct()) for k in (0, 1)]
@@ -383,15 +457,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, targe
     lo = F.greatest(F.lit(0).cast("long"), F.col("b") * F.col("n") - k)
     hi = (F.col("b") + 2) * F.col("n") + k + NEAR
     pairs = (met.join(found.select(*DOC, "z", F.col("words").alias("zone")), [*DOC, "z"])
-                .join(pieces.select("item", "piece", "n", "words"), ["item", "piece"])
+                .join(pieces.select("item", "piece", "n", "words", "own", "total"), ["item", "piece"])
                 .withColumn("window", F.slice("zone", (lo + 1).cast("int"), (hi - lo).cast("int")))
                 .withColumn("s", F.col("z") + lo))
     # an edit takes away one distinct word of the item at most
-    own = F.size(F.array_distinct("words"))
-    pairs = pairs.where(F.size(F.array_intersect("words", "window")) >= own - k)
+    pairs = pairs.where(F.size(F.array_intersect("own", "window")) >= F.size("own") - k)
     close = verify(pairs, percent)
-    best = close.groupBy(*DOC, "item").agg(F.min(F.struct("edits", "first_word", "n_words", "n")).alias("m"))
-    return best.select(*DOC, "item", "m.edits", "m.n", "m.first_word", "m.n_words")
+    best = close.groupBy(*DOC, "item").agg(F.min(F.struct("edits", "first_word", "n_words", "n", "total")).alias("m"),
+                                           F.count_distinct("piece").alias("pieces_found"))
+    return best.select(*DOC, "item", "m.edits", "m.n", "m.first_word", "m.n_words", "m.total", "pieces_found")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
@@ -406,7 +480,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFr
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = contaminated(docs, items)
+    hits = contaminated(docs, items, least_words=1)
     return hits.select(F.when(F.col("d") < 2**63 - 1, F.col("d")).alias("doc_id"), F.col("item").alias("item_id"),
-                       "edits", F.col("n").alias("item_words"),
-                       (1 - F.col("edits") / F.col("n")).alias("similarity"), "first_word", "n_words")
+                       "edits", F.col("total").alias("item_words"),
+                       (1 - F.col("edits") / F.col("n")).alias("similarity"), "first_word", "n_words",
+                       F.col("n").alias("piece_words"), F.ceil(F.col("total") / PIECE).alias("n_pieces"), "pieces_found",
+                       (F.col("total") >= EVIDENCE).alias("evidence"))

@@ -68,6 +68,66 @@ def test_decontamination_with_bunched_edits(spark):
     assert all(x.edits <= x.n // 5 and 40 - x.n // 5 <= x.first_word <= 40 + x.n // 5 for x in got)
 
 
+def plain_distance(item, words):
+    """Edits of the window of ``words`` closest to ``item``."""
+    prev = [0] * (len(words) + 1)
+    for i, a in enumerate(item, 1):
+        cur = [i]
+        for j, b in enumerate(words, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (a != b)))
+        prev = cur
+    return min(prev)
+
+
+def test_decontamination_against_all_windows(spark):
+    """Every window of every document against every item, short ones word for word."""
+    r = H.rng(13)
+    items = [H.sentence(r, n, 300) for n in (1, 2, 4, 5, 6, 7, 7, 8, 9, 12, 16, 25, 40) for _ in range(2)]
+    texts = []
+    for d in range(90):
+        w = H.sentence(r, r.randrange(30), 300)
+        for _ in range(r.randrange(3)):
+            x = r.choice(items)
+            w += edited(r, x, r.choice([0, 0, len(x) // 5, len(x) // 5 + 1])) + H.sentence(r, r.randrange(10), 300)
+        texts.append(w)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i): plain_distance(x, w) for d, w in enumerate(texts) for i, x in enumerate(items)}
+    want = {k: e for k, e in want.items() if e <= (len(items[k[1]]) // 5 if len(items[k[1]]) >= decontaminate.LEAST else 0)}
+    got = {(x.d, x.item): x for x in decontaminate.contaminated(docs, bench, least_words=1).collect()}
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.01 * len(want)
+    assert {k for k in want if k not in got} <= {k for k, e in want.items() if e}
+    for (d, i), x in got.items():
+        assert x.edits == want[d, i] and x.n == x.total == len(items[i]) and x.pieces_found == 1
+        assert plain_distance(items[i], texts[d][x.first_word:x.first_word + x.n_words]) == x.edits
+    phrases = {(d, i): min(p for p in range(len(w)) if w[p:p + len(items[i])] == items[i])
+               for (d, i) in want for w in [texts[d]] if len(items[i]) < decontaminate.LEAST}
+    assert {k: got[k].first_word for k in phrases} == phrases
+    bad = {d for d, i in got if len(items[i]) >= decontaminate.EVIDENCE}
+    assert {x.doc_id for x in decontaminate.drop_contaminated(docs, bench).collect()} == set(range(90)) - bad
+    assert {d for d, _ in got} - bad
+
+
+def test_decontamination_edges(spark):
+    """Seven words quoted verbatim, parts of a long item, one id with several texts, null ids."""
+    r = H.rng(14)
+    seven, whole = H.sentence(r, 7, 5000), H.sentence(r, 300, 5000)
+    fill = lambda: H.sentence(r, 20, 5000)
+    rows = [(1, fill() + seven + fill()), (1, fill() + whole + fill()), (1, fill()), (None, whole[:80] + fill()),
+            (None, fill()), (2, seven[:6] + fill()), (3, fill() + seven)]
+    docs = spark.createDataFrame([(d, " ".join(w), "x") for d, w in rows], "doc_id long, text string, th string")
+    bench = spark.createDataFrame([(7, " ".join(seven)), (7, " ".join(seven)), (8, " ".join(whole))], "item_id long, text string")
+    got = sorted((-1 if x.d == 2**63 - 1 else x.d, x.item, x.n < x.total, x.total, x.pieces_found)
+                 for x in decontaminate.contaminated(docs.drop("th"), bench).collect())
+    assert got == [(-1, 8, True, 300, 1), (1, 7, False, 7, 1), (1, 8, True, 300, 4), (3, 7, False, 7, 1)]
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id or -1, x.text) for x in kept.collect()) == sorted(
+        (rows[i][0] or -1, " ".join(rows[i][1])) for i in (2, 4, 5))
+    for one in (bench.where("item_id = 7"), bench.where("item_id = 8")):
+        assert decontaminate.drop_contaminated(docs, one).count() == 5
+
+
 def test_prefix_distance():
     r = np.random.default_rng(1)
 
