@@ -7,7 +7,8 @@ difference. The weights minimise the logistic loss over pairs (Newton steps, L2)
 quantile that separates the training labels best; scores are shifted so that it lands on 0.7.
 
 Features are computed in one pass over all texts and staged; the fit sees at most ``max_train`` labelled rows
-(those with the smallest hash of the id), a documented bound. Scoring is a column expression.
+(those with the smallest hash of the id) and draws at most ``max_pairs`` pairs of them, documented bounds. Scoring is
+a column expression.
 
 Defined results: null and empty texts have all-zero features and get a score like any other; a label row
 counts as often as it is repeated; null labels are ignored; without labels of both kinds all weights are 0
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.llm.shared import stage, text_of
-from tagweave.llm.words import slices, split_words, string_bytes
+from tagweave.llm.words import BASE, U, mix, slices, split_words, string_bytes
 
 FEATURES = ("log_words", "mean_word", "long_words", "symbols", "bangs", "pipes", "digits", "capitals", "commas",
             "equal_next", "repeated_words", "top_word", "repeated_lines", "line_words", "symbol_words", "caps_words")
@@ -69,16 +70,18 @@ def features(column: pa.Array) -> np.ndarray:
     top = np.zeros(docs)
     if len(order):
         np.maximum.at(top, d[new], np.bincount(group))
-    # first word of a line seen before as the first word of a line: a cheap sign of repeated lines
+    # lines equal to an earlier one of the document, by a hash of all their words in order
     line = lead[w.start] if len(w.start) else np.zeros(0, dtype=np.int64)
     opens = np.ones(len(line), dtype=bool)
     opens[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     n_lines = np.maximum(per(opens), 1)
-    two = w.hash + np.uint64(3) * np.append(w.hash[1:], np.uint64(0))
     o = np.flatnonzero(opens)
-    lo = o[np.lexsort((two[o], doc[o]))]
-    again = np.zeros(len(lo), dtype=bool)
-    again[1:] = (two[lo][1:] == two[lo][:-1]) & (doc[lo][1:] == doc[lo][:-1])
+    place = np.arange(len(line)) - np.repeat(o, np.diff(np.append(o, len(line))))
+    whole = np.add.reduceat(mix(w.hash + place.astype(U) * U(BASE)), o) if len(o) else np.zeros(0, dtype=U)
+    by = np.lexsort((whole, doc[o]))
+    again = np.zeros(len(o), dtype=bool)
+    again[1:] = (whole[by][1:] == whole[by][:-1]) & (doc[o][by][1:] == doc[o][by][:-1])
+    lo = o[by]
     rep_lines = np.bincount(doc[lo[again]], minlength=docs)
     wl = np.maximum(let_c[w.end] - let_c[w.start], 1)
     cols = [np.log1p(w.counts), per(lens) / n / 10, per(lens > 20) / n, sym / size, chars(_BANGS)[1] / size,

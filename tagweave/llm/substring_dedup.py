@@ -35,13 +35,13 @@ from tagweave.llm.words import U, Words, _powers, complete, mix, ngrams, slices,
 
 K = 13
 M = 4
-DOC = ["d", "th"]  # a document: its id (null last) and 27 bits of its text's hash
+DOC = ["d", "th"]  # a document: its id (null last) and its text's hash
 
 
 def _keys(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.withColumns({
         "d": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)),
-        "th": F.pmod(F.xxhash64(text_of(text)), F.lit(1 << 27)).cast("long")})
+        "th": F.xxhash64(text_of(text))})
 
 
 def minimizer_paths(w: Words, k: int = K, m: int = M):

@@ -1,6 +1,7 @@
 """Decontamination recall, learned scores on held-out rows, mixing invariants."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagweave.llm import decontaminate, mixing, quality_rank, queries, toxicity
@@ -163,6 +164,15 @@ def test_held_out_ranking(spark, name, label, least):
     assert (held["predicted"] == held[label]).mean() >= 0.9
 
 
+def test_repeated_lines_are_whole_lines():
+    """Lines that only begin alike do not count as repeated; equal ones do, whatever their blanks."""
+    at = quality_rank.FEATURES.index("repeated_lines")
+    texts = ["the same start a\nthe same start b\nthe same start c", "one two\n\n one  two\nthree\none two",
+             "one\ntwo", "two\none", "", "a b\nb a"]
+    x = quality_rank.features(pa.array(texts))
+    assert np.allclose(x[:, at], [0, 2 / 4, 0, 0, 0, 0])
+
+
 def test_scores_of_awkward_tables(spark):
     docs = H.frame(spark, H.awkward_rows(), "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (6, None, None), (8, 0, 1), (8, 0, 1)], "doc_id long, quality int, toxic int")
