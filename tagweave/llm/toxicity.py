@@ -4,12 +4,15 @@ Inputs per word: an embedding of the word (for words known from training) and th
 character trigrams (hashed bytes with word ends). Two GRUs read the window in both directions, attention
 pools their states, a linear layer gives the logit. Every text is scored whole: windows of ``WINDOW`` words,
 one every ``STRIDE``, so each run of WINDOW - STRIDE words lies whole within a window. The document's logit is
-the largest of its windows', and two calibration parameters turn it into a score.
+the largest of its windows', and two calibration parameters turn it into a score. Logits are rounded to ``GRAIN``,
+since the last bits of 32-bit sums depend on how many windows are multiplied at once: so equal texts get equal scores
+(unless a sum falls within those bits of a rounding edge).
 
 Training sees at most ``max_train`` labelled documents of each kind (smallest hashes of the id), a documented
 bound; of each one the window whose words are most telling and ``EXTRA`` others. Words are known if found in
-enough of these documents, unevenly enough (at most ``VOCABULARY``); their embeddings start from that. Everything is
-seeded: equal tables give equal scores.
+enough of these documents, unevenly enough (at most ``VOCABULARY``); their embeddings start from that. Calibration
+learns from at most ``max_calibrate`` labelled documents, chosen alike. Everything is seeded: equal tables give equal
+scores.
 
 Defined results: null and empty texts have no words and get the score of a window without evidence; a label
 row counts as often as it is repeated; null labels are ignored; with labels of one kind or none every score
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 from tagweave.llm.shared import stage, text_batches, text_of
 from tagweave.llm.words import PUNCT_BYTES, U, Words, slices, split_words, string_bytes
 
-WINDOW, STRIDE, EXTRA = 64, 48, 2
+WINDOW, STRIDE, EXTRA = 64, 32, 2
 VOCABULARY = 20_000
 CHARS = 4096  # trigram buckets
 EMB, HID = 8, 8
 UPDATES, BATCH, RATE, DECAY = 320, 192, 0.02, 0.02
+GRAIN = 1 / 1024
 TELLING = 4.0  # least root of a known word's likelihood ratio
 
 
@@ -249,7 +253,7 @@ def score_column(column: pa.Array, vocabulary: np.ndarray, p: dict) -> np.ndarra
     for lo in range(0, len(doc), 4096):
         d, f = doc[lo:lo + 4096], first[lo:lo + 4096]
         np.maximum.at(out, d, forward(p, proj, window_index(w, rows, d, f)))
-    return out
+    return np.round(out / GRAIN) * GRAIN
 
 
 def _distinct_words(train_docs: DataFrame) -> DataFrame:
@@ -347,7 +351,8 @@ def calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 2500) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 2500,
+                    max_calibrate: int = 10_000) -> DataFrame:
     """(doc_id, score) of every document; ``labels`` (doc_id, label) holds the rows to learn from."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -368,7 +373,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", ma
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
     logits = stage(src.mapInArrow(run, "doc_id long, logit double"), "toxic-logits")
     known = (labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
-                   .join(logits, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(4 * max_train)
+                   .join(logits, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_calibrate)
                    .select("logit", "y").toPandas())
     a, b = calibrate(known["logit"].to_numpy(), known["y"].to_numpy())
     x = F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("logit")))
