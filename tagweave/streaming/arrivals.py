@@ -3,11 +3,13 @@
 Pages land as parquet files in a folder. Each micro-batch drops internal
 URLs, skips pages tagged by an *earlier* batch, tags the rest and writes three
 tables under ``out_dir``, each with mode overwrite into its own
-``batch_id=N`` folder: ``pages`` (the ids tagged, one narrow column, all that
-a later batch reads), ``tags`` (keyword tags) and ``entities`` (entity tags).
+``batch_id=N`` folder: ``pages`` (the ids tagged), ``tags`` (keyword tags) and
+``entities`` (entity tags). Which ids are tagged is kept in ``out_dir/seen``
+as sorted runs merged by levels (:mod:`tagweave.streaming.seen`).
 
-A retried batch N reads only batches below N, so it computes the same rows
-again and replaces its own output: nothing is lost or doubled.
+A retried batch N reads only what batches below N wrote, so it computes the
+same rows again and replaces its own output: nothing is lost or doubled. Pages
+without an id cannot be told apart: each micro-batch keeps one of them.
 """
 
 from __future__ import annotations
@@ -18,28 +20,24 @@ from pyspark.sql import functions as F
 from tagweave import schemas
 from tagweave.plans.tag_pages import entity_tags_of, tag_pages
 from tagweave.session import reuse
-
-TAGGED = "page_id long, batch_id long"
-
-
-def tagged_before(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame:
-    """``(doc_id)`` of the pages that batches before ``batch_id`` have tagged (partition-pruned)."""
-    ids = spark.read.schema(TAGGED).parquet(f"{out_dir}/pages")
-    return ids.where(F.col("batch_id") < batch_id).select(F.col("page_id").alias("doc_id")).distinct()
+from tagweave.streaming import seen
 
 
 def tag_batch(batch: DataFrame, batch_id: int, out_dir: str, gazetteer: DataFrame | None = None,
               threshold: float = 0.2) -> None:
-    """Tag one micro-batch and write its three tables."""
-    spark = batch.sparkSession
-    seen = tagged_before(spark, out_dir, batch_id) if batch_id > 0 else None
-    tags, fields = tag_pages(batch.dropDuplicates(["page_id"]), seen, threshold)
+    """Tag one micro-batch, write its three tables and add its ids to the index."""
+    spark, index = batch.sparkSession, f"{out_dir}/seen"
+    seen.drop_merged(spark, index, batch_id)
+    before = seen.ids_before(spark, index, batch_id, batch)
+    before = before.select(F.col("page_id").alias("doc_id")) if before is not None else None
+    tags, fields = tag_pages(batch.dropDuplicates(["page_id"]), before, threshold)
     fields = reuse(fields)  # parsed once for the three tables
     part = f"batch_id={batch_id}"
     tags, _ = tag_pages(None, None, threshold, fields=fields)
     tags.write.mode("overwrite").parquet(f"{out_dir}/tags/{part}")
     entity_tags_of(fields, gazetteer).write.mode("overwrite").parquet(f"{out_dir}/entities/{part}")
     fields.select("page_id").write.mode("overwrite").parquet(f"{out_dir}/pages/{part}")
+    seen.add_ids(fields, index, batch_id)
     fields.unpersist()
 
 
