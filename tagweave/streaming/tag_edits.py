@@ -19,6 +19,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tagweave.session import cut_lineage
 
@@ -149,6 +150,103 @@ def fold_tag_stream(events: DataFrame) -> DataFrame:
         _fold_group, OUT_SCHEMA, STATE_SCHEMA, "Update", GroupStateTimeout.NoTimeout)
 
 
+class OrderedFold(StatefulProcessor):
+    """Fold of one document's edits in order of (time, seq), each when the watermark has passed it.
+
+    State is kept in entries, not as one list: ``pending`` per waiting edit, ``places`` per tag (the places of its
+    surviving adds, ascending; a remove takes the first), so an edit touches the entries of its own tag only.
+    ``head`` holds the next place, the last edit applied and the number of late ones. One timer waits for the
+    earliest pending edit.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "ms long, seq long", "op string, tag string, tags array<string>")
+        self.places = handle.getMapState("places", "tag string", "at array<long>")
+        self.head = handle.getValueState("head", "place long, last_ms long, last_seq long, late long, timer long")
+
+    def _load(self):
+        return list(self.head.get()) if self.head.exists() else [0, -1, -1, 0, -1]
+
+    def _wait(self, head, earliest: int) -> None:
+        if head[4] < 0 or earliest < head[4]:
+            if head[4] >= 0:
+                self.handle.deleteTimer(head[4])
+            head[4] = earliest
+            self.handle.registerTimer(earliest)
+
+    def _row(self, key, head):
+        kept = sorted((at, tag) for (tag,), (places,) in self.places.iterator() for at in places)
+        return pd.DataFrame({"doc_id": [key[0]], "tags": [[tag for _, tag in kept]],
+                             "last_seq": [head[2]], "late": [head[3]]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        head = self._load()
+        late, earliest = head[3], None
+        for pdf in rows:
+            for ms, seq, op, tag, tags in pdf[["ms", "seq", "op", "tag", "tags"]].itertuples(index=False):
+                if (ms, seq) <= (head[1], head[2]) or ms < timerValues.getCurrentWatermarkInMs():
+                    head[3] += 1
+                    continue
+                self.pending.updateValue((int(ms), int(seq)), (op, tag, list(tags) if tags is not None else None))
+                earliest = int(ms) if earliest is None else min(earliest, int(ms))
+        if earliest is not None:
+            self._wait(head, earliest)
+        self.head.update(tuple(head))
+        if head[3] > late:
+            yield self._row(key, head)
+
+    def _add(self, head, tag) -> None:
+        old = self.places.getValue((tag,))[0] if self.places.containsKey((tag,)) else []
+        self.places.updateValue((tag,), ([*old, head[0]],))
+        head[0] += 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        head, mark = self._load(), timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(k) for k in self.pending.keys())
+        due = [k for k in waiting if k[0] < mark]
+        for k in due:
+            op, tag, tags = self.pending.getValue(k)
+            self.pending.removeKey(k)
+            if op == "add":
+                self._add(head, tag)
+            elif op == "remove" and self.places.containsKey((tag,)):
+                rest = list(self.places.getValue((tag,))[0])[1:]
+                if rest:
+                    self.places.updateValue((tag,), (rest,))
+                else:
+                    self.places.removeKey((tag,))
+            elif op == "set":
+                self.places.clear()
+                for t in tags or []:
+                    self._add(head, t)
+            head[1], head[2] = k
+        head[4] = -1
+        if len(due) < len(waiting):  # an edit at the watermark itself waits for the next one
+            self._wait(head, max(waiting[len(due)][0], mark + 1))
+        self.head.update(tuple(head))
+        if due:
+            yield self._row(key, head)
+
+
+def fold_tag_stream_ordered(events: DataFrame, time: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """Streaming T1 with the order restored: ``(doc_id, tags, last_seq, late)`` of each document that changed.
+
+    Edits wait until the watermark (the largest ``time`` seen, less ``delay``) has passed theirs and are then folded
+    in order of (time, seq), so files may arrive in any order within ``delay``. Edits that the watermark has passed
+    already are counted in ``late``, not applied. An edit that arrives twice counts once. Rows without a time, a
+    document or a seq are left out. Output mode: update. State needs the RocksDB store, which is set here.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # time goes on as a plain number: rows with the watermarked column would be dropped uncounted when late
+    marked = (events.where(F.col(time).isNotNull() & F.col("doc_id").isNotNull() & F.col("seq").isNotNull())
+                    .withWatermark(time, delay)
+                    .select("doc_id", "seq", "op", "tag", "tags", F.unix_millis(F.col(time)).alias("ms")))
+    return marked.groupBy("doc_id").transformWithStateInPandas(OrderedFold(), OUT_SCHEMA, "Update", "EventTime")
+
+
 def read_tag_event_stream(spark, path: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Tag events arriving as parquet files in ``path``."""
     return (spark.readStream.schema(schemas.TAG_EVENTS)

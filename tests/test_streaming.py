@@ -160,3 +160,59 @@ def test_seen_ids_over_many_batches(spark, monkeypatch):
             assert "GreaterThanOrEqual(page_id" in old._jdf.queryExecution().executedPlan().toString()
     levels = sum(len(fs) for fs in ([x for x in os.listdir(os.path.join(folder, d))] for d in os.listdir(folder)))
     assert levels <= len(seen.runs_before(11)) + 4
+
+
+def _ordered(spark, folder, schema, name, delay):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/*")
+    q = (TE.fold_tag_stream_ordered(stream, delay=delay).writeStream.outputMode("update").format("memory").queryName(name)
+         .option("checkpointLocation", _fresh_dir()).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert q.exception() is None
+    return spark.table(name)
+
+
+def _put(df, folder, i):
+    path = os.path.join(folder, f"part{i}")
+    df.coalesce(1).write.parquet(path)
+    for f in os.listdir(path):  # files are read in order of their time
+        os.utime(os.path.join(path, f), (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+EDITS = "doc_id long, seq long, op string, tag string, tags array<string>, ts timestamp"
+
+
+def test_tag_fold_ordered_stream_of_shuffled_files(spark):
+    """Edits spread over files without order give the batch result once the watermark has passed them."""
+    ev = (TE.events_to_tag_events(read_table(spark, SF001, "events"))
+          .withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq")))).cache()
+    src = _fresh_dir()
+    for i in range(4):
+        _put(ev.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i), src, i)
+    _put(ev.limit(20), src, 4)  # some arrive again
+    end = "timestamp'2100-01-01'"
+    _put(spark.sql(f"SELECT -1L doc_id, 1L seq, 'add' op, 'end' tag, cast(null AS array<string>) tags, {end} ts"), src, 5)
+    out = _ordered(spark, src, ev.schema, "orderedfold", "30 days").where("doc_id >= 0")
+    final = out.groupBy("doc_id").agg(F.max_by("tags", "last_seq").alias("tags"), F.max("late").alias("late")).collect()
+    want = {r.doc_id: r.tags for r in TE.tag_lists(TE.fold_tag_events(ev)).collect()}
+    assert {r.doc_id: list(r.tags) for r in final if r.tags} == want
+    assert all(r.late == 0 for r in final)
+
+
+def test_tag_fold_ordered_stream_counts_late_edits(spark):
+    src = _fresh_dir()
+    at = lambda rows: spark.createDataFrame(
+        [(d, s, op, tag, tags, sec) for d, s, op, tag, tags, sec in rows], EDITS.replace("ts timestamp", "sec long")
+    ).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    _put(at([(1, 3, "remove", "a", None, 103), (1, 1, "add", "a", None, 101), (2, 1, "add", "x", None, 101)]), src, 0)
+    _put(at([(1, 2, "add", "b", None, 102), (1, 4, "add", "a", None, 104), (3, 1, "add", "z", None, 500)]), src, 1)
+    _put(at([(3, 2, "set", None, ["p", "q", "p"], 501), (3, 3, "remove", "p", None, 502)]), src, 2)
+    # the watermark is past 400 now: these come too late; a null time or document is left out
+    _put(at([(1, 5, "add", "late", None, 105), (4, 1, "add", "late", None, 90), (None, 1, "add", "n", None, 600),
+             (3, 4, "add", "r", None, 503), (3, 9, "add", "n", None, None)]), src, 3)
+    _put(at([(-1, 1, "add", "end", None, 90_000)]), src, 4)
+    rows = _ordered(spark, src, at([(1, 1, "add", "a", None, 1)]).schema, "orderedlate", "100 seconds").where("doc_id > 0").collect()
+    last = {}
+    for r in rows:
+        if r.doc_id not in last or (r.last_seq, r.late) >= last[r.doc_id][:2]:
+            last[r.doc_id] = (r.last_seq, r.late, list(r.tags))
+    assert last == {1: (4, 1, ["b", "a"]), 2: (1, 0, ["x"]), 3: (4, 0, ["q", "p", "r"]), 4: (-1, 1, [])}
