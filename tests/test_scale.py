@@ -29,3 +29,18 @@ def test_stop_words_are_looked_up_not_scanned(spark):
     assert "\n" not in plain and "\r" not in plain and "_" not in plain and "1" not in plain
     plan = df.select(clean_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan and "array_contains" not in plan
+
+
+def test_documents_with_one_rare_term_in_common_are_not_sent(spark):
+    """Neighbours on a ring share a term of their prefixes, but cannot reach the bound: no vector may move for them."""
+    from tagweave.operators import neighbours as NB
+    rows = []
+    for i in range(64):
+        rows += [(i, f"r{i:02d}", 0.15 ** 0.5), (i, f"r{(i + 1) % 64:02d}", 0.15 ** 0.5), (i, f"common{i % 8}", 0.7 ** 0.5)]
+    w = spark.createDataFrame(rows, "doc_id long, term string, weight double")
+    _, sent, _ = NB._meeting(w, 0.875, 8)
+    assert sent.isEmpty()
+    # copies in direction are sent and found across groups
+    both = w.unionByName(w.where("doc_id < 8").withColumn("doc_id", F.col("doc_id") + 100))
+    got = sorted(map(tuple, NB.neighbour_pairs(both, 0.875, 8).select("doc_a", "doc_b").collect()))
+    assert got == [(i, i + 100) for i in range(8)]
