@@ -44,3 +44,23 @@ def test_documents_with_one_rare_term_in_common_are_not_sent(spark):
     both = w.unionByName(w.where("doc_id < 8").withColumn("doc_id", F.col("doc_id") + 100))
     got = sorted(map(tuple, NB.neighbour_pairs(both, 0.875, 8).select("doc_a", "doc_b").collect()))
     assert got == [(i, i + 100) for i in range(8)]
+
+
+def test_topic_rounds_move_one_row_per_term_of_a_block(spark, monkeypatch):
+    """300 documents of the same 12 terms: a round moves 12 rows of weights for each block, not 3,600."""
+    from tagweave.operators import topics as TP
+    seen, meet = [], TP._meet
+
+    def counted(bags, terms, beta, run, schema):
+        seen.append((terms.count(), bags.count()))
+        return meet(bags, terms, beta, run, schema)
+
+    monkeypatch.setattr(TP, "_meet", counted)
+    w = spark.range(300).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).select(
+        "doc_id", F.concat(F.lit("t"), F.col("t").cast("string")).alias("term"), (1.0 + F.col("doc_id") % (F.col("t") + 2)).alias("weight"))
+    docs = spark.range(301).select(F.col("id").alias("doc_id"))
+    one, many = (TP.fit_topics(w, docs, k=2, max_iter=2, block=b) for b in (1000, 100))
+    assert seen[0] == (12, 300) and seen[3] == (36, 300)
+    for a, b in zip(one, many):
+        a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect()) for t in (a, b))
+        assert a == b and len(a) in (20, 602)
