@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.text import (DEFAULT_STOP_WORDS, DROPPED_ENTITY_LABELS, WORD_CLASS,
-                                     _lit_array, capitalize, explode_structs)
+                                     capitalize, explode_structs)
 from tagweave.operators.graph import RAW_TOKEN
 from tagweave.operators.phrases import STRIPE, shared_automaton, stripes
 from tagweave.session import reuse
@@ -63,10 +63,10 @@ def default_gazetteer(spark: SparkSession, base: str | None = None) -> DataFrame
 def entity_words(docs: DataFrame, text_col: str = "text",
                  stop_words: Iterable[str] = DEFAULT_STOP_WORDS) -> DataFrame:
     """``(doc_id, words)``: raw tokens without punctuation tokens, then without stop words."""
-    stop = _lit_array(tuple(stop_words))
+    stop = tuple(stop_words)
     rt = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("(" + RAW_TOKEN + ")"), 1)
     return docs.select("doc_id", F.filter(rt, lambda t: t.rlike("^[" + WORD_CLASS + "]+$")
-                                          & ~F.array_contains(stop, F.lower(t))).alias("words"))
+                                          & ~F.lower(t).isin(*stop)).alias("words"))
 
 
 def amount_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -90,9 +90,9 @@ def amount_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _word_count(text, stop_words: Iterable[str] = DEFAULT_STOP_WORDS):
     """Number of E1 words in a piece of text (amounts start and end at word borders)."""
-    stop = _lit_array(tuple(stop_words))
+    stop = tuple(stop_words)
     return F.size(F.filter(F.regexp_extract_all(text, F.lit("([" + WORD_CLASS + "]+)"), F.lit(1)),
-                           lambda t: ~F.array_contains(stop, F.lower(t))))
+                           lambda t: ~F.lower(t).isin(*stop)))
 
 
 def _surfaces_in(texts: DataFrame, entries) -> DataFrame:
