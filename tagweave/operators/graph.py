@@ -43,9 +43,10 @@ def word_graph(tokens: DataFrame) -> DataFrame:
                                        F.greatest(F.get("rt", i - 1), F.get("rt", i)).alias("b"),
                                        (F.get("keep", i - 1) & F.get("keep", i)).alias("k"))),
         lambda e: e["k"])
-    g = tokens.withColumn("_e", F.array_distinct(F.transform(edges, lambda e: F.struct(e["a"], e["b"]))))
-    return g.select("doc_id", F.transform("_e", lambda e: e["a"]).alias("ea"),
-                    F.transform("_e", lambda e: e["b"]).alias("eb"))
+    # kept tokens are letters only, so a blank parts the two; array_distinct hashes strings, but compares every two structs
+    g = tokens.withColumn("_e", F.array_distinct(F.transform(edges, lambda e: F.concat(e["a"], F.lit(" "), e["b"]))))
+    return g.select("doc_id", F.transform("_e", lambda e: F.substring_index(e, " ", 1)).alias("ea"),
+                    F.transform("_e", lambda e: F.substring_index(e, " ", -1)).alias("eb"))
 
 
 def pagerank_local(ea, eb, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6):
@@ -150,22 +151,32 @@ def textrank(docs: DataFrame, top_n: int = 10, alpha: float = 0.85, max_iter: in
 # A16
 
 
+PAIR_CELLS = 1 << 13   # positions times first terms counted at once
+
+
 def _top_combinations(tokens: list, k: int):
     """Top ``k`` of unigram and ordered-pair (i < j) counts of one token list.
 
     Ranking: count descending, then first-seen order, where every unigram
     precedes every pair, unigrams by first position, pairs by first (i, j).
-    Exact with pruning: first terms a are visited by count descending; the
-    counts of all pairs (a, b) come from one O(n) pass (number of a's before
-    each position, summed per b), and the visit stops once c_a * c_max can no
-    longer reach the current k-th entry.
+    Exact with pruning: first terms a are visited by count descending, as many
+    at a time as fit ``PAIR_CELLS`` cells; the counts of all pairs (a, b) come
+    from one pass (number of a's before each position, summed per b), and the
+    visit stops once c_a * c_max can no longer reach the current k-th entry.
     """
     if not tokens or k <= 0:
         return []
-    terms, first, inv, cnt = np.unique(np.asarray(tokens, dtype=object), return_index=True,
-                                       return_inverse=True, return_counts=True)
-    v = len(terms)
-    best = sorted((-int(cnt[t]), 0, int(first[t]), 0, t, -1) for t in range(v))[:k]
+    inv, terms = pd.factorize(np.asarray(tokens, dtype=object))   # by a hash table, in first-seen order
+    cnt = np.bincount(inv)
+    places = np.argsort(inv, kind="stable")                       # positions of each term, one term after another
+    ends = np.cumsum(cnt)
+    starts = ends - cnt
+    first = places[starts]
+    v, n = len(terms), len(inv)
+    if v > k:   # the k-th largest count; terms are in first-seen order, which breaks ties
+        best = [(-int(cnt[t]), 0, int(first[t]), 0, int(t), -1) for t in np.argsort(-cnt, kind="stable")[:k]]
+    else:
+        best = sorted((-int(cnt[t]), 0, int(first[t]), 0, t, -1) for t in range(v))
 
     def reachable(bound: int) -> bool:
         if len(best) < k:
@@ -174,20 +185,25 @@ def _top_combinations(tokens: list, k: int):
         return bound > kth or (bound == kth and best[-1][1] == 1)
 
     c_max = int(cnt.max())
-    for a in np.argsort(-cnt, kind="stable"):
-        if not reachable(int(cnt[a]) * c_max):
+    keys = inv[places] * n + places
+    order = np.argsort(-cnt, kind="stable")
+    for lo in range(0, v, max(1, PAIR_CELLS // n)):
+        a = order[lo:lo + max(1, PAIR_CELLS // n)]
+        if not reachable(int(cnt[a[0]]) * c_max):
             break
-        is_a = (inv == a)
-        before = np.cumsum(is_a) - is_a            # a's strictly before each position
-        pc = np.bincount(inv, weights=before, minlength=v).astype(np.int64)
-        i0 = int(first[a])
-        tail_terms, tail_first = np.unique(inv[i0 + 1:], return_index=True)
-        j_first = np.full(v, -1)
-        j_first[tail_terms] = tail_first + i0 + 1
-        lim = -best[-1][0] if len(best) == k else 0
-        cand = np.flatnonzero(pc >= max(lim, 1))
-        new = [(-int(pc[b]), 1, i0, int(j_first[b]), int(a), int(b)) for b in cand]
-        best = sorted(best + new)[:k]
+        is_a = inv[:, None] == a
+        before = np.cumsum(is_a, axis=0) - is_a    # a's strictly before each position
+        pc = np.add.reduceat(before[places], starts, axis=0)
+        full = len(best) == k                      # a unigram of the same count comes before a pair
+        b, x = np.nonzero(pc >= max(1, (-best[-1][0] + (best[-1][1] == 0)) if full else 1))
+        c = pc[b, x]
+        if len(c) > k:
+            some = c >= np.partition(c, len(c) - k)[len(c) - k]
+            b, x, c = b[some], x[some], c[some]
+        i0 = first[a[x]]
+        j0 = places[np.searchsorted(keys, b * n + i0, "right")]   # the second term's first position after i0
+        top = np.lexsort((j0, i0, -c))[:k]
+        best = sorted(best + [(-int(c[t]), 1, int(i0[t]), int(j0[t]), int(a[x[t]]), int(b[t])) for t in top])[:k]
     out = []
     for negc, kind, _, _, x, y in best:
         label = terms[x] if kind == 0 else terms[x] + " " + terms[y]

@@ -117,3 +117,28 @@ def test_replace_terms():
     want = [["x", "a"], ["1", "2", "1"], [], ["c", "a"]]
     assert replace_terms(t, old, new).to_pylist() == want
     assert replace_terms(t.slice(1, 2), old.slice(1, 2), new.slice(1, 2)).to_pylist() == want[1:3]
+
+
+def test_pair_counts_of_flat_documents_take_few_passes(monkeypatch):
+    """Many words that repeat alike: first terms are counted many at a time, with the same ties as one by one."""
+    import random
+    from collections import Counter
+    from tagweave.operators import graph as GR
+    r = random.Random(5)
+    for n, voc, k in ((1, 1, 5), (40, 30, 5), (60, 60, 3), (90, 20, 7), (30, 1, 2)):
+        toks = [f"t{r.randrange(voc)}" for _ in range(n)]
+        count, seen = Counter(), {}
+        for i, x in enumerate(toks):
+            count[x] += 1
+            seen.setdefault(x, (0, i, 0))
+            for j in range(i + 1, n):
+                key = x + " " + toks[j]
+                count[key] += 1
+                seen.setdefault(key, (1, i, j))
+        want = [(c, t) for t, c in sorted(count.items(), key=lambda tc: (-tc[1], seen[tc[0]]))[:k]]
+        assert [(-e[0], e[4]) for e in GR._top_combinations(toks, k)] == want
+    passes = []
+    cumsum = GR.np.cumsum
+    monkeypatch.setattr(GR.np, "cumsum", lambda *a, **kw: passes.append(1) or cumsum(*a, **kw))
+    GR._top_combinations([f"t{i % 200}" for i in range(400)], 5)
+    assert len(passes) < 20   # one for each of 200 first terms before
