@@ -1,5 +1,6 @@
 import pytest
 
+from tagweave.operators import features as FE
 from tagweave.operators.features import single_doc_tfidf, tfidf, one_topic_lda
 from tagweave.operators.keywords import keyword_tags
 
@@ -43,3 +44,13 @@ def test_single_doc_and_lda(spark):
     assert a == {"spark": 0.948683, "table": 0.316228}
     b = [(r.rank, r.term, round(r.prob, 6)) for r in one_topic_lda(df).orderBy("rank").collect()]
     assert b == [(1, "spark", 0.666667), (2, "table", 0.333333)]
+
+
+def test_top_ngrams_are_ranked_in_their_row(spark):
+    """What is ranked by document has at most n rows a text, also where an id has several."""
+    rows = [(1, "b a b a c".split()), (2, ["x"]), (3, []), (4, list("zyxw")), (5, "a a".split()), (5, "b b a".split())]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    counts = FE.ngram_counts(df, 1, 2)
+    want = sorted(map(tuple, FE.top_terms(counts, 3, value="tf").select("doc_id", "rank", "term", "tf").collect()))
+    got = FE.top_ngrams(df, 3)
+    assert sorted(map(tuple, got.select("doc_id", "rank", "term", "tf").collect())) == want
