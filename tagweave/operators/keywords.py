@@ -30,6 +30,11 @@ def _boost(term: Column, headers: Column, styled: Column) -> Column:
              .otherwise(F.lit(1.0)))
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def keyword_tags(tokens: DataFrame, threshold: float = 0.2, top_n: int = 10,
                  headers: str | None = None, styled: str | None = None) -> DataFrame:
     """Keyword tags per document: ``(doc_id, rank, tag, score)``.
@@ -48,26 +53,37 @@ def keyword_tags(tokens: DataFrame, threshold: float = 0.2, top_n: int = 10,
     s = F.col(styled) if styled else F.lit(None).cast("string")
     thr = F.lit(float(threshold))
     df = _with_doc_stats(tokens.select("doc_id", "tokens", h.alias("_h"), s.alias("_s")))
-    df = df.withColumn("_top", F.transform(
-        F.slice(F.sort_array(F.transform("tf_arr", lambda x: F.struct((-x["tf"]).alias("k"),
-                                                                      x["term"].alias("term")))), 1, top_n),
-        lambda x: x["term"]))
+    # few terms can be tags: the top_n of b, and those whose count may lift a over the threshold; only these are scored.
+    # Bounds and ranks are put into arrays of one element, so that they are computed once a row and not for every term.
+    count = F.get(F.sort_array(F.transform("tf_arr", lambda x: x["tf"]), asc=False), top_n - 1)
+    some = _once(F.coalesce(count, F.lit(0)), lambda t: F.filter("tf_arr", lambda x: x["tf"] >= t))
+    first = F.slice(F.sort_array(F.transform(some, lambda x: F.struct((-x["tf"]).alias("k"), x["term"].alias("term"),
+                                                                      x["tf"].alias("tf")))), 1, top_n)
+    df = df.withColumn("_top", first)
+    often = _once(F.floor(thr * F.col("norm")), lambda t: F.filter("tf_arr", lambda x: x["tf"] >= t))
+    names = F.transform("_top", lambda x: x["term"])
+    rest = _once(names, lambda top: F.filter(often, lambda x: ~F.array_contains(top, x["term"])))
+    asked = F.concat(F.transform("_top", lambda x, i: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), (i + 1).alias("brank"))),
+                     F.transform(rest, lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), F.lit(0).alias("brank"))))
 
-    def entry(x):
-        brank = F.array_position(F.col("_top"), x["term"]).cast("int")
+    def scored(x):
         a = F.when(F.length(x["term"]) >= 2, x["tf"] / F.col("norm"))
-        b = (x["tf"] + 1) / (F.col("n_tok") + F.col("n_terms"))
-        cand = (F.coalesce(a > thr, F.lit(False))) | (brank > 0)
-        boost = _boost(x["term"], F.col("_h"), F.col("_s"))
-        a_k = F.when(cand & (a * boost > thr), a * boost)
-        b_k = F.when((brank > 0) & (b * boost > thr), b * boost)
-        lo = F.least(a_k, b_k)
-        kind = F.when(a_k.isNotNull() & (b_k.isNull() | (a_k <= b_k)), F.lit(0)).otherwise(F.lit(1))
-        return F.struct(lo.alias("lo"), kind.alias("kind"),
-                        F.when(kind == 1, brank).otherwise(F.lit(0)).alias("brank"),
-                        x["term"].alias("tag"), F.greatest(a_k, b_k).alias("score"))
-
-    df = df.withColumn("_kept", F.sort_array(F.filter(F.transform("tf_arr", entry),
-                                                      lambda e: e["lo"].isNotNull())))
+        b = F.when(x["brank"] > 0, (x["tf"] + 1) / (F.col("n_tok") + F.col("n_terms")))
+        return F.struct(x["term"].alias("term"), x["brank"].alias("brank"), a.alias("a"), b.alias("b"),
+                        _boost(x["term"], F.col("_h"), F.col("_s")).alias("boost"))
+
+    def kept(x):
+        a = F.when(((x["a"] > thr) | (x["brank"] > 0)) & (x["a"] * x["boost"] > thr), x["a"] * x["boost"])
+        b = F.when(x["b"] * x["boost"] > thr, x["b"] * x["boost"])
+        return F.struct(x["term"].alias("term"), x["brank"].alias("brank"), a.alias("a"), b.alias("b"))
+
+    def entry(x):
+        kind = F.when(x["a"].isNotNull() & (x["b"].isNull() | (x["a"] <= x["b"])), F.lit(0)).otherwise(F.lit(1))
+        return F.struct(F.least(x["a"], x["b"]).alias("lo"), kind.alias("kind"),
+                        F.when(kind == 1, x["brank"]).otherwise(F.lit(0)).alias("brank"),
+                        x["term"].alias("tag"), F.greatest(x["a"], x["b"]).alias("score"))
+
+    some = F.filter(F.transform(F.transform(asked, scored), kept), lambda x: x["a"].isNotNull() | x["b"].isNotNull())
+    df = df.withColumn("_kept", F.sort_array(F.transform(some, entry)))
     return (explode_structs(df, "_kept", ["doc_id"], pos="pos")
               .select("doc_id", (F.col("pos") + 1).alias("rank"), "tag", "score"))

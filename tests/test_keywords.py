@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 
 from tagweave.operators import features as FE
@@ -54,3 +58,31 @@ def test_top_ngrams_are_ranked_in_their_row(spark):
     want = sorted(map(tuple, FE.top_terms(counts, 3, value="tf").select("doc_id", "rank", "term", "tf").collect()))
     got = FE.top_ngrams(df, 3)
     assert sorted(map(tuple, got.select("doc_id", "rank", "term", "tf").collect())) == want
+
+
+def test_only_few_terms_of_a_document_are_scored(spark):
+    """Ties at the tenth place, single letters, boosts: as if every term were scored, but no term of the bag is."""
+    r = random.Random(7)
+    rows = [(i, [r.choice("ab") if r.random() < 0.1 else f"w{int(r.paretovariate(0.4)) % 40}" for _ in range(r.randrange(60))],
+             r.choice([None, "w1 w2 a", "w3"]), r.choice([None, "w1 w4 b"])) for i in range(150)]
+    want = {}
+    for i, toks, h, s in rows:
+        tf = Counter(toks)
+        norm = math.sqrt(sum(c * c for t, c in tf.items() if len(t) >= 2))
+        top = sorted(tf, key=lambda t: (-tf[t], t))[:10]
+        out = []
+        for t, c in tf.items():
+            boost = 1.5 if t in (h or "") else 1.2 if t in (s or "") else 1.0
+            a = c / norm if len(t) >= 2 else 0.0
+            b = (c + 1) / (len(toks) + len(tf)) if t in top else 0.0
+            a = a * boost if (a > 0.2 or t in top) and a * boost > 0.2 else None
+            b = b * boost if b * boost > 0.2 else None
+            if a is not None or b is not None:
+                first = b is None or (a is not None and a <= b)
+                out.append((min(x for x in (a, b) if x is not None), 0 if first else 1, 0 if first else top.index(t) + 1, t,
+                            max(x for x in (a, b) if x is not None)))
+        if out:
+            want[i] = [(t, round(score, 6)) for *_, t, score in sorted(out)]
+    assert _tags(spark, rows) == want and len(want) > 100
+    plan = keyword_tags(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan
