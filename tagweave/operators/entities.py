@@ -45,6 +45,8 @@ PERCENT_PATTERN = "(?<![" + WORD_CLASS + "])" + _NUMBER + " ?%"
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
+ROWS = 10_000   # places found that are put out at once
+
 
 def default_gazetteer(spark: SparkSession, base: str | None = None) -> DataFrame:
     """Licence names and month names, plus nation (GPE) and region (LOC) names when ``base`` is given."""
@@ -107,15 +109,26 @@ def _surfaces_in(texts: DataFrame, entries) -> DataFrame:
     def run(batches):
         found = shared_automaton(key, lambda: told.value)
         for b in batches:
-            for i, text in enumerate(b["_text"]):
-                t = text.as_py()
-                places = np.array([(end - length + 1, end) for end, (length, _) in found.iter(t)], dtype=np.int64)
-                if len(places):
-                    blanks = np.flatnonzero(np.frombuffer(t.encode("utf-32-le"), dtype="<u4") == 32)
-                    start, stop = np.searchsorted(blanks, places).T
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(b["doc_id"][i], len(places)), pa.array(start, pa.int32()), pa.array(stop - start, pa.int32()),
-                         pa.array([t[x + 1:y] for x, y in places.tolist()])], names=schema.names)
+            rows, starts, ns, names = [], [], [], []
+            for i, text in enumerate(b["_text"].to_pylist()):
+                places = [(end - length + 1, end) for end, (length, _) in found.iter(text)]
+                if places:
+                    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype="<u4") == 32)
+                    start, stop = np.searchsorted(blanks, np.array(places, dtype=np.int64)).T
+                    rows.append(np.full(len(places), i))
+                    starts.append(start)
+                    ns.append(stop - start)
+                    names += [text[x + 1:y] for x, y in places]
+                if len(names) >= ROWS:
+                    yield put(b, rows, starts, ns, names)
+                    rows, starts, ns, names = [], [], [], []
+            if names:
+                yield put(b, rows, starts, ns, names)
+
+    def put(b, rows, starts, ns, names):
+        start, n = (pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ns))
+        return pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(np.concatenate(rows))), start, n, pa.array(names, pa.string())],
+                                          names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -177,10 +190,10 @@ def entity_tags(spans: DataFrame, dropped: Iterable[str] = DROPPED_ENTITY_LABELS
     DATE entities are always kept (the reference's date test never filters, Q6).
     """
     kept = spans.where(~F.col("label").isin(*dropped))
-    first = kept.groupBy("doc_id", "label", "entity").agg(F.min("start").alias("pos"))
-    lab = first.groupBy("doc_id", "label").agg(F.min("pos").alias("lpos"))
-    lab = lab.withColumn("label_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("lpos", "label")))
-    ent = first.withColumn("entity_rank", F.row_number().over(
+    first = kept.groupBy("doc_id", "label", "entity").agg(F.min("start").alias("pos")).repartition("doc_id")
+    # ranks of labels and of entities from one table, so that the spans are found once
+    ranked = first.withColumn("lpos", F.min("pos").over(Window.partitionBy("doc_id", "label")))
+    ranked = ranked.withColumn("entity_rank", F.row_number().over(
         Window.partitionBy("doc_id", "label").orderBy("pos", "entity")))
-    return (ent.join(lab, ["doc_id", "label"])
-               .select("doc_id", "label_rank", capitalize(F.col("label")).alias("title"), "entity_rank", "entity"))
+    ranked = ranked.withColumn("label_rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("lpos", "label")))
+    return ranked.select("doc_id", "label_rank", capitalize(F.col("label")).alias("title"), "entity_rank", "entity")

@@ -142,3 +142,22 @@ def test_pair_counts_of_flat_documents_take_few_passes(monkeypatch):
     monkeypatch.setattr(GR.np, "cumsum", lambda *a, **kw: passes.append(1) or cumsum(*a, **kw))
     GR._top_combinations([f"t{i % 200}" for i in range(400)], 5)
     assert len(passes) < 20   # one for each of 200 first terms before
+
+
+def test_spans_are_found_once_and_put_out_together(spark, monkeypatch):
+    """The ranks of labels and entities come from one search, whose places leave a task in few batches."""
+    monkeypatch.setattr(EN, "ROWS", 50)
+    rows = [(i, " ".join(f"Name{(i + j) % 7} x" for j in range(i % 5))) for i in range(60)] + [(99, None), (98, "é\U0001F600 Name1 Name2")]
+    gaz = spark.createDataFrame([(f"Name{i}", "ORG" if i % 2 else "GPE") for i in range(7)] + [("Name1 Name2", "PERSON")],
+                                "surface string, label string")
+    words = EN.entity_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    tags = EN.entity_tags(EN.entity_spans(words, gaz))
+    assert tags._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = []
+    for i, text in rows[:60]:
+        names = list(dict.fromkeys(w for w in text.split() if w != "x"))
+        label = lambda w: "Gpe" if int(w[-1]) % 2 == 0 else "Org"
+        order = list(dict.fromkeys(map(label, names)))
+        for lab in order:
+            want += [(i, order.index(lab) + 1, lab, k + 1, w) for k, w in enumerate(x for x in names if label(x) == lab)]
+    assert sorted(map(tuple, tags.collect())) == sorted(want + [(98, 1, "Person", 1, "Name1 Name2")])
