@@ -64,3 +64,12 @@ def test_topic_rounds_move_one_row_per_term_of_a_block(spark, monkeypatch):
     for a, b in zip(one, many):
         a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect()) for t in (a, b))
         assert a == b and len(a) in (20, 602)
+
+
+def test_given_topics_rank_terms_once(spark):
+    """The ten terms of each document are read for the topics and again for the mean cosine: they are kept, tokens are not."""
+    from conftest import SF001
+    from tagweave.plans import registry
+    _, _, top10 = registry._given_topics(spark, SF001)
+    assert top10.storageLevel.useMemory and top10.storageLevel.useDisk
+    top10.unpersist()
