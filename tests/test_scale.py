@@ -73,3 +73,34 @@ def test_given_topics_rank_terms_once(spark):
     _, _, top10 = registry._given_topics(spark, SF001)
     assert top10.storageLevel.useMemory and top10.storageLevel.useDisk
     top10.unpersist()
+
+
+def test_kmeans_rounds_move_one_row_per_term_of_a_block(spark, monkeypatch):
+    """300 documents of the same 12 terms: a round gives each block 12 rows of centres, and no row of a document and term moves."""
+    from tagweave.operators import clustering as CL
+    from tagweave.operators import vectors as V
+    seen, meet = [], V.TermBlocks.meet
+
+    def counted(self, terms, docs, run, schema):
+        seen.append((self.blocks, 0 if terms is None else terms.count()))
+        return meet(self, terms, docs, run, schema)
+
+    monkeypatch.setattr(V.TermBlocks, "meet", counted)
+    w = spark.range(300).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")).select(
+        "doc_id", F.concat(F.lit("t"), F.col("t").cast("string")).alias("term"), (1.0 + F.col("doc_id") % (F.col("t") + 2)).alias("weight"))
+    docs = spark.range(301).select(F.col("id").alias("doc_id"))
+    one, many = (sorted(map(tuple, CL.kmeans(V.blocks_of(w, docs, size), docs, 2, max_iter=2).collect())) for size in (1000, 20))
+    assert one == many and len(one) == 301
+    assert {b for b, _ in seen} == {5, 16} and max(n for b, n in seen if b == 5) == 60 and max(n for b, n in seen if b == 16) <= 192
+
+
+def test_tfidf_blocks_have_the_weights_of_tfidf(spark):
+    from tagweave.operators import features as FE
+    rows = [(1, ["aa", "bb", "aa", "c"]), (2, ["bb", "cc"]), (3, []), (4, ["c"])]
+    tokens = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    labels = tokens.select("doc_id", F.col("doc_id").alias("cluster"))
+    blocks = FE.tfidf_blocks(tokens)
+    got = {(r.cluster, r.term): round(r.score, 12) for r in blocks.sums(labels).collect()}
+    assert got == {(r.doc_id, r.term): round(r.weight, 12) for r in FE.tfidf(tokens).collect()}
+    assert {r.doc_id: r.n2 for r in blocks.points.collect()} == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
+    blocks.release()
